@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_UNSET: dict[str, str] = {}  # application id -> folder, only where the session names none
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -16,13 +19,28 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="turnledger-")
+    if context.applicationId not in _UNSET:
+        _UNSET[context.applicationId] = tempfile.mkdtemp(prefix="turnledger-")
+    return _UNSET[context.applicationId]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    Used where several branches read the same shuffled rows: the work is done
+    once, the branches prune columns at the scan, and a lost executor costs a
+    re-read instead of the whole lineage.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def local_session(cores: str = "8", shuffle_partitions: str = "8") -> SparkSession:
