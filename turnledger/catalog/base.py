@@ -14,11 +14,21 @@ ORACLES: dict[str, str] = {}
 
 
 def _plain(df: DataFrame) -> DataFrame:
-    """Dates and timestamps as text, so that both engines hand over the same values."""
-    timed = (T.DateType, T.TimestampType, T.TimestampNTZType)
-    return df.select(
-        [F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, timed) else F.col(f.name) for f in df.schema]
-    )
+    """Dates and timestamps as text and integers as BIGINT, so that both engines hand over the same values."""
+
+    def cast(field):
+        if isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return F.col(field.name).cast("string").alias(field.name)
+        if isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
+            return F.col(field.name).cast("bigint").alias(field.name)
+        return F.col(field.name)
+
+    return df.select([cast(f) for f in df.schema])
+
+
+def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    """Round values whose last bits depend on the order of a floating-point sum."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
 def query(name: str, sql: str | None = None, prelude: str = shapes.ORACLE_TURNS):

@@ -296,18 +296,19 @@ def source_lines(turns: DataFrame, events: DataFrame) -> DataFrame:
     """First assistant line of each turn in its session's file: by message id or by equal timestamp.
 
     ``turns``: session_id, source_file, turn_key, message_id, ts; ``events``: file,
-    session_id, line, message_id, ts. Two equi-joins replace the or-condition.
+    session_id, line, message_id, ts. Events are reduced to their first line per
+    id and per timestamp, so two equi-joins with at most one match each replace
+    the or-condition.
     """
-    side = events.select(F.col("file").alias("source_file"), "session_id", "line", "message_id", "ts")
-    by_id = turns.filter(F.col("message_id").isNotNull()).join(
-        side.drop("ts"), ["source_file", "session_id", "message_id"]
-    )
-    by_ts = turns.join(side.drop("message_id"), ["source_file", "session_id", "ts"])
-    found = (
-        by_id.select("turn_key", "line").unionByName(by_ts.select("turn_key", "line"))
-        .groupBy("turn_key").agg(F.min("line").alias("source_line"))
+    side = events.withColumnRenamed("file", "source_file")
+    at = ["source_file", "session_id"]
+    by_id = side.filter(F.col("message_id").isNotNull()).groupBy(*at, "message_id").agg(F.min("line").alias("id_line"))
+    by_ts = side.groupBy(*at, "ts").agg(F.min("line").alias("ts_line"))
+    return (
+        turns.join(by_id, [*at, "message_id"], "left")
+        .join(by_ts, [*at, "ts"], "left")
+        .select("turn_key", "session_id", F.least("id_line", "ts_line").alias("source_line"))
     )
-    return turns.join(found, "turn_key", "left").select("turn_key", "session_id", "source_line")
 
 
 def turn_detail(numbered: DataFrame, session_id: str, turn_idx: int) -> DataFrame:

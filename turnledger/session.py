@@ -49,6 +49,7 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8") -> SparkSessi
         SparkSession.builder.master(f"local[{cores}]")
         .appName("turnledger")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
         .config("spark.sql.session.timeZone", "UTC")
