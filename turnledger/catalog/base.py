@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -27,8 +28,27 @@ def _plain(df: DataFrame) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    """Round values whose last bits depend on the order of a floating-point sum."""
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    """Round values whose last bits depend on the order of a floating-point sum.
+
+    The nudge decides exact halves the same way in both engines.
+    """
+    return df.withColumns({c: F.round(F.col(c) + 10.0 ** -(digits + 3), digits) for c in columns})
+
+
+def nudged(sql: str) -> str:
+    """Give every ``round(expression, digits)`` of an oracle the nudge of ``rounded``."""
+    out, at = [], 0
+    for found in re.finditer(r"(?<![a-z_])round\(", sql):
+        depth, end = 1, found.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        digits = re.search(r", (\d+)\)$", sql[found.end() : end])
+        if digits:
+            cut = end - len(digits.group(0))
+            out += [sql[at:cut], f" + 1e-{int(digits.group(1)) + 3}::double"]
+            at = cut
+    return "".join(out) + sql[at:]
 
 
 def query(name: str, sql: str | None = None, prelude: str = shapes.ORACLE_TURNS):
@@ -38,9 +58,10 @@ def query(name: str, sql: str | None = None, prelude: str = shapes.ORACLE_TURNS)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return _plain(build(shapes.Tables(configure(spark), sf_dir)))
 
+        run.origin = build.__module__.rsplit(".", 1)[-1]
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = prelude + sql
+            ORACLES[name] = nudged(prelude + sql)
         return build
 
     return register

@@ -35,14 +35,14 @@ def turn_index(t):
 
 @query("session_rollup", SESSION_SQL + f"""
 select session_id, source_file, cwd, is_sidechain, cast(first_ts as varchar) as first_ts, cast(last_ts as varchar) as last_ts, turns,
-  input_tokens, output_tokens, cache_read_tokens, cache_creation_tokens, cost_usd, max_turn_input, round(context_growth, 4) as context_growth,
+  input_tokens, output_tokens, cache_read_tokens, cache_creation_tokens, cost_usd, max_turn_input, context_growth,
   tool_use_count, tool_error_count, latest_ctx, model, peak_window_cost, ctx_used,
   {sql.over("cache_read_tokens", "(cache_read_tokens + cache_creation_tokens)")} as cache_reuse_ratio, {sql.hit_rate()} as cache_hit_rate,
   {sql.over("cache_read_tokens", "output_tokens")} as ctx_ratio, {sql.over("cache_read_tokens", "cache_creation_tokens")} as cache_reuse,
   {sql.cost_per_kw()} as cost_per_kw, coalesce({sql.over("tool_error_count", "tool_use_count")}, 0) as tool_error_rate, {VERDICT} as verdict
 from rollups""", prelude=RECURSIVE)
 def session_rollup(t):
-    return rounded(session_rows(t), 4, "context_growth")
+    return session_rows(t)
 
 
 @query("session_totals", f"select session_id, {sql.SUMS}, {sql.usd()} as cost_usd from turns group by 1")
@@ -144,7 +144,7 @@ def _project_sql(key: str) -> str:
     return f""", judged as (select r.*, {VERDICT} as verdict from rollups r), proj as (
   select {key} as cwd, count(*) as sessions, sum(turns)::bigint as turns, {sql.SUMS}, sum(round(cost_usd * 1e10)::bigint)::double / 1e10 as cost_usd,
     coalesce(avg(context_growth) filter (context_growth <> 0), 0) as avg_context_growth, sum(tool_use_count)::bigint as tool_use_count,
-    sum(tool_error_count)::bigint as tool_error_count, max(peak_window_cost) as peak_window_cost, arg_max(ctx_used, (last_ts, session_id)) as ctx_used, {counts}
+    sum(tool_error_count)::bigint as tool_error_count, max(peak_window_cost) as peak_window_cost, arg_max({{'v': ctx_used}}, (last_ts, session_id)).v as ctx_used, {counts}
   from judged group by 1
 ), rated as (select *, {sql.over("cache_read_tokens", "(cache_read_tokens + cache_creation_tokens)")} as cache_reuse_ratio, {sql.hit_rate()} as cache_hit_rate,
     cache_creation_tokens / greatest(cache_read_tokens, 1) as cache_creation_dominance, coalesce({sql.over("tool_error_count", "tool_use_count")}, 0) as tool_error_rate,
@@ -227,7 +227,7 @@ _DIRS = """, dirs as (select distinct d from (select cwd as d from raw where cwd
 ), tried as (select cwd, base, members, s, array_to_string(list_slice(string_split(trim(cwd, '/'), '/'), -s, -1), '/') as label from sized, range(2, 21) r(s) where members > 1
 ), solved as (select base, min(s) as s from (select base, s, members, count(distinct label) as k from tried group by all) where k = members group by 1
 )
-select z.cwd, case when members = 1 then z.base when v.s is null then z.cwd else t.label end as label
+select z.cwd, case when z.members = 1 then z.base when v.s is null then z.cwd else t.label end as label
 from sized z left join solved v using (base) left join tried t on t.cwd = z.cwd and t.s = v.s""")
 def cwd_labels(t):
     users = t.table("events").select("user_id")

@@ -80,7 +80,8 @@ def windows(key: str) -> str:
 ROLLUPS = f""", billed as (
   select *, row_number() over (partition by session_id order by ts, file, line) - 1 as step from turns where not is_interrupted
 ), shape as (
-  select session_id, max(ctx) as max_turn_input, coalesce(regr_slope(ctx, step), 0) as slope, arg_max(ctx, (ts, file, line)) as latest_ctx
+  select session_id, max(ctx) as max_turn_input, 
+    coalesce(case when count(*) * sum(step * step) - sum(step) * sum(step) > 0 then (count(*) * sum(step * ctx) - sum(step) * sum(ctx))::double / (count(*) * sum(step * step) - sum(step) * sum(step))::double end, 0) as slope, arg_max(ctx, (ts, file, line)) as latest_ctx
   from billed group by session_id
 ), dominant as (
   select session_id, arg_min(model, (-n, seen)) as model from (
@@ -88,7 +89,7 @@ ROLLUPS = f""", billed as (
 ), peaks as (select session_id, max(units)::double / 1e10 as peak from wins group by session_id
 ), rollups as (
   select t.*, s.source_file, s.cwd, s.is_sidechain, coalesce(h.max_turn_input, 0) as max_turn_input,
-    coalesce(case when isnan(h.slope) then 0 else h.slope end, 0) as context_growth, h.latest_ctx, d.model, coalesce(p.peak, 0) as peak_window_cost,
+    coalesce(h.slope, 0) as context_growth, h.latest_ctx, d.model, coalesce(p.peak, 0) as peak_window_cost,
     h.latest_ctx / (select context_window from price where price_key = d.model) as ctx_used
   from (select session_id, min(ts) as first_ts, max(ts) as last_ts, count(*) as turns, {SUMS}, {usd()} as cost_usd,
           sum(tool_use_count)::bigint as tool_use_count, sum(tool_error_count)::bigint as tool_error_count from turns group by session_id) t

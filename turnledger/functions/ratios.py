@@ -48,6 +48,22 @@ def efficiency(cost: str = "cost_usd") -> dict[str, Column]:
     }
 
 
+def exact_slope(x: Column, y: Column) -> Column:
+    """Least-squares slope of whole numbers from exact sums; 0 for fewer than two points.
+
+    Exact sums do not depend on row order, and a flat series gives exactly 0.
+    """
+    both = x.isNotNull() & y.isNotNull()
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(F.when(both, value).cast("decimal(28,0)")), F.lit(0)).cast("decimal(38,0)")
+
+    n = F.count_if(both).cast("decimal(19,0)")
+    num = (n * total(x * y)).cast("decimal(38,0)") - (total(x) * total(y)).cast("decimal(38,0)")
+    den = (n * total(x * x)).cast("decimal(38,0)") - (total(x) * total(x)).cast("decimal(38,0)")
+    return F.when(den > 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
+
+
 def metric(name: str) -> Column:
     """One plottable metric of a rolled-up row."""
     if name == "output":

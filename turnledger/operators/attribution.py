@@ -270,7 +270,7 @@ def attribute(
     usage = lines.filter(F.col("pool").isNotNull()).select(
         *at_turn, "pool", "output_tokens", "input_units", "output_units", "cache_read_units", "cache_creation_units"
     )
-    split = shares.join(usage, at_turn).select(
+    slices = shares.join(usage, at_turn).select(
         *at_turn,
         "tool",
         (F.col("pool") * F.col("in_share")).alias("in_tokens"),
@@ -278,6 +278,7 @@ def attribute(
         (out_usd * F.col("out_share") + in_usd * F.col("in_share")).alias("usd"),
         (uncached_usd * F.col("in_share") + out_usd * F.col("out_share")).alias("usd_uncached"),
     )
+    split = stored(slices, "split")
     per_tool = split.filter(F.col("tool").isNotNull()).select(
         *at_turn, "tool", F.col("in_tokens").alias("tool_input_tokens"), F.col("out_tokens").alias("tool_output_tokens"),
         F.col("usd").alias("tool_usd"), F.col("usd_uncached").alias("tool_usd_uncached"),

@@ -18,6 +18,7 @@ from turnledger.functions import pricing
 from turnledger.functions.money import units_sum, usd
 from turnledger.functions.ratios import context_tokens
 from turnledger.operators import ordered
+from turnledger.session import stored
 
 _KEY = ["session_id"]
 _ORDER = ["ts", "file", "line"]
@@ -254,14 +255,27 @@ def tool_error_storm(turns: DataFrame, overrides: dict | None = None, size: int
     )
 
 
+def _kept(turns: DataFrame) -> DataFrame:
+    """The detectors' columns, numbered once for all of them."""
+    return stored(
+        turns.select(
+            "session_id", "turn_idx", "ts", "model", "ctx", "cache_creation_tokens", "cost_units", "is_sidechain",
+            "tool_use_count", "tool_error_count",
+        ),
+        "numbered",
+    )
+
+
 def detect_patterns(turns: DataFrame, overrides: dict | None = None) -> DataFrame:
     """All five detectors over numbered turns, with optional threshold overrides."""
+    turns = _kept(turns)
     detectors = (idle_expiry, compaction_reinflation, ceiling_plateau, sidechain_explosion, tool_error_storm)
     return reduce(DataFrame.unionByName, [d(turns, overrides) for d in detectors])
 
 
 def pattern_turns(turns: DataFrame, overrides: dict | None = None) -> DataFrame:
     """The turns behind the findings: (session_id, kind, turn_idx)."""
+    turns = _kept(turns)
     cycles = reinflation_cycles(turns, overrides).select(
         "session_id", F.lit("compaction_reinflation").alias("kind"), F.explode(F.array("first", "low", "last")).alias("turn_idx")
     )

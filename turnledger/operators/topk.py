@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def head_and_other(
-    df: DataFrame, name: str, value: str, top: int, other: str = "other", extra: tuple[str, ...] = ()
+    df: DataFrame,
+    name: str,
+    value: str,
+    top: int,
+    other: str = "other",
+    extra: tuple[str, ...] = (),
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """The ``top`` largest rows, and one row that sums the rest (with how many it holds).
 
-    Ties break by name. The head is a take-ordered limit, the tail one
+    ``extra`` columns are summed too, ``keep`` columns stay on the head only. Ties break by name. The head is a take-ordered limit, the tail one
     aggregate over the rows that do not match the ``top`` names, so no task
     sorts all names.
     """
@@ -19,8 +25,9 @@ def head_and_other(
     rest = tail.agg(
         F.sum(value).alias(value), *[F.sum(c).alias(c) for c in extra], F.count(F.lit(1)).alias("members")
     ).filter("members > 0")
-    return head.select(name, value, *extra, F.lit(None).cast("bigint").alias("members")).unionByName(
-        rest.select(F.lit(other).alias(name), value, *extra, "members")
+    blank = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in keep]
+    return head.select(name, value, *extra, *keep, F.lit(None).cast("bigint").alias("members")).unionByName(
+        rest.select(F.lit(other).alias(name), value, *extra, *blank, "members")
     )
 
 
@@ -31,15 +38,14 @@ def top_rows(df: DataFrame, value: str, top: int, ties: list[str]) -> DataFrame:
 def keep_if_few(df: DataFrame, name: str, value: str, order: str, limit: int = 6) -> DataFrame:
     """Up to ``limit`` members stay as they are; more become ``limit - 1`` and ``others``.
 
-    Membership follows ``order`` while ``value`` is what gets summed.
+    Membership follows ``order`` while ``value`` is what gets summed. For rows
+    already reduced to one per model, a short list.
     """
-    probe = df.orderBy(F.desc(order), F.asc(name)).limit(limit + 1)
-    ranked = probe.groupBy().agg(
-        F.slice(F.reverse(F.sort_array(F.collect_list(F.struct(order, F.struct(name).alias("key"))))), 1, limit + 1).alias("top")
+    every = Window.partitionBy()
+    ranked = df.select(
+        name, value,
+        F.row_number().over(every.orderBy(F.desc(order), F.asc(name))).alias("rank"),
+        F.count(F.lit(1)).over(every).alias("members"),
     )
-    # limit + 1 rows at most reach the aggregate above
-    kept = F.when(F.size("top") > limit, F.slice("top", 1, limit - 1)).otherwise(F.col("top"))
-    names = ranked.select(F.explode(kept).alias("t")).select(F.col(f"t.key.{name}").alias(name))
-    head = df.join(F.broadcast(names), name, "left_semi").select(name, value)
-    tail = df.join(F.broadcast(names), name, "left_anti").agg(F.sum(value).alias(value), F.count(F.lit(1)).alias("n"))
-    return head.unionByName(tail.filter("n > 0").select(F.lit("others").alias(name), value))
+    label = F.when((F.col("members") <= limit) | (F.col("rank") < limit), F.col(name)).otherwise("others")
+    return ranked.groupBy(label.alias(name)).agg(F.sum(value).alias(value))

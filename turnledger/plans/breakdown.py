@@ -12,6 +12,7 @@ from turnledger.functions.money import usd, usd_sum
 from turnledger.operators import entity, series, topk
 from turnledger.operators.series import SUMS
 from turnledger.plans import rollups
+from turnledger.session import stored
 
 PLACE = ["file", "line"]
 PRORATA, EXCLUDE_READS = "prorata", "excl_cache_read"
@@ -37,42 +38,37 @@ def tool_breakdown(
     """
     reads_out = mode == EXCLUDE_READS
     kept = billed(turns)
-    rows = tool_rows(kept, per_tool, ["ts", "tool_names"]).withColumn(
-        "usd", F.col("tool_usd_uncached" if reads_out else "tool_usd")
-    )
+    slices = per_tool.select(
+        *PLACE, "tool", F.col("tool_usd_uncached" if reads_out else "tool_usd").alias("usd")
+    ).unionByName(rest.select(*PLACE, F.lit(K.UNATTRIBUTED_TOOL).alias("tool"), F.col("rest_usd").alias("usd")))
+    rows = tool_rows(kept, slices, ["ts", "tool_names", "cost_units"])
     called = F.map_contains_key(F.coalesce("tool_names", F.create_map().cast("map<string,bigint>")), F.col("tool"))
-    real = rows.filter(~F.col("tool").isin(K.UNKNOWN_TOOL, K.SKILL_TOOL))
-    costs = real.groupBy("tool").agg(
+    sums = rows.groupBy("tool").agg(
         F.sum("usd").alias("cost_usd"), F.max(F.when(called, F.col("ts"))).alias("last_active")
     )
-    calls = rollups.tool_calls(kept, []).filter(F.col("tool") != K.SKILL_TOOL)
-    named = costs.join(calls, "tool", "full").select("tool", "cost_usd", "calls", "last_active")
-    ranked = topk.head_and_other(named.filter("cost_usd is not null").withColumn("calls", F.coalesce("calls", F.lit(0))),
-                                 "tool", "cost_usd", top, K.OTHER, extra=("calls",))
+    calls = rollups.tool_calls(kept, [])
+    # One small row per tool, read three times below.
+    named = stored(sums.join(calls, "tool", "full").filter(F.col("tool") != K.SKILL_TOOL), "tools")
+    reserved = F.col("tool").isin(K.UNKNOWN_TOOL, K.UNATTRIBUTED_TOOL)
+    real = named.filter(~reserved & F.col("cost_usd").isNotNull()).withColumn("calls", F.coalesce("calls", F.lit(0)))
+    ranked = topk.head_and_other(real, "tool", "cost_usd", top, K.OTHER, extra=("calls",), keep=("last_active",))
     # Calls of tools that never cost anything belong to the tail when there is one.
-    uncosted = named.filter("cost_usd is null").agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("uncosted")).withColumn("tool", F.lit(K.OTHER))
-    shown = (
-        ranked.join(F.broadcast(uncosted), "tool", "left")
-        .join(costs.select("tool", "last_active"), "tool", "left")
-        .select(
-            F.col("tool").alias("name"), "cost_usd",
-            (F.col("calls") + F.coalesce("uncosted", F.lit(0))).alias("count"),
-            F.col("members").alias("tool_count"),
-            F.when(F.col("members").isNull(), F.col("last_active")).alias("last_active"),
-        )
+    uncosted = named.filter("cost_usd is null").agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("uncosted")).withColumn(
+        "tool", F.lit(K.OTHER)
+    )
+    shown = ranked.join(F.broadcast(uncosted), "tool", "left").select(
+        F.col("tool").alias("name"), "cost_usd",
+        (F.col("calls") + F.coalesce("uncosted", F.lit(0))).alias("count"),
+        F.col("members").alias("tool_count"),
+        "last_active",
     )
     if reads_out:
-        spent = rows.filter(F.col("tool") != K.UNKNOWN_TOOL).groupBy(*PLACE).agg(F.sum("usd").alias("spent"))
-        remainder = (
-            kept.select(*PLACE, usd(F.col("cost_units")).alias("total"))
-            .join(spent, PLACE, "left")
-            .agg(F.sum(F.greatest(F.col("total") - F.coalesce("spent", F.lit(0.0)), F.lit(0.0))).alias("cost_usd"))
-        )
+        # Every billed turn has a remainder row, so every turn is in this grouping.
+        tool_usd = F.coalesce(F.sum(F.when(~reserved, F.col("usd"))), F.lit(0.0))
+        per_turn = rows.groupBy(*PLACE).agg(usd(F.max("cost_units")).alias("total"), tool_usd.alias("spent"))
+        remainder = per_turn.agg(F.sum(F.greatest(F.col("total") - F.col("spent"), F.lit(0.0))).alias("cost_usd"))
     else:
-        unknown = rows.filter(F.col("tool") == K.UNKNOWN_TOOL).select("usd")
-        remainder = tool_rows(kept, rest, []).select(F.col("rest_usd").alias("usd")).unionByName(unknown).agg(
-            F.sum("usd").alias("cost_usd")
-        )
+        remainder = named.filter(reserved).agg(F.sum("cost_usd").alias("cost_usd"))
     none = F.lit(None).cast("bigint")
     return shown.unionByName(
         remainder.select(
@@ -136,8 +132,10 @@ def skill_costs(turns: DataFrame) -> DataFrame:
 def skill_breakdown(turns: DataFrame, top: int = 10) -> DataFrame:
     """Skills ranked by the full cost of the turns they own, the tail in one row."""
     costs = skill_costs(turns).filter("cost_usd is not null")
-    ranked = topk.head_and_other(costs, "skill", "cost_usd", top, K.OTHER, extra=("invocations",))
-    return ranked.join(costs.select("skill", "last_active"), "skill", "left").select(
+    ranked = topk.head_and_other(
+        costs, "skill", "cost_usd", top, K.OTHER, extra=("invocations",), keep=("last_active",)
+    )
+    return ranked.select(
         F.col("skill").alias("name"), "cost_usd", "invocations", F.col("members").alias("tool_count"), "last_active"
     )
 
@@ -232,7 +230,7 @@ def by_model(turns: DataFrame, since: str | None = None) -> DataFrame:
         )
         .withColumn("billable", F.col("input_tokens") + F.col("output_tokens"))
     )
-    shared = rollups.with_grand_total(rollups.with_grand_total(sums, "billable", "share"), "cost_usd", "cost_share")
+    shared = rollups.with_model_share(rollups.with_model_share(sums, "billable", "share"), "cost_usd", "cost_share")
     return shared.withColumn("price_status", pricing.price_status(F.col("model")))
 
 

@@ -84,7 +84,7 @@ def day_hours(turns: DataFrame, date: str) -> DataFrame:
         .groupBy(F.hour("ts").alias("hour"))
         .agg(usd_sum(F.col("cost_units")).alias("cost_usd"), F.count(F.lit(1)).alias("turns"))
     )
-    hours = turns.sparkSession.sql("select cast(explode(sequence(0, 23)) as int) as hour")
+    hours = turns.sparkSession.sql("select explode(sequence(0, 23)) as hour")
     return series.filled(hours, rollup, ["hour"])
 
 
@@ -239,7 +239,7 @@ def growth_line(numbered: DataFrame) -> DataFrame:
     """Fitted context line per session: first context plus slope times position."""
     fit = numbered.groupBy("session_id").agg(
         F.min_by("ctx", "turn_idx").alias("ctx0"),
-        F.coalesce(F.regr_slope(F.col("ctx").cast("double"), F.col("turn_idx").cast("double")), F.lit(0.0)).alias("slope"),
+        ratios.exact_slope(F.col("turn_idx"), F.col("ctx")).alias("slope"),
     )
     return numbered.select("session_id", "turn_idx", "ctx").join(fit, "session_id").select(
         "session_id", "turn_idx", "ctx", (F.col("ctx0") + F.col("slope") * F.col("turn_idx")).alias("fitted"),

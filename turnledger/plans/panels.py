@@ -33,7 +33,7 @@ def model_mix(turns: DataFrame) -> DataFrame:
         .groupBy(pricing.short_model(F.col("model")).alias("model"))
         .agg(usd_sum(F.col("cost_units")).alias("cost_usd"))
     )
-    return rollups.with_grand_total(costs, "cost_usd", "share").select("model", "share")
+    return rollups.with_model_share(costs, "cost_usd", "share").select("model", "share")
 
 
 def _ratios_long(turns: DataFrame, value: str) -> DataFrame:

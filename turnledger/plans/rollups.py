@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnledger import constants as K
 from turnledger.functions import pricing, ratios
@@ -46,9 +46,7 @@ def session_rollups(turns: DataFrame, sessions: DataFrame, limits: dict | None =
         *[F.sum(c).alias(c) for c in SUMS],
         (units_sum(F.col("cost_units")) / float(K.USD_UNITS)).alias("cost_usd"),
         F.coalesce(F.max(F.when(billed, F.col("ctx"))), F.lit(0)).alias("max_turn_input"),
-        F.coalesce(
-            F.regr_slope(F.when(billed, F.col("ctx")).cast("double"), F.col("step").cast("double")), F.lit(0.0)
-        ).alias("context_growth"),
+        ratios.exact_slope(F.when(billed, F.col("step")), F.col("ctx")).alias("context_growth"),
         F.sum("tool_use_count").alias("tool_use_count"),
         F.sum("tool_error_count").alias("tool_error_count"),
         F.max_by("ctx", latest).alias("latest_ctx"),
@@ -152,15 +150,10 @@ def project_model_mix(rollups: DataFrame, key: str = "cwd") -> DataFrame:
     return part.join(total, "cwd").select("cwd", "model", share.alias("share"))
 
 
-def with_grand_total(rollup: DataFrame, value: str, share: str) -> DataFrame:
-    """Share of the grand total; the total is one row, joined on a constant."""
-    total = rollup.agg(F.sum(value).alias("__total")).withColumn("__all", F.lit(1))
-    return (
-        rollup.withColumn("__all", F.lit(1))
-        .join(F.broadcast(total), "__all")
-        .withColumn(share, F.when(F.col("__total") > 0, F.col(value) / F.col("__total")).otherwise(F.col(value) * 1.0))
-        .drop("__all", "__total")
-    )
+def with_model_share(rollup: DataFrame, value: str, share: str) -> DataFrame:
+    """Share of the grand total. For rows already reduced to one per model, a short list."""
+    total = F.sum(value).over(Window.partitionBy())
+    return rollup.withColumn(share, F.when(total > 0, F.col(value) / total).otherwise(F.col(value) * 1.0))
 
 
 def model_rollups(turns: DataFrame) -> DataFrame:
@@ -185,7 +178,7 @@ def model_rollups(turns: DataFrame) -> DataFrame:
             "tool_error_rate": ratios.ratio(F.col("tool_error_count"), F.col("tool_use_count")),
         }
     )
-    return with_grand_total(rated, "cost_usd", "cost_share")
+    return with_model_share(rated, "cost_usd", "cost_share")
 
 
 def session_totals(turns: DataFrame) -> DataFrame:
