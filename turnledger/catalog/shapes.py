@@ -190,22 +190,21 @@ ORACLE_PRICED = (
       when model is null or model = 'claude-sonnet-9' then 'unknown_model_fallback' end as price_tag
   from raw r
 ), lines as (
-  select r.*,
+  select *, input_units + output_units + cache_read_units + cache_creation_units as cost_units from (select r.*,
     coalesce(r.input_tokens * p.input_rate, 0) as input_units,
     coalesce(r.output_tokens * p.output_rate, 0) as output_units,
     coalesce(r.cache_read_tokens * p.read_rate, 0) as cache_read_units,
     coalesce((r.cache_creation_tokens - least(r.cache_creation_1h_tokens, r.cache_creation_tokens)) * p.write_rate
       + least(r.cache_creation_1h_tokens, r.cache_creation_tokens) * p.write_1h_rate, 0) as cache_creation_units,
     coalesce(r.cache_read_tokens * (p.input_rate - p.read_rate), 0) as cache_saved_units
-  from resolved r left join price p on r.price_key = p.price_key
+  from resolved r left join price p on r.price_key = p.price_key)
 )"""
 )
 
 ORACLE_TURNS = (
     ORACLE_PRICED
     + """, turns as (
-  select *, input_units + output_units + cache_read_units + cache_creation_units as cost_units,
-    input_tokens + cache_read_tokens + cache_creation_tokens as ctx
+  select *, input_tokens + cache_read_tokens + cache_creation_tokens as ctx
   from lines qualify dedup_key is null or row_number() over (partition by dedup_key order by file desc, line desc) = 1
 ), sessions as (
   select t.session_id, arg_min(t.is_sidechain, (t.dedup_key is not null, t.file, t.line)) as is_sidechain,

@@ -276,7 +276,7 @@ def token_ratios(t):
 
 @query("cost_reconciliation", f"""
 select ours, theirs, abs(ours - theirs) / greatest(theirs, 1e-9::double) as diff, case when abs(ours - theirs) / greatest(theirs, 1e-9::double) <= 0.02::double then 'OK' else 'FAIL' end as status
-from (select {sql.usd()} as ours from turns), (select {sql.usd()} as theirs from lines join (select line as l, input_units+output_units+cache_read_units+cache_creation_units as cost_units from lines) on l = line)""")
+from (select {sql.usd()} as ours from turns), (select {sql.usd()} as theirs from lines)""")
 def cost_reconciliation(t):
     external = series.daily(t.lines).select(F.col("date").cast("string").alias("date"), F.col("cost_usd").alias("totalCost"))
     return reconcile.compare(t.turns, external)

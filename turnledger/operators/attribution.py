@@ -138,24 +138,20 @@ def match_results(blocks: DataFrame, carry: bool = True) -> DataFrame:
     """
     use = (F.col("kind") == "tool_use") & real_tool(F.col("name")) & F.coalesce(F.col("block_id") != "", F.lit(False))
     result = F.col("kind") == "tool_result"
-    marked = blocks.withColumn(
-        "ref", F.when(use, F.col("block_id")).when(result, F.nullif(F.col("tool_use_id"), F.lit("")))
-    ).withColumn("declared", F.when(use, F.col("name")))
+    ref = F.when(use, F.col("block_id")).when(result, F.nullif(F.col("tool_use_id"), F.lit("")))
+    # Rows without an id ride along under the empty id, so the rows are shuffled once.
+    marked = blocks.withColumn("ref", F.coalesce(ref, F.lit(""))).withColumn("declared", F.when(use, F.col("name")))
     linked = ordered.scan(
-        marked.filter(F.col("ref").isNotNull()),
+        marked,
         ["file", "epoch", "ref"],
         ["line", "pos"],
         "block",
-        {"previous": ("last", F.struct("declared"))},
+        {"previous": ("last", F.when(F.col("ref") != "", F.struct("declared")))},
         carry=carry,
+        summary=marked.filter(F.col("ref") != ""),
     )
     owner = F.when(result, F.coalesce("previous.declared", F.lit(K.UNKNOWN_TOOL))).otherwise(F.col("declared"))
-    plain = marked.filter(F.col("ref").isNull()).withColumn("owner", F.when(result, F.lit(K.UNKNOWN_TOOL)))
-    return (
-        linked.withColumn("owner", owner).drop("previous")
-        .unionByName(plain)
-        .drop("ref", "declared")
-    )
+    return linked.withColumn("owner", owner).drop("previous", "ref", "declared")
 
 
 def owned_content(
@@ -174,25 +170,24 @@ def owned_content(
 def context_bytes(owned: DataFrame, several: bool) -> tuple[DataFrame, DataFrame]:
     """What the context holds before each turn: totals per turn, and bytes per (turn, tool)."""
     is_turn = F.col("kind") == "turn"
-    per_line = owned.groupBy("file", "epoch", "block", "line").agg(
-        F.max(is_turn).alias("is_turn"),
-        F.sum("nbytes").alias("nbytes"),
-        F.sum(F.when(F.col("owner").isNotNull(), F.col("nbytes")).otherwise(0)).alias("tool_nbytes"),
-    )
+    tool_nbytes = F.when(F.col("owner").isNotNull(), F.col("nbytes")).otherwise(0)
+    # The marker of a turn sorts before the content of its line, so everything
+    # earlier than the marker is what the turn could see.
     totals = (
         ordered.scan(
-            per_line, ["file", "epoch"], ["line"], "block",
-            {"context_nbytes": ("sum", F.col("nbytes")), "context_tool_nbytes": ("sum", F.col("tool_nbytes"))},
+            owned.select("file", "epoch", "block", "line", "pos", "kind", "nbytes", "owner"),
+            ["file", "epoch"],
+            ["line", "pos"],
+            "block",
+            {"context_nbytes": ("sum", F.col("nbytes")), "context_tool_nbytes": ("sum", tool_nbytes)},
             carry=several,
         )
-        .filter("is_turn")
+        .filter(is_turn)
         .select("file", "epoch", "block", "line", "context_nbytes", "context_tool_nbytes")
     )
 
-    deltas = (
-        owned.filter(F.col("owner").isNotNull())
-        .groupBy("file", "epoch", "block", "line", F.col("owner").alias("tool"))
-        .agg(F.sum("nbytes").alias("nbytes"))
+    deltas = owned.filter(F.col("owner").isNotNull()).select(
+        "file", "epoch", "block", "line", F.col("owner").alias("tool"), "nbytes", F.lit(1).alias("step")
     )
     tools = deltas.groupBy("file", "epoch", "tool").agg(F.min("line").alias("first_line"))
     turns = owned.filter(is_turn).select("file", "epoch", "block", "line")
@@ -201,19 +196,23 @@ def context_bytes(owned: DataFrame, several: bool) -> tuple[DataFrame, DataFrame
         # on (file, epoch, block) and never on a whole file.
         near = turns.select("file", "epoch", "block").distinct().join(tools, ["file", "epoch"])
         paired = turns.join(near, ["file", "epoch", "block"])
+        present = near.select("file", "epoch", "block", "tool", F.lit(0).cast("bigint").alias("nbytes"))
+        summary = deltas.select(*present.columns).unionByName(present)
     else:
         paired = turns.join(tools, ["file", "epoch"])
+        summary = None
     probes = paired.filter(F.col("line") > F.col("first_line")).select(
         "file", "epoch", "block", "line", "tool", F.lit(0).cast("bigint").alias("nbytes"), F.lit(0).alias("step")
     )
     held = (
         ordered.scan(
-            deltas.withColumn("step", F.lit(1)).unionByName(probes),
+            deltas.unionByName(probes),
             ["file", "epoch", "tool"],
             ["line", "step"],
             "block",
             {"held": ("sum", F.col("nbytes"))},
             carry=several,
+            summary=summary,
         )
         .filter("step = 0")
         .select("file", "line", "tool", F.col("held").alias("tool_nbytes"))

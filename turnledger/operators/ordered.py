@@ -54,12 +54,15 @@ def scan(
     values: dict[str, tuple[str, Column]],
     inclusive: bool = False,
     carry: bool = True,
+    summary: DataFrame | None = None,
 ) -> DataFrame:
     """Running sum, max or last non-null value over all earlier rows of the key.
 
     ``values`` maps an output name to (kind, column). ``order`` must be unique
     within a key, ``chunk`` must not decrease along it, keys must not be NULL.
     ``carry=False`` is for callers that have checked that every key has one chunk.
+    ``summary`` may replace ``df`` in the per-chunk totals when the other rows add
+    nothing; it needs a row for every (key, chunk) whose rows use the carry.
     """
     by = [*keys, chunk]
     frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(_FIRST, 0 if inclusive else -1)
@@ -68,7 +71,7 @@ def scan(
         zero = {n: F.lit(0) if kind == "sum" else F.lit(None) for n, (kind, _c) in values.items()}
         alone = {n: F.coalesce(F.col(f"__local_{n}"), zero[n]) for n in values}
         return local.withColumns(alone).drop(*[f"__local_{n}" for n in values])
-    totals = df.groupBy(*by).agg(*[_total(kind, c, order).alias(n) for n, (kind, c) in values.items()])
+    totals = (df if summary is None else summary).groupBy(*by).agg(*[_total(kind, c, order).alias(n) for n, (kind, c) in values.items()])
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(_FIRST, -1)
     carried = totals.select(
         *by, *[_local(kind, F.col(n)).over(before).alias(f"__carry_{n}") for n, (kind, _c) in values.items()]
