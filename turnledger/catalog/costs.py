@@ -136,7 +136,7 @@ def tool_daily(t):
 select cast(d::date as varchar) as date, coalesce(c, 0) as cost_usd from generate_series(date '{AS_OF_DAY}' - 29, date '{AS_OF_DAY}', interval 1 day) g(d)
 left join (select ts::date as day, {sql.usd()} as c from turns where attribution_skill = 'skill3' and not is_interrupted group by 1) on day = d::date""")
 def skill_daily(t):
-    return breakdown.skill_daily(t.turns, "skill3", AS_OF_DAY)
+    return breakdown.skill_daily(t.lazy_turns, "skill3", AS_OF_DAY)
 
 
 _SKILLS = f""", costs as (select attribution_skill as skill, {sql.usd()} as cost, max(ts) as last_active from turns where attribution_skill is not null and not is_interrupted group by 1
@@ -176,13 +176,13 @@ _BY_MODEL = f""", m as (select coalesce(model, '(unknown)') as model, sum(input_
 select *, billable / sum(billable) over () as share, round(cost_usd / sum(cost_usd) over (), 10) as cost_share,
   case model when '(unknown)' then 'unpriced' when 'gemini-3-flash' then 'unpriced' when 'claude-sonnet-9' then 'estimated' else 'known' end as price_status from m""")
 def by_model(t):
-    return rounded(breakdown.by_model(t.turns), 10, "cost_share")
+    return rounded(breakdown.by_model(t.lazy_turns), 10, "cost_share")
 
 
 @query("collapse_models", _BY_MODEL + """, r as (select *, row_number() over (order by billable desc, model) as rn, count(*) over () as k from m)
 select case when k <= 6 or rn <= 5 then model else 'others' end as model, round(sum(cost_usd), 9) as cost_usd from r group by 1""")
 def collapse_models(t):
-    return rounded(topk.keep_if_few(breakdown.by_model(t.turns), "model", "cost_usd", "billable"), 9, "cost_usd")
+    return rounded(topk.keep_if_few(breakdown.by_model(t.lazy_turns), "model", "cost_usd", "billable"), 9, "cost_usd")
 
 
 # -- drill-downs ---------------------------------------------------------------
@@ -228,7 +228,7 @@ def skill_scorecard(t):
 
 @query("skill_by_model", f"select coalesce(model, '(unknown)') as name, {sql.usd()} as cost_usd from turns where attribution_skill = 'skill3' and not is_interrupted group by 1")
 def skill_by_model(t):
-    return detail.capped(detail.skill_models(t.turns, "skill3"), "name")
+    return detail.capped(detail.skill_models(t.lazy_turns, "skill3"), "name")
 
 
 @query("skill_by_project", sql.PROJECTS + f"select project as cwd, {sql.usd()} as cost_usd, count(*) as turns, cast(max(ts) as varchar) as last_active from turns join projects using (session_id) where attribution_skill = 'skill3' and not is_interrupted group by 1")
@@ -313,12 +313,12 @@ def day_summary(t):
 @query("day_hours", f"""
 select h as hour, coalesce(cost_usd, 0) as cost_usd, coalesce(turns, 0) as turns from range(0, 24) g(h) left join (select extract(hour from ts)::bigint as hour, {sql.usd()} as cost_usd, count(*) as turns from turns where ts::date = date '{_DAY}' group by 1) on hour = h""")
 def day_hours(t):
-    return detail.day_hours(t.turns, _DAY)
+    return detail.day_hours(t.lazy_turns, _DAY)
 
 
 @query("day_hour_models", f"select extract(hour from ts)::bigint as hour, model, count(*) as turns from turns where ts::date = date '{_DAY}' and model is not null group by all")
 def day_hour_models(t):
-    return detail.day_hour_models(t.turns, _DAY)
+    return detail.day_hour_models(t.lazy_turns, _DAY)
 
 
 @query("day_top_sessions", SESSION_SQL + f"""
@@ -330,6 +330,6 @@ def day_top_sessions(t):
 
 @query("stop_reasons", "select session_id, coalesce(stop_reason, 'unknown') as stop_reason, count(*) as turns from turns group by all")
 def stop_reasons(t):
-    return detail.stop_reasons(t.turns, ["session_id"])
+    return detail.stop_reasons(t.lazy_turns, ["session_id"])
 
 

@@ -30,7 +30,7 @@ def session_dimension(t):
 
 @query("turn_index", "select line, session_id, row_number() over (partition by session_id order by ts, file, line) - 1 as turn_idx from turns")
 def turn_index(t):
-    return patterns.numbered(t.turns).select("line", "session_id", "turn_idx")
+    return patterns.numbered(t.lazy_turns).select("line", "session_id", "turn_idx")
 
 
 @query("session_rollup", SESSION_SQL + f"""
@@ -47,12 +47,12 @@ def session_rollup(t):
 
 @query("session_totals", f"select session_id, {sql.SUMS}, {sql.usd()} as cost_usd from turns group by 1")
 def session_totals(t):
-    return rollups.session_totals(t.turns)
+    return rollups.session_totals(t.lazy_turns)
 
 
 @query("session_tool_mix", "select session_id, tool_name as tool, sum(tool_use_count)::bigint as calls from turns where tool_name is not null group by all")
 def session_tool_mix(t):
-    return rollups.tool_calls(t.turns, ["session_id"])
+    return rollups.tool_calls(t.lazy_turns, ["session_id"])
 
 
 @query("tool_mix", """, c as (select tool_name as tool, sum(tool_use_count)::bigint as n from turns where tool_name is not null group by 1
@@ -66,7 +66,7 @@ def tool_mix(t):
 select session_id, arg_min(model, (-n, seen)) as model from (
   select session_id, model, count(*) as n, min((ts, file, line)) as seen from turns where model is not null group by all) group by 1""")
 def dominant_model(t):
-    return rollups.dominant_model(t.turns, ["session_id"])
+    return rollups.dominant_model(t.lazy_turns, ["session_id"])
 
 
 
@@ -86,7 +86,7 @@ def anchored_windows(t):
 
 @query("peak_window_cost", sql.windows("session_id") + "select session_id, max(units)::double / 1e10 as peak_window_cost from wins group by 1", prelude=RECURSIVE)
 def peak_window_cost(t):
-    return windows5h.peak_window_cost(t.turns, ["session_id"])
+    return windows5h.peak_window_cost(t.lazy_turns, ["session_id"])
 
 
 _NOW = f"timestamp '{AS_OF}'"
@@ -179,25 +179,25 @@ _MODELS = f""", models as (
 
 @query("model_rollup", _MODELS + "select * from rated")
 def model_rollup(t):
-    return rounded(rollups.model_rollups(t.turns), 10, "cost_share")
+    return rounded(rollups.model_rollups(t.lazy_turns), 10, "cost_share")
 
 
 @query("models_panel", _MODELS + f"""
 select model, {sql.SHORT_MODEL.replace("model is null", "model = '(unknown)'")} as short_name, (select context_window // 1000 from price where price_key = model) as context_window_k, cost_share from rated""")
 def models_panel(t):
-    return rounded(panels.models_panel(t.turns), 10, "cost_share").select("model", "short_name", "context_window_k", "cost_share")
+    return rounded(panels.models_panel(t.lazy_turns), 10, "cost_share").select("model", "short_name", "context_window_k", "cost_share")
 
 
 @query("models_aggregate", _MODELS + f"""
 select count(*) as active_count, arg_max({sql.SHORT_MODEL}, (cost_usd, model)) as dominant, arg_max(cost_share, (cost_usd, model)) as dominant_share from rated""")
 def models_aggregate(t):
-    return rounded(panels.models_aggregate(panels.models_panel(t.turns)), 10, "dominant_share")
+    return rounded(panels.models_aggregate(panels.models_panel(t.lazy_turns)), 10, "dominant_share")
 
 
 @query("models_in_window", _MODELS.replace("from turns group by 1", f"from turns where ts::date >= date '{AS_OF_DAY}' - 6 group by 1") + """
 select model, turns, cost_usd, case when turns > 0 then sidechain_turns / turns else 0 end as sidechain_ratio, case when turns > 0 then interrupted_turns / turns else 0 end as interrupted_rate from rated""")
 def models_in_window(t):
-    scoped = series.in_days(t.turns, series.range_start("7d", AS_OF_DAY), None)
+    scoped = series.in_days(t.lazy_turns, series.range_start("7d", AS_OF_DAY), None)
     return rollups.model_rollups(scoped).select(
         "model", "turns", "cost_usd", (F.col("sidechain_turns") / F.col("turns")).alias("sidechain_ratio"),
         (F.col("interrupted_turns") / F.col("turns")).alias("interrupted_rate"),
@@ -362,7 +362,7 @@ def path_scalars(t):
 @query("display_models", f"""
 select distinct model, case when model is null then '—' else regexp_replace(regexp_replace(regexp_replace(model, '^claude-', ''), '-[0-9]{{8}}$', ''), '^(.+)-([0-9]+)-([0-9]+)$', '\\1-\\2.\\3') end as display from turns""")
 def display_models(t):
-    return t.turns.select("model").distinct().select("model", pricing.display_model(F.col("model")).alias("display"))
+    return t.lazy_turns.select("model").distinct().select("model", pricing.display_model(F.col("model")).alias("display"))
 
 
 @query("archived_sessions", "select s.session_id, not exists (select 1 from raw r where r.session_id = s.session_id and r.ts >= timestamp '2024-01-20 00:00:00') as archived from sessions s")

@@ -15,6 +15,7 @@ from turnledger import constants as K
 from turnledger.functions import pricing
 from turnledger.operators import attribution, dedup
 from turnledger.plans import turns as turn_plan
+from turnledger.session import stored
 
 AS_OF_DAY = "2024-01-30"
 AS_OF = "2024-01-30 18:00:00"
@@ -116,9 +117,15 @@ class Tables:
         ).drop("tool_name", "triggered_skill")
 
     @cached_property
-    def turns(self) -> DataFrame:
+    def lazy_turns(self) -> DataFrame:
+        """Turns for reports that read them once."""
         return turn_plan.build_turns(self.raw)
 
+    @cached_property
+    def turns(self) -> DataFrame:
+        """The turn table for reports that read it several times: deduplicated and priced once."""
+        return stored(self.lazy_turns, "turns")
+
     @cached_property
     def sessions(self) -> DataFrame:
         return dedup.session_dimension(self.raw, self.turns)

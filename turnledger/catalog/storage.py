@@ -299,7 +299,9 @@ def stream_windows(t):
     return windows.select("session_id", "window_start", "cost_usd", "total_tokens")
 
 
-@query("stream_history", "select cast(ts::date as varchar) as date, count(*) as turns from turns group by 1")
+@query("stream_history", """
+select cast(ts::date as varchar) as date, count(*) as turns from (
+  select * from raw qualify dedup_key is null or row_number() over (partition by dedup_key order by line desc) = 1) group by 1""")
 def stream_history(t):
     """Landed log files into the history through a stream, then a deletion request that matches nothing."""
     folder, root = _folder(t, "landing"), _folder(t, "streamed")

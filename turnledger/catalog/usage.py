@@ -22,12 +22,12 @@ from generate_series(date '{SINCE}', date '{UNTIL}', interval 1 day) g(d)
 left join (select ts::date as date, {sql.MEASURES} from turns group by 1) r on r.date = d::date
 """)
 def daily_rollup(t):
-    return series.daily(t.turns, SINCE, UNTIL)
+    return series.daily(t.lazy_turns, SINCE, UNTIL)
 
 
 @query("hourly_rollup", f"select cast(date_trunc('hour', ts) as varchar) as hour, {sql.MEASURES} from turns group by 1")
 def hourly_rollup(t):
-    return series.hourly(t.turns)
+    return series.hourly(t.lazy_turns)
 
 
 @query("hourly_day_filled", f"""
@@ -36,14 +36,14 @@ from generate_series(timestamp '2024-01-10 00:00:00', timestamp '2024-01-10 23:0
 left join (select date_trunc('hour', ts) as hour, {sql.MEASURES} from turns where ts::date = date '2024-01-10' group by 1) r on r.hour = h
 """)
 def hourly_day_filled(t):
-    return series.hourly(t.turns, "2024-01-10", fill=True)
+    return series.hourly(t.lazy_turns, "2024-01-10", fill=True)
 
 
 _DAYS = f", days as (select ts::date as date, {sql.MEASURES} from turns group by 1), eff as (select date, cost_usd, output_tokens, turns, {sql.efficiency()} from days)"
 
 
 def _efficiency(t):
-    return series.efficiency_series(series.daily(t.turns, "2023-12-20", AS_OF_DAY))
+    return series.efficiency_series(series.daily(t.lazy_turns, "2023-12-20", AS_OF_DAY))
 
 
 @query("daily_efficiency", _DAYS + "select cast(date as varchar) as date, * exclude (date) from eff")
@@ -121,21 +121,21 @@ def anomaly_rule(t):
 select {sql.usd()} as today_cost, count(distinct session_id) as sessions, sum(output_tokens)::bigint as output_tokens,
   sum(input_tokens)::bigint as input_tokens, cast(max(ts) as varchar) as last_active from turns where ts::date = date '{AS_OF_DAY}'""")
 def topbar(t):
-    return panels.topbar(t.turns, AS_OF_DAY)
+    return panels.topbar(t.lazy_turns, AS_OF_DAY)
 
 
 @query("model_mix", f"""
 select model, round(cost_usd / sum(cost_usd) over (), 10) as share from (
   select {sql.SHORT_MODEL} as model, {sql.usd()} as cost_usd from turns where model is not null group by 1)""")
 def model_mix(t):
-    return rounded(panels.model_mix(t.turns), 10, "share")
+    return rounded(panels.model_mix(t.lazy_turns), 10, "share")
 
 
 @query("breakdown_summary", f"""
 select count(distinct session_id) as sessions, {sql.MEASURES}, {sql.usd("cache_saved_units")} as cache_saved_usd
 from turns where ts::date >= date '{AS_OF_DAY}' - 6""")
 def breakdown_summary(t):
-    return breakdown.summary(t.turns, series.range_start("7d", AS_OF_DAY))
+    return breakdown.summary(t.lazy_turns, series.range_start("7d", AS_OF_DAY))
 
 
 _PARTS = ", ".join(f"{sql.usd(c + '_units')} as {c}_cost" for c in rollups.COMPONENTS)
@@ -143,14 +143,14 @@ _PARTS = ", ".join(f"{sql.usd(c + '_units')} as {c}_cost" for c in rollups.COMPO
 
 @query("daily_tokens", f"select cast(ts::date as varchar) as date, {sql.SUMS}, {sql.usd()} as cost_usd, {_PARTS} from turns group by 1")
 def daily_tokens(t):
-    return breakdown.daily_tokens(t.turns)
+    return breakdown.daily_tokens(t.lazy_turns)
 
 
 @query("range_fallback", f"""
 select cast(min(ts)::date as varchar) as earliest, cast(min(ts)::date as varchar) as since,
   date_diff('day', min(ts)::date, date '{AS_OF_DAY}') + 1 as have_days, true as fallback from turns""")
 def range_fallback(t):
-    return series.effective_range(t.turns, "90d", AS_OF_DAY)
+    return series.effective_range(t.lazy_turns, "90d", AS_OF_DAY)
 
 
 @query("assumption_counts", """
@@ -161,7 +161,7 @@ left join (select tag, count(*) as n from (
   union all select 'dedup_passthrough' from turns where dedup_key is null
   union all select 'interrupted_turn_skipped' from turns where is_interrupted) group by 1) using (tag)""")
 def assumption_counts(t):
-    return turn_plan.tag_counts(t.turns, window_calls=3)
+    return turn_plan.tag_counts(t.lazy_turns, window_calls=3)
 
 
 _VARIANTS = ["model", "model || '-thinking'", "model || '[1m]'", "upper(model)", "replace(model, 'claude', 'gpt')", "replace(model, 'sonnet', 'x')",
@@ -183,7 +183,7 @@ select model, case how when 'known' then clean when 'estimated' then case when c
   {sql.SHORT_MODEL} as short_model
 from keyed""")
 def price_resolution(t):
-    names = t.turns.select("model").distinct()
+    names = t.lazy_turns.select("model").distinct()
     variants = names.select(F.explode(F.array(*[F.expr(v) for v in _VARIANTS])).alias("model")).distinct()
     model = F.col("model")
     return variants.select(
@@ -198,7 +198,7 @@ select line, price_key, input_units::double / 1e10 as input_usd, output_units::d
   cache_creation_units::double / 1e10 as cache_creation_usd, cost_units::double / 1e10 as cost_usd, cache_saved_units::double / 1e10 as cache_saved_usd from turns""")
 def turn_costs(t):
     names = [*(f"{c}_units" for c in rollups.COMPONENTS), "cost_units", "cache_saved_units"]
-    return t.turns.select("line", "price_key", *[usd(F.col(n)).alias(n.replace("_units", "_usd")) for n in names])
+    return t.lazy_turns.select("line", "price_key", *[usd(F.col(n)).alias(n.replace("_units", "_usd")) for n in names])
 
 
 @query("dedup_last_wins", "select dedup_key, file, line, is_interrupted from turns")
@@ -252,14 +252,14 @@ def colours_and_badges(t):
   union all select 'TOTAL', count(*), {sql.SUMS}, {sql.usd()} from turns)
 select date, turns, input_tokens, output_tokens, cache_read_tokens, cache_creation_tokens, cost_usd, {sql.efficiency()} from alltogether""")
 def report_with_total(t):
-    return panels.report_totals(series.daily(t.turns), "date")
+    return panels.report_totals(series.daily(t.lazy_turns), "date")
 
 
 @query("daily_panel", _DAYS + f""", shown as (select * from eff where date >= date '{AS_OF_DAY}' - 29)
 select cast(date as varchar) as date, cost_usd, output_tokens, turns, hit_pct, cost_per_kw, ctx_ratio, cache_reuse,
   round(avg(hit_pct) over (order by date rows between 6 preceding and current row), 10) as hit_pct_avg_7d from shown""")
 def daily_panel(t):
-    return rounded(panels.daily_panel(t.turns, AS_OF_DAY), 10, "hit_pct_avg_7d")
+    return rounded(panels.daily_panel(t.lazy_turns, AS_OF_DAY), 10, "hit_pct_avg_7d")
 
 
 @query("token_ratios", f"""
@@ -267,7 +267,7 @@ select session_id, {sql.over("cr", "(cr + cc)")} as cache_reuse_ratio, {sql.over
 from (select session_id, sum(input_tokens) as i, sum(cache_read_tokens) as cr, sum(cache_creation_tokens) as cc from turns group by 1)""")
 def token_ratios(t):
     read, creation, inp = F.col("cache_read_tokens"), F.col("cache_creation_tokens"), F.col("input_tokens")
-    return rollups.session_totals(t.turns).select(
+    return rollups.session_totals(t.lazy_turns).select(
         "session_id", ratios.reuse_share(read, creation).alias("cache_reuse_ratio"),
         ratios.plain_input_share(inp, ratios.context_tokens()).alias("plain_input_share"),
         ratios.hit_rate(read, creation, inp).alias("hit_rate"),
@@ -279,6 +279,6 @@ select ours, theirs, abs(ours - theirs) / greatest(theirs, 1e-9::double) as diff
 from (select {sql.usd()} as ours from turns), (select {sql.usd()} as theirs from lines)""")
 def cost_reconciliation(t):
     external = series.daily(t.lines).select(F.col("date").cast("string").alias("date"), F.col("cost_usd").alias("totalCost"))
-    return reconcile.compare(t.turns, external)
+    return reconcile.compare(t.lazy_turns, external)
 
 
