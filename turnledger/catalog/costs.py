@@ -69,9 +69,9 @@ def turn_rest(t):
 def split_keeps_total(t):
     per_tool, rest = t.split
     parts = per_tool.select("file", "line", F.col("tool_usd").alias("usd")).unionByName(rest.select("file", "line", F.col("rest_usd").alias("usd")))
-    kept = parts.join(t.turns.select("file", "line"), ["file", "line"], "left_semi").agg(F.sum("usd").alias("split_cost")).withColumn("one", F.lit(1))
-    total = series.daily(t.turns).agg(F.sum(F.round(F.col("cost_usd") * 1e10).cast("bigint")).alias("u")).select((F.col("u") / 1e10).alias("turn_cost"), F.lit(1).alias("one"))
-    return rounded(total.join(kept, "one").drop("one"), 6, "split_cost")
+    kept = parts.join(t.turns.select("file", "line"), ["file", "line"], "left_semi").agg(F.sum("usd").alias("split_cost"))
+    total = series.daily(t.turns).agg(F.sum(F.round(F.col("cost_usd") * 1e10).cast("bigint")).alias("u")).select((F.col("u") / 1e10).alias("turn_cost"))
+    return rounded(topk.beside(total, kept), 6, "split_cost")
 
 
 def _breakdown_sql(usd: str, residual: str) -> str:

@@ -10,7 +10,7 @@ from turnledger.catalog import shapes, sql
 from turnledger.catalog.base import query
 from turnledger.catalog.shapes import AS_OF, ORACLE_TURNS
 from turnledger.functions.money import usd_sum
-from turnledger.operators import dedup, series
+from turnledger.operators import dedup, series, topk
 from turnledger.plans import turns as turn_plan
 from turnledger.session import checkpoint_dir
 from turnledger.sources import history, logs
@@ -130,9 +130,8 @@ def changed_files(t):
         found.join(keep, "file", "left_anti").withColumn("mtime", F.col("mtime") - F.expr("interval 1 second"))
     )
     changed = logs.changed_files(found, marks)
-    return changed.agg(F.count(F.lit(1)).alias("changed")).withColumn("one", F.lit(1)).join(
-        found.join(changed, "file", "left_anti").agg(F.count(F.lit(1)).alias("same")).withColumn("one", F.lit(1)), "one"
-    ).drop("one")
+    same = found.join(changed, "file", "left_anti")
+    return topk.beside(changed.agg(F.count(F.lit(1)).alias("changed")), same.agg(F.count(F.lit(1)).alias("same")))
 
 
 # -- history -------------------------------------------------------------------
@@ -168,8 +167,7 @@ def history_query(t):
 @query("history_hot", f"select count(*) as turns, count(distinct session_id) as sessions from turns where ts >= timestamp '{AS_OF}' - interval 7 day")
 def history_hot(t):
     turns, sessions = _history(t).hot(7, AS_OF)
-    one = F.lit(1).alias("one")
-    return turns.agg(F.count(F.lit(1)).alias("turns")).select(one, "*").join(sessions.agg(F.count(F.lit(1)).alias("sessions")).select(one, "*"), "one").drop("one")
+    return topk.beside(turns.agg(F.count(F.lit(1)).alias("turns")), sessions.agg(F.count(F.lit(1)).alias("sessions")))
 
 
 @query("history_high_water", "select session_id, cast(max(ts) as varchar) as last_ts from turns group by 1")

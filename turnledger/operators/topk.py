@@ -49,3 +49,11 @@ def keep_if_few(df: DataFrame, name: str, value: str, order: str, limit: int = 6
     )
     label = F.when((F.col("members") <= limit) | (F.col("rank") < limit), F.col(name)).otherwise("others")
     return ranked.groupBy(label.alias(name)).agg(F.sum(value).alias(value))
+
+
+def beside(*totals: DataFrame) -> DataFrame:
+    """Columns of several one-row totals in one row, without a join."""
+    rows = totals[0]
+    for other in totals[1:]:
+        rows = rows.unionByName(other, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from turnledger.constants import USD_UNITS, WINDOW_HOURS
 from turnledger.functions.ratios import context_tokens
+from turnledger.operators import topk
 
 _PLACE = ("ts", "file", "line")
 
@@ -110,21 +111,24 @@ def burn_projection(turns: DataFrame, as_of: str, lookback_minutes: int, scope_h
         .select("scope", "w.*")
         .filter(F.col("window_end") >= now)
     )
-    member = (F.col("ts") >= F.col("window_start")) & (F.col("ts") < F.col("window_end"))
     attached = ~F.col("is_interrupted") | (F.struct(*_PLACE) > F.col("first_billed"))
     cutoff = now - F.expr(f"interval {lookback_minutes} minutes")
+    start_hour = F.floor(F.unix_timestamp("window_start") / 3600)
+    # The open window is one row, so its hours are at most WINDOW_HOURS rows.
+    open_hours = latest.select("first_billed", F.explode(F.sequence(start_hour, start_hour + WINDOW_HOURS - 1)).alias("hour"))
     late = (
         recent.filter(F.col("ts") >= cutoff)
-        .join(F.broadcast(latest), "scope")  # one row at most
-        .filter(member & attached)
-        .groupBy("scope")
+        .withColumn("hour", _hour())
+        .join(F.broadcast(open_hours), "hour")
+        .filter(attached)
         .agg(F.sum("cost_units").alias("units"), F.count(F.lit(1)).alias("recent_turns"))
     )
     hours = lookback_minutes / 60
     left = F.greatest(F.unix_micros("window_end") - F.unix_micros(now), F.lit(0)) / F.lit(3.6e9)
     rate = F.col("recent_cost") / hours if hours > 0 else F.lit(0.0)
     return (
-        latest.join(late, "scope", "left")
+        topk.beside(latest.drop("scope", "first_billed"), late)
+        .filter("window_start is not null")
         .withColumn("recent_cost", F.coalesce("units", F.lit(0)) / float(USD_UNITS))
         .withColumn("recent_turns", F.coalesce("recent_turns", F.lit(0)))
         .withColumn("burn_rate_usd_per_hour", rate)
@@ -132,5 +136,5 @@ def burn_projection(turns: DataFrame, as_of: str, lookback_minutes: int, scope_h
         .withColumn("remaining_hours", left)
         .withColumn("projected_cost", F.col("cost_usd") + F.col("burn_rate_usd_per_hour") * F.col("remaining_hours"))
         .withColumn("over_reference", F.col("projected_cost") > 50.0)
-        .drop("scope", "units", "first_billed")
+        .drop("units")
     )

@@ -53,14 +53,19 @@ def tool_breakdown(
     real = named.filter(~reserved & F.col("cost_usd").isNotNull()).withColumn("calls", F.coalesce("calls", F.lit(0)))
     ranked = topk.head_and_other(real, "tool", "cost_usd", top, K.OTHER, extra=("calls",), keep=("last_active",))
     # Calls of tools that never cost anything belong to the tail when there is one.
-    uncosted = named.filter("cost_usd is null").agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("uncosted")).withColumn(
-        "tool", F.lit(K.OTHER)
+    uncosted = named.filter("cost_usd is null").agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls")).select(
+        F.lit(K.OTHER).alias("tool"), "calls"
     )
-    shown = ranked.join(F.broadcast(uncosted), "tool", "left").select(
-        F.col("tool").alias("name"), "cost_usd",
-        (F.col("calls") + F.coalesce("uncosted", F.lit(0))).alias("count"),
-        F.col("members").alias("tool_count"),
-        "last_active",
+    shown = (
+        ranked.withColumn("ranked", F.lit(1))
+        .unionByName(uncosted, allowMissingColumns=True)
+        .groupBy(F.col("tool").alias("name"))
+        .agg(
+            F.max("cost_usd").alias("cost_usd"), F.sum("calls").alias("count"), F.max("members").alias("tool_count"),
+            F.max("last_active").alias("last_active"), F.count("ranked").alias("ranked"),
+        )
+        .filter("ranked > 0")
+        .drop("ranked")
     )
     if reads_out:
         # Every billed turn has a remainder row, so every turn is in this grouping.
@@ -153,9 +158,8 @@ def skill_totals(turns: DataFrame) -> DataFrame:
     idle = skill_costs(turns).filter("cost_usd is null and invocations > 0").agg(
         F.count(F.lit(1)).alias("uncharged_skills"), F.coalesce(F.sum("invocations"), F.lit(0)).alias("uncharged_uses")
     )
-    one = F.lit(1).alias("one")
     return (
-        totals.select(one, "*").join(idle.select(one, "*"), "one").drop("one")
+        topk.beside(totals, idle)
         .withColumn("spend_share", ratios.ratio(F.col("skill_cost"), F.col("total_cost")))
         .withColumn("token_share", ratios.ratio(F.col("skill_billable_tokens"), F.col("total_billable_tokens")))
     )
@@ -167,9 +171,8 @@ def tool_shares(breakdown: DataFrame, tokens: DataFrame) -> DataFrame:
     spend = breakdown.agg(
         F.coalesce(F.sum(F.when(~rest, F.col("cost_usd"))), F.lit(0.0)).alias("tool_cost"), F.sum("cost_usd").alias("all_cost")
     )
-    one = F.lit(1).alias("one")
     tool_tokens = F.greatest(F.col("total_billable_tokens") - F.col("nontool_billable_tokens"), F.lit(0.0))
-    return spend.select(one, "*").join(tokens.select(one, "*"), "one").select(
+    return topk.beside(spend, tokens).select(
         "tool_cost",
         ratios.ratio(F.col("tool_cost"), F.col("all_cost")).alias("spend_share"),
         ratios.ratio(tool_tokens, F.col("total_billable_tokens")).alias("token_share"),

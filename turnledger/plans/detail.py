@@ -68,9 +68,9 @@ def day_summary(turns: DataFrame, date: str, days: int = 7) -> DataFrame:
     after = breakdown._days_back(date, -1)
     since = breakdown._days_back(date, days)
     week = series.daily(turns, since, date)
-    median = series.trailing(week, "cost_usd", after, days).select(F.lit(1).alias("one"), "median")
+    median = series.trailing(week, "cost_usd", after, days).select("median")
     total = series.in_days(turns, date, date).agg(usd_sum(F.col("cost_units")).alias("total_cost"), F.count(F.lit(1)).alias("turns"))
-    joined = total.withColumn("one", F.lit(1)).join(median, "one")
+    joined = topk.beside(total, median)
     against = ratios.ratio(F.col("total_cost"), F.col("median"))
     return joined.select(
         "turns", "total_cost", against.alias("delta_vs_7d_median"),
@@ -137,7 +137,6 @@ def tool_turns(turns: DataFrame, per_tool: DataFrame, tool: str) -> DataFrame:
 def tool_scorecard(turns: DataFrame, rows: DataFrame, projects: DataFrame, today: str) -> DataFrame:
     """Totals of one tool: cost, share of all spend, calls, calls of the last week, top project."""
     week = F.lit(breakdown._days_back(today, 6)).cast("timestamp")
-    one = F.lit(1).alias("one")
     sums = rows.agg(
         F.sum("tool_usd").alias("cost_usd"),
         F.coalesce(F.sum("tool_output_tokens"), F.lit(0.0)).alias("output_tokens"),
@@ -146,9 +145,9 @@ def tool_scorecard(turns: DataFrame, rows: DataFrame, projects: DataFrame, today
     )
     grand = billed(turns).agg(usd_sum(F.col("cost_units")).alias("grand_total"))
     lead = tool_projects(rows, projects).orderBy(F.desc("cost_usd"), "cwd").limit(1).select(
-        one, F.col("label").alias("top_project"), F.col("cost_usd").alias("top_cost")
+        F.col("label").alias("top_project"), F.col("cost_usd").alias("top_cost")
     )
-    return sums.select(one, "*").join(grand.select(one, "*"), "one").join(lead, "one", "left").select(
+    return topk.beside(sums, grand, lead).select(
         "cost_usd", "output_tokens", "invocations", "invocations_7d",
         F.coalesce(ratios.ratio(F.col("cost_usd"), F.col("grand_total")), F.lit(0.0)).alias("share_of_total"),
         "top_project", F.coalesce(ratios.ratio(F.col("top_cost"), F.col("cost_usd")), F.lit(0.0)).alias("top_share"),
@@ -187,7 +186,6 @@ def skill_scorecard(turns: DataFrame, skill: str, projects: DataFrame, today: st
     own = F.col("attribution_skill") == skill
     uses = F.coalesce(F.element_at("skill_names", F.lit(skill)), F.lit(0))
     week = F.lit(breakdown._days_back(today, 6)).cast("timestamp")
-    one = F.lit(1).alias("one")
     sums = billed(turns).agg(
         usd_sum(F.when(own, F.col("cost_units"))).alias("cost_usd"),
         F.coalesce(F.sum(F.when(own, F.col("output_tokens"))), F.lit(0)).alias("output_tokens"),
@@ -197,11 +195,11 @@ def skill_scorecard(turns: DataFrame, skill: str, projects: DataFrame, today: st
         usd_sum(F.when(own & F.col("is_sidechain"), F.col("cost_units"))).alias("subagent_usd"),
         usd_sum(F.col("cost_units")).alias("grand_total"),
         F.count_if(own).alias("n"),
-    ).filter("n > 0 or invocations > 0")
+    )
     lead = projects_of(skill_turns(turns, skill), projects).orderBy(F.desc("cost_usd"), "cwd").limit(1).select(
-        one, F.when(F.col("cwd") == K.UNKNOWN, "—").otherwise(paths.basename(F.col("cwd"))).alias("top_project")
+        F.when(F.col("cwd") == K.UNKNOWN, "—").otherwise(paths.basename(F.col("cwd"))).alias("top_project")
     )
-    return sums.select(one, "*").join(lead, "one", "left").select(
+    return topk.beside(sums, lead).filter("n > 0 or invocations > 0").select(
         "cost_usd", "output_tokens", "invocations", "invocations_7d", "inline_usd", "subagent_usd",
         F.coalesce(ratios.ratio(F.col("cost_usd"), F.col("grand_total")), F.lit(0.0)).alias("share_of_total"), "top_project",
     )

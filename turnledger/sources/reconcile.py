@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnledger.functions.money import usd_sum
+from turnledger.operators import topk
 
 TOLERANCE = 0.02
 
@@ -24,10 +25,9 @@ def compare(turns: DataFrame, totals: DataFrame, tolerance: float = TOLERANCE) -
     amount = F.coalesce(*columns, F.lit(0.0))
     theirs = totals.agg(usd_sum(F.round(amount * 1e10).cast("bigint")).alias("theirs"))
     ours = turns.agg(usd_sum(F.col("cost_units")).alias("ours"))
-    one = F.lit(1).alias("one")
     diff = F.abs(F.col("ours") - F.col("theirs")) / F.greatest("theirs", F.lit(1e-9))
     return (
-        ours.select(one, "*").join(theirs.select(one, "*"), "one").drop("one")
+        topk.beside(ours, theirs)
         .withColumn("diff", diff)
         .withColumn("status", F.when(F.col("diff") <= tolerance, "OK").otherwise("FAIL"))
     )
