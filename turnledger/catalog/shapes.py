@@ -11,7 +11,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnledger import constants as K
 from turnledger.functions import pricing
 from turnledger.operators import attribution, dedup
 from turnledger.plans import turns as turn_plan
