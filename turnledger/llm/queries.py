@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnledger.llm import near_dup
+from turnledger.llm import decontaminate, licenses, line_spread, mixing, near_dup, quality_model, quality_rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,41 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_secret_scan", secrets.report_sql())
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.report(table(spark, folder, "documents"))
+
+
+@query("op3_quality_rules", quality_rules.report_sql())
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.report(table(spark, folder, "documents"))
+
+
+@query("op6_license_scan")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query("op7_minhash_near_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents"), words=2, percent=80)
+
+
+@query("op4_line_site_spread", line_spread.report_sql())
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return line_spread.line_report(table(spark, folder, "documents"))
+
+
+@query("op5_benchmark_leaks")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op9_source_mix")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_model.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
