@@ -14,8 +14,9 @@ ids, band keys and sketches, and the texts of candidate pairs only.
 * A bucket never emits its pairs. Each member is first verified against one
   central member, the one that shares the most buckets; the verified links give
   components. Members of a bucket that are still in different components are
-  compared by their sketches in blocks inside tasks, and only pairs within reach
-  of the threshold are verified. So no candidate that could join two components is skipped.
+  compared in blocks inside tasks, on sketches first and then on full sets, and
+  only links that join components leave a task. No candidate that could join two
+  components is skipped.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +36,8 @@ from turnledger.session import stored
 BANDS, ROWS = 40, 5
 #: A pair whose sketches agree on less than its similarity minus this is not verified: 5 standard deviations for 200 coordinates at 0.8.
 SLACK = 0.14
-#: Members of a bucket that one block of sketch comparisons holds.
-CHUNK = 1024
+#: Shingles on one side of a block of comparisons (a longer text is a block of its own).
+CHUNK = 400_000
 
 SKETCHES = "doc_id bigint, n_shingles bigint, set_hi bigint, set_lo bigint, bands array<bigint>, sketch binary"
 
@@ -118,52 +118,89 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _close_pairs(members: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) in one bucket and different components whose sketches agree on ``least`` coordinates or more.
+def shingled(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(doc, shingles): the full shingle sets of the documents in ``ids`` (doc_id), as packed 64-bit hashes."""
+    rows = maybe_in(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", ids)
 
-    ``members`` has (key, doc, root, sketch, main), main the component that most
-    members of the bucket are in; every pair to compare has a side outside it. A
-    bucket is a grid of blocks: rows outside main in columns, all rows in rows.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch, "text"):
+                sets, ends = shingle_sets(block.column("text"), words)
+                packed = pa.array([sets[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), packed], names=["doc", "shingles"])
+
+    return rows.where("_maybe").select("doc_id", "text").mapInArrow(run, "doc bigint, shingles binary")
+
+
+def _bridges(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different components inside the buckets that hold several.
+
+    ``members`` has (key, band, doc, root, main, n_shingles, sketch, shingles),
+    main the component of most members of the bucket; every pair to compare has a
+    side outside it. A bucket is a grid of blocks of bounded size: rows outside
+    main in columns, all rows in rows. In a block, pairs whose sketches come near
+    the similarity are verified on the full sets, most alike first, and as soon
+    as two components are joined their other pairs need no look; only the
+    joining links leave the task. A pair is compared in the first band it shares.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("main")).alias("m"))
-    grid = members.join(sizes, "key").withColumn("rows", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("cols", F.ceil(F.col("m") / CHUNK).cast("int"))
+    least = int(np.floor((percent / 100 - SLACK) * BANDS * ROWS))
+    outside = F.col("root") != F.col("main")
+    sizes = members.groupBy("key").agg(F.sum("n_shingles").alias("n"), F.sum(F.when(outside, F.col("n_shingles")).otherwise(0)).alias("m"))
+    sizes = sizes.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("rows"), F.ceil(F.col("m") / CHUNK).cast("int").alias("cols"))
+    grid = members.join(sizes, "key")
     own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     down = grid.withColumn("r", own("rows")).withColumn("c", each("cols")).withColumn("side", F.lit(0))
-    across = grid.where("root <> main").withColumn("c", own("cols")).withColumn("r", each("rows")).withColumn("side", F.lit(1))
-    cells = down.unionByName(across).select("key", "r", "c", "side", "doc", "root", "sketch")
-
-    def compare(key: int, side: np.ndarray, doc: np.ndarray, root: np.ndarray, marks: np.ndarray):
-        xs, ys = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        for y in ys:
-            near = xs[(root[xs] != root[y]) & ((marks[xs] == marks[y]).sum(axis=1) >= least)]
-            for x in near:
-                yield min(doc[x], doc[y]), max(doc[x], doc[y])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for part in batches:
-            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
-            cell = part[["key", "r", "c"]].to_numpy()
-            cuts = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1
-            last = cuts[-1] if len(cuts) else 0
-            yield found(part.iloc[:last], cuts[:-1])
-            rest = part.iloc[last:]
-        if rest is not None:
-            yield found(rest, np.array([], int))
-
-    def found(part: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
-        pairs: set[tuple[int, int]] = set()
-        if len(part):
-            marks = np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(len(part), -1)
-            key, side, doc, root = (part[c].to_numpy() for c in ("key", "side", "doc", "root"))
-            for begin, end in zip([0, *cuts], [*cuts, len(part)]):
-                s = slice(begin, end)
-                pairs.update(compare(key[begin], side[s], doc[s], root[s], marks[s]))
-        return pd.DataFrame({"a": pd.Series([p[0] for p in pairs], dtype="int64"), "b": pd.Series([p[1] for p in pairs], dtype="int64")})
-
-    dealt = cells.repartition("key", "r", "c").sortWithinPartitions("key", "r", "c")
-    return dealt.mapInPandas(run, "a bigint, b bigint").distinct()
+    across = grid.where(outside).withColumn("c", own("cols")).withColumn("r", each("rows")).withColumn("side", F.lit(1))
+    cells = down.unionByName(across).select("key", "r", "c", "band", "side", "doc", "root", "sketch", "shingles")
+
+    def join(band: int, side: np.ndarray, doc: np.ndarray, root: np.ndarray, marks: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        component = root.copy()
+        xs = np.flatnonzero(side == 0)
+        for y in np.flatnonzero(side == 1):
+            agree = marks[xs] == marks[y]
+            alike = agree.sum(axis=1)
+            ok = (alike >= least) & (component[xs] != component[y]) & (agree.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band)
+            left = xs[ok][np.argsort(-alike[ok], kind="stable")]
+            while len(left):
+                part, left = left[:64], left[64:]
+                lengths = np.array([len(sets[x]) for x in part])
+                flat = np.concatenate([sets[x] for x in part])
+                at = np.minimum(np.searchsorted(sets[y], flat), len(sets[y]) - 1)
+                shared = np.add.reduceat((sets[y][at] == flat).astype(np.int64), offsets_of(lengths)[:-1])
+                for x in part[100 * shared >= percent * (lengths + len(sets[y]) - shared)]:
+                    if component[x] != component[y]:
+                        component[component == component[x]] = component[y]
+                        yield min(doc[x], doc[y]), max(doc[x], doc[y])
+                left = left[component[left] != component[y]]
+
+    def found(part: pa.Table) -> pa.RecordBatch:
+        key, r, c, band, side, doc, root = (part.column(n).to_numpy() for n in ("key", "r", "c", "band", "side", "doc", "root"))
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (r[1:] != r[:-1]) | (c[1:] != c[:-1])) + 1
+        pairs: list[tuple[int, int]] = []
+        for begin, end in zip([0, *cuts], [*cuts, len(key)]):
+            if end - begin > 1:
+                one = part.slice(begin, end - begin)
+                marks = np.frombuffer(b"".join(one.column("sketch").to_pylist()), np.uint8).reshape(end - begin, -1)
+                sets = [np.frombuffer(x, np.uint64) for x in one.column("shingles").to_pylist()]
+                pairs += join(band[begin], side[begin:end], doc[begin:end], root[begin:end], marks, sets)
+        return pa.RecordBatch.from_arrays([pa.array([int(p[0]) for p in pairs], pa.int64()), pa.array([int(p[1]) for p in pairs], pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            part = part if rest is None else pa.concat_tables([rest, part])
+            cell = [part.column(n).to_numpy() for n in ("key", "r", "c")]
+            open_ = np.logical_and.reduce([x == x[-1] for x in cell]) if len(part) else np.zeros(0, bool)
+            last = int(np.argmax(open_)) if len(part) else 0  # the last cell may go on in the next batch
+            if last:
+                yield found(part.slice(0, last))
+            rest = part.slice(last)
+        if rest is not None and len(rest):
+            yield found(rest)
+
+    return cells.repartition("key", "r", "c").sortWithinPartitions("key", "r", "c").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -180,8 +217,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     prints = stored(sketches(docs, words), "sketches")
     real = prints.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"))
-    reps = real.join(classes.select(F.col("rep").alias("doc_id"), "set_hi", "set_lo"), ["doc_id", "set_hi", "set_lo"], "left_semi").select(F.col("doc_id").alias("doc"), "bands", "sketch")
-    spread = reps.select("doc", F.explode("bands").alias("key"))
+    reps = real.join(classes.select(F.col("rep").alias("doc_id"), "set_hi", "set_lo"), ["doc_id", "set_hi", "set_lo"], "left_semi").select(F.col("doc_id").alias("doc"), "n_shingles", "bands", "sketch")
+    spread = reps.select("doc", F.posexplode("bands").alias("band", "key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(spread.join(shared, "key"), "buckets")
 
@@ -196,13 +233,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     near = stored(components(first, "stars"), "stars")
 
     # buckets that still hold several components
-    rooted = members.join(near, members.doc == near.node, "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
+    rooted = members.join(near, members.doc == near.node, "left").select("key", "band", "doc", F.coalesce("root", "doc").alias("root"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     per_root = rooted.join(open_, "key").groupBy("key", "root").agg(F.count("*").alias("n"))
     main = per_root.groupBy("key").agg(F.max(F.struct("n", (-F.col("root")).alias("neg"))).alias("main")).select("key", (-F.col("main.neg")).alias("main"))
-    contested = rooted.join(main, "key").join(reps.select("doc", "sketch"), "doc")
-    least = int(np.floor((percent / 100 - SLACK) * BANDS * ROWS))
-    second = verified(_close_pairs(contested, least), docs, words, percent)
+    contested = stored(rooted.join(main, "key"), "contested")
+    ids = contested.select(F.col("doc").alias("doc_id")).distinct()
+    sets = shingled(docs, ids, words)
+    second = _bridges(contested.join(reps.select("doc", "n_shingles", "sketch"), "doc").join(sets, "doc"), percent)
     root_of = near.select(F.col("node"), F.col("root"))
     bridges = second.join(root_of, F.col("a") == F.col("node"), "left").select(F.coalesce("root", "a").alias("a"), "b")
     bridges = bridges.join(root_of, F.col("b") == F.col("node"), "left").select("a", F.coalesce("root", "b").alias("b"))
