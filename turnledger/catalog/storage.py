@@ -102,19 +102,43 @@ def line_numbers(t):
     )
 
 
-@query("block_sizes", """
-select case kind when 'tool_use' then 'tool_use' else kind end as kind, count(*) as blocks, sum(strlen('{"type":"text","text":"x' || conv_id || '"}'))::bigint as nbytes
-from (select conv_id, 'text' as kind from conversations) group by 1""", prelude="")
+_FRONT = "case conv_id % 4 when 1 then '{' when 2 then '\"' when 3 then chr(9) else '' end"
+
+
+@query("block_sizes", f"""
+select cast(conv_id as varchar) as file, turn as line, 'text' as kind, strlen('{{"type":"text","text":' || to_json({_FRONT} || text) || '}}')::bigint as nbytes
+from conversations""", prelude="")
 def block_sizes(t):
-    word = F.concat(F.lit("x"), F.col("conv_id"))
-    plain = F.to_json(F.struct(F.lit("user").alias("type"), F.struct(word.alias("content")).alias("message")))
-    listed = F.to_json(
-        F.struct(F.lit("user").alias("type"), F.struct(F.array(F.struct(F.lit("text").alias("type"), word.alias("text"))).alias("content")).alias("message"))
-    )
+    """Bytes of the real texts: users' as plain strings, some beginning with a brace, quote or tab, the others' as lists with stray elements."""
+    rows = t.table("conversations").withColumn("body", F.expr(f"{_FRONT} || text"))
+    body = F.to_json(F.struct(F.lit("text").alias("type"), F.col("body").alias("text")))
+    plain = F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.col("body").alias("content")).alias("message")))
+    listed = F.concat(F.lit('{"type":"assistant","message":{"content":["{not a block", 5, null, '), body, F.lit("]}}"))
     value = F.when(F.col("role") == "user", plain).otherwise(listed)
-    rows = t.table("conversations").select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("line"), value.alias("value"))
-    blocks = logs.content_blocks(logs.events(rows))
-    return blocks.groupBy("kind").agg(F.count(F.lit(1)).alias("blocks"), F.sum("nbytes").alias("nbytes"))
+    events = logs.events(rows.select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("line"), value.alias("value")))
+    return logs.content_blocks(events).select("file", "line", "kind", "nbytes")
+
+
+@query("malformed_lines", """
+select conv_id, turn, conv_id % 10 not in (1, 2, 3, 4) as read,
+  case when conv_id % 10 in (1, 2, 3, 4) then null when conv_id % 10 = 5 then 7 when conv_id % 10 = 6 then 0 when conv_id % 10 = 7 then null else turn end as input_tokens,
+  case when conv_id % 10 in (1, 2, 3, 4) then null else conv_id % 10 = 7 end as is_interrupted
+from conversations""", prelude="")
+def malformed_lines(t):
+    """Torn, single-quoted, bare and indented lines with the real texts: which of them are read, and with what counters."""
+    kind, text = F.pmod("conv_id", F.lit(10)), F.to_json(F.struct(F.col("text").alias("content")))
+    usage = (
+        F.when(kind == 5, '{"input_tokens": 7.0}').when(kind == 6, '{"input_tokens": null}').when(kind == 7, '{"output_tokens": 3}')
+        .otherwise(F.concat(F.lit('{"input_tokens": '), F.col("turn").cast("string"), F.lit("}")))
+    )
+    event = F.concat(F.lit('{"type": "assistant", "message": {"usage": '), usage, F.lit(', "content": ['), text, F.lit("]}}"))
+    value = (
+        F.when(kind == 1, F.concat(event, F.lit(" "), event)).when(kind == 2, F.concat(event, F.lit(" trailing"))).when(kind == 3, "{'type': 'assistant'}")
+        .when(kind == 4, F.concat(F.lit("["), event, F.lit("]"))).when(kind == 8, F.concat(F.lit("\t "), event, F.lit("\u00a0\r"))).otherwise(event)
+    )
+    rows = t.table("conversations").select("conv_id", "turn", F.lit("f").alias("file"), value.alias("value"))
+    read = F.col("type").isNotNull()
+    return logs.parse(rows).select("conv_id", "turn", read.alias("read"), "input_tokens", F.when(read, F.col("is_interrupted")).alias("is_interrupted"))
 
 
 @query("changed_files", "select count(distinct user_id % 8) - 1 as changed, 1::bigint as same from events", prelude="")

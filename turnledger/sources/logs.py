@@ -17,10 +17,11 @@ from turnledger.plans import turns as turn_plan
 
 EVENT = """type string, timestamp string, sessionId string, requestId string, uuid string, isSidechain boolean,
   cwd string, model string, version string, attributionSkill string,
-  message struct<id: string, model: string, stop_reason: string, content: array<string>,
-    usage: struct<input_tokens: bigint, output_tokens: bigint, cache_read_input_tokens: bigint,
-      cache_creation_input_tokens: bigint, cache_creation: struct<ephemeral_1h_input_tokens: bigint>>>"""
-PLAIN = "message struct<content: string>"
+  message struct<id: string, model: string, stop_reason: string, content: variant,
+    usage: struct<input_tokens: variant, output_tokens: variant, cache_read_input_tokens: variant,
+      cache_creation_input_tokens: variant, cache_creation: struct<ephemeral_1h_input_tokens: variant>>>"""
+#: What surrounds a line without being part of it.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 BLOCK = """type string, name string, id string, tool_use_id string, is_error boolean, text string,
   input struct<skill: string>"""
 
@@ -70,28 +71,33 @@ def with_place(lines: DataFrame) -> DataFrame:
     return lines.withColumn("place", F.monotonically_increasing_id())
 
 
+def stripped(line: Column) -> Column:
+    return F.btrim(line, F.lit(WHITE))
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """One row per line with the fields the reports use; columns other than ``value`` pass through.
 
     Lines that are blank, not JSON, not an object or without a type get a NULL type.
     """
-    text = F.trim("value")
-    parsed = lines.withColumn("e", F.when(F.startswith(text, F.lit("{")), F.from_json(text, EVENT)))
+    text = stripped(F.col("value"))
+    # one element of a one-element array: what follows the object on the line makes the line unusable
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{EVENT}>>", {"allowSingleQuotes": "false"})
+    parsed = lines.withColumn("e", F.when(F.startswith(text, F.lit("{")), listed)).withColumn("e", F.when(F.size("e") == 1, F.get("e", 0)))
     message, usage = F.col("e.message"), F.col("e.message.usage")
-    alone = F.when(
-        message["content"].isNull() & F.contains(text, F.lit('"content"')), F.from_json(text, PLAIN)["message"]["content"]
-    )
-    # Plain text content becomes one text block; a JSON object or array here means another kind of content.
-    wrapped = F.when(
-        (alone != "") & ~F.startswith(alone, F.lit("{")),
-        F.array(F.to_json(F.struct(F.lit("text").alias("type"), alone.alias("text")))),
-    )
-    content = F.filter(F.coalesce(message["content"], wrapped, F.array().cast("array<string>")), lambda b: F.startswith(b, F.lit("{")))
+    # the JSON type decides: a string is one text block whatever it begins with, of a list only the objects are blocks
+    given = message["content"]
+    plain = F.when(F.schema_of_variant(given) == "STRING", F.try_variant_get(given, "$", "string"))
+    wrapped = F.when(plain != "", F.array(F.to_json(F.struct(F.lit("text").alias("type"), plain.alias("text")))))
+    blocks = F.when(F.schema_of_variant(given).startswith("ARRAY"), F.try_variant_get(given, "$", "array<variant>"))
+    objects = F.transform(F.filter(blocks, lambda b: F.schema_of_variant(b).startswith("OBJECT")), lambda b: F.to_json(b))
+    content = F.coalesce(objects, wrapped, F.array().cast("array<string>"))
     default_session = F.regexp_extract("file", r"([^/]+)\.[^./]*$", 1)
     has_usage = usage["input_tokens"].isNotNull()
 
     def tokens(value: Column) -> Column:
-        return F.when(has_usage, F.coalesce(value, F.lit(0)))
+        whole = F.coalesce(F.try_variant_get(value, "$", "bigint"), F.try_variant_get(value, "$", "double").try_cast("bigint"))
+        return F.when(has_usage, F.coalesce(whole, F.lit(0)))
 
     when = F.coalesce(F.try_to_timestamp(F.col("e.timestamp")), F.timestamp_seconds(F.lit(0)))
     skill = F.col("e.attributionSkill")
@@ -126,7 +132,7 @@ def events(lines: DataFrame) -> DataFrame:
 
 def rejected(lines: DataFrame) -> DataFrame:
     """Unusable lines per file, blank ones apart."""
-    blank = F.trim("value") == ""
+    blank = stripped(F.col("value")) == ""
     return (
         parse(lines.withColumn("blank", blank))
         .groupBy("file")
