@@ -43,7 +43,7 @@ def test_parse_rules(spark, tmp_path):
     got = {r.uuid or r.line: r for r in turns.withColumn("usd", usd(F.col("cost_units"))).collect() if "agent" not in r.file}
     assert sorted(r.line for r in got.values()) == [8, 9, 10, 11, 14]
     assert got[8].input_tokens == 2000 and got[9].is_interrupted and got[9].usd == 0
-    assert got[10].dedup_key is None and "dedup_passthrough" in got[10].tags and got[11].tags == ["gemini_unpriced"]
+    assert got[10].dedup_key is None and "DEDUP_PASSTHROUGH" in got[10].tags and got[11].tags == ["GEMINI_UNPRICED"]
     assert got[14].is_sidechain and got[14].attribution_skill is None
     agent = turns.filter("file like '%agent.jsonl'").first()
     assert agent.is_sidechain and agent.session_id == "agent" and agent.ts.timestamp() == 0

@@ -43,8 +43,8 @@ def test_cost_components_and_one_hour_clamp(turns_of):
     assert rows[0].c == pytest.approx((1000 * 5 + 200 * 25 + 500 * 0.5 + 100 * 6.25) / 1e6, abs=1e-12)
     assert rows[1].c == pytest.approx(100 * 10 / 1e6, abs=1e-12)  # the one-hour share never exceeds the total
     assert rows[2].c == pytest.approx((0.025 + 0.3125) / 1e6, abs=1e-15)
-    assert rows[3].c == 0 and rows[3].tags == ["gemini_unpriced"]
-    assert rows[4].c == 0 and rows[4].tags == ["interrupted_turn_skipped"]
+    assert rows[3].c == 0 and rows[3].tags == ["GEMINI_UNPRICED"]
+    assert rows[4].c == 0 and rows[4].tags == ["INTERRUPTED_TURN_SKIPPED"]
 
 
 def test_money_sum_survives_what_a_bigint_sum_cannot(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from turnledger.catalog import sql
 from turnledger.catalog.base import query, rounded
-from turnledger.catalog.entities import LIMITS, RECURSIVE, SESSION_SQL, VERDICT
+from turnledger.catalog.entities import LIMITS, RECURSIVE, SESSION_SQL, VERDICT, project_sql
 from turnledger.catalog.shapes import AS_OF_DAY, ORACLE_EVENT_BLOCKS, oracle_split
 from turnledger.operators import attribution, entity, series, topk
 from turnledger.plans import breakdown, detail, rollups
@@ -120,6 +120,9 @@ select coalesce(cost.name, calls.name) as name, round(coalesce(c, 0), 8) as cost
 from cost full join calls on cost.name = calls.name"""
 
 
+_TOOLS_ONLY = " where coalesce(cost.name, calls.name) <> '__unattributed__'"
+
+
 @query("tool_costs", _tool_costs_sql(), prelude=SPLIT)
 def tool_costs(t):
     return rounded(breakdown.tool_costs(t.turns, t.split[0]), 8, "cost_usd")
@@ -200,7 +203,7 @@ def _bash(t):
 @query("tool_scorecard", _TOOL_TURNS + f""", p as (select project, sum(usd) as c from mine join projects using (session_id) group by 1 order by c desc, project limit 1)
 select round(sum(usd), 8) as cost_usd, round(sum(out_tok), 3) as output_tokens, sum(calls)::bigint as invocations, coalesce(sum(calls) filter (ts::date >= date '{AS_OF_DAY}' - 6), 0)::bigint as invocations_7d,
   round(sum(usd) / (select {sql.usd()} from turns where not is_interrupted), 9) as share_of_total,
-  (select case when project = '(unknown)' then project else list_last(string_split(project, '/')) end from p) as top_project, round((select c from p) / sum(usd), 9) as top_share from mine""", prelude=_WITH_PROJECTS)
+  (select case when project = '(unknown)' then '—' else list_last(string_split(project, '/')) end from p) as top_project, round((select c from p) / sum(usd), 9) as top_share from mine""", prelude=_WITH_PROJECTS)
 def tool_scorecard(t):
     card = detail.tool_scorecard(t.turns, _bash(t), entity.canonical_cwd(t.sessions), AS_OF_DAY)
     return rounded(rounded(rounded(card, 8, "cost_usd"), 3, "output_tokens"), 9, "share_of_total", "top_share")
@@ -237,6 +240,7 @@ def skill_by_project(t):
 
 
 _ONE_MODEL = "model = 'claude-opus-4-7'"
+_PARTS = ", ".join(f"{sql.usd(c + '_units')} as {c}_usd" for c in rollups.COMPONENTS)
 
 
 @query("model_by_project", sql.PROJECTS + f"select project as cwd, {sql.usd()} as cost_usd, count(*) as turns, cast(max(ts) as varchar) as last_active from turns join projects using (session_id) where {_ONE_MODEL} group by 1")
@@ -244,16 +248,21 @@ def model_by_project(t):
     return detail.projects_of(detail.model_turns(t.turns, "opus-4-7"), entity.canonical_cwd(t.sessions))
 
 
-@query("model_by_tool", _tool_costs_sql(_ONE_MODEL), prelude=SPLIT)
+@query("model_scorecard", f"select {sql.usd()} as cost_usd, count(*) as turns, {_PARTS} from turns where {_ONE_MODEL}")
+def model_scorecard(t):
+    return detail.model_scorecard(detail.model_turns(t.lazy_turns, "opus-4-7"))
+
+
+@query("model_by_tool", _tool_costs_sql(_ONE_MODEL) + _TOOLS_ONLY, prelude=SPLIT)
 def model_by_tool(t):
-    return rounded(breakdown.tool_costs(detail.model_turns(t.turns, "opus-4-7"), t.split[0]), 8, "cost_usd")
+    return rounded(detail.costed_tools(detail.model_turns(t.turns, "opus-4-7"), t.split[0]), 8, "cost_usd")
 
 
 @query("model_by_skill", f"""
 select skill, cost_usd, coalesce(n, 0) as invocations, cast(last_active as varchar) as last_active from (select attribution_skill as skill, {sql.usd()} as cost_usd, max(ts) as last_active from turns where attribution_skill is not null and not is_interrupted and {_ONE_MODEL} group by 1)
-full join (select triggered_skill as skill, count(*) as n from turns where triggered_skill is not null and not is_interrupted and {_ONE_MODEL} group by 1) using (skill)""")
+left join (select triggered_skill as skill, count(*) as n from turns where triggered_skill is not null and not is_interrupted and {_ONE_MODEL} group by 1) using (skill)""")
 def model_by_skill(t):
-    return breakdown.skill_costs(detail.model_turns(t.turns, "opus-4-7"))
+    return detail.costed_skills(detail.model_turns(t.turns, "opus-4-7"))
 
 
 _PROJECT = "/home/u/p1"
@@ -294,9 +303,46 @@ def project_sessions(t):
     return detail.project_sessions(rows, entity.canonical_cwd(t.sessions), _PROJECT, since).select("session_id", "turns", "cost_usd", "verdict")
 
 
-@query("project_by_tool", sql.PROJECTS + _tool_costs_sql(f"ts::date >= date '{AS_OF_DAY}' - 13 and session_id in (select session_id from projects where project = '{_PROJECT}')"), prelude=SPLIT)
+@query("project_by_tool", sql.PROJECTS + _tool_costs_sql(f"ts::date >= date '{AS_OF_DAY}' - 13 and session_id in (select session_id from projects where project = '{_PROJECT}')") + _TOOLS_ONLY, prelude=SPLIT)
 def project_by_tool(t):
-    return rounded(breakdown.tool_costs(_own(t), t.split[0]), 8, "cost_usd")
+    return rounded(detail.costed_tools(_own(t), t.split[0]), 8, "cost_usd")
+
+
+@query("project_by_skill", sql.PROJECTS + _PROJECT_TURNS + f"""
+select skill, cost_usd, coalesce(n, 0) as invocations, cast(last_active as varchar) as last_active
+from (select attribution_skill as skill, {sql.usd()} as cost_usd, max(ts) as last_active from own where attribution_skill is not null and not is_interrupted group by 1)
+left join (select triggered_skill as skill, count(*) as n from own where triggered_skill is not null and not is_interrupted group by 1) using (skill)""")
+def project_by_skill(t):
+    return detail.costed_skills(_own(t))
+
+
+_SCOPED = SESSION_SQL + sql.PROJECTS + f", scoped as (select r.* from rollups r join projects p using (session_id) where project = '{_PROJECT}' and last_ts::date >= date '{AS_OF_DAY}' - 13)"
+
+
+def _scoped(t):
+    rows = rollups.session_rollups(t.turns, t.sessions, LIMITS)
+    return detail.project_sessions(rows, entity.canonical_cwd(t.sessions), _PROJECT, series.range_start("14d", AS_OF_DAY))
+
+
+@query("project_scorecard", _SCOPED + project_sql("'all'", "scoped", f"""
+select '{_PROJECT}' as cwd, coalesce(max(cost_usd), 0) as cost_usd, coalesce(max(sessions), 0) as sessions, coalesce(bool_or(flagged), false) as flagged from flags"""), prelude=RECURSIVE)
+def project_scorecard(t):
+    return detail.project_scorecard(_scoped(t), _PROJECT)
+
+
+@query("project_histogram", _SCOPED + """
+select b as bucket, label, count(bucket) as sessions from (select unnest(range(0, 6)) as b, unnest(['<500', '500-1k', '1k-2k', '2k-5k', '5k-10k', '10k+']) as label) left join (
+  select (context_growth >= 500)::bigint + (context_growth >= 1000)::bigint + (context_growth >= 2000)::bigint + (context_growth >= 5000)::bigint + (context_growth >= 10000)::bigint as bucket from scoped) on b = bucket group by all""", prelude=RECURSIVE)
+def project_histogram(t):
+    return rollups.growth_histogram(_scoped(t)).select(F.col("bucket").cast("bigint").alias("bucket"), "label", "sessions")
+
+
+_NAMES = "(select unnest(['RUNAWAY_WINDOW', 'CONTEXT_CREEP', 'TOOL_ERROR_STORM', 'SIDECHAIN_HEAVY', 'OK']) as verdict)"
+
+
+@query("project_verdicts", _SCOPED + f"select n.verdict, count(v.verdict) as sessions from {_NAMES} n left join (select {VERDICT} as verdict from scoped) v using (verdict) group by 1", prelude=RECURSIVE)
+def project_verdicts(t):
+    return rollups.verdict_counts(_scoped(t))
 
 
 _DAY = "2024-01-17"
@@ -328,6 +374,26 @@ def day_top_sessions(t):
     return rollups.top_sessions(rows, "cost", 20).select("session_id", "cost_usd", "verdict")
 
 
+_ON_DAY = SESSION_SQL + f", active as (select * from rollups where session_id in (select session_id from turns where ts::date = date '{_DAY}'))"
+
+
+@query("day_verdicts", _ON_DAY + f"select n.verdict, count(v.verdict) as sessions from {_NAMES} n left join (select {VERDICT} as verdict from active) v using (verdict) group by 1", prelude=RECURSIVE)
+def day_verdicts(t):
+    return detail.day_verdicts(rollups.session_rollups(t.turns, t.sessions, LIMITS), t.turns, _DAY)
+
+
+@query("day_top_projects", _ON_DAY + project_sql("coalesce(cwd, '(unknown)')", "active", "select * from flags order by cost_usd desc, cwd limit 10"), prelude=RECURSIVE)
+def day_top_projects(t):
+    rows = rollups.session_rollups(t.turns, t.sessions, LIMITS)
+    return rounded(detail.day_projects(rows, t.turns, _DAY), 4, "avg_context_growth")
+
+
+@query("projects_in_window", SESSION_SQL + f", recent as (select * from rollups where last_ts::date >= date '{AS_OF_DAY}' - 6)" + project_sql("coalesce(cwd, '(unknown)')", "recent"), prelude=RECURSIVE)
+def projects_in_window(t):
+    rows = rollups.session_rollups(t.turns, t.sessions, LIMITS)
+    return rounded(detail.projects_since(rows, series.range_start("7d", AS_OF_DAY)), 4, "avg_context_growth")
+
+
 @query("stop_reasons", "select session_id, coalesce(stop_reason, 'unknown') as stop_reason, count(*) as turns from turns group by all")
 def stop_reasons(t):
     return detail.stop_reasons(t.lazy_turns, ["session_id"])

@@ -139,9 +139,9 @@ for _sort, _column in rollups.SORT_KEYS.items():
     _top(_sort, _column)
 
 
-def _project_sql(key: str) -> str:
+def project_sql(key: str, source: str = "rollups", final: str = "select * from flags") -> str:
     counts = ", ".join(f"count(*) filter (verdict = '{v}') as n_{v.lower()}" for v in ("RUNAWAY_WINDOW", "CONTEXT_CREEP", "TOOL_ERROR_STORM", "SIDECHAIN_HEAVY", "OK"))
-    return f""", judged as (select r.*, {VERDICT} as verdict from rollups r), proj as (
+    return f""", judged as (select r.*, {VERDICT} as verdict from {source} r), proj as (
   select {key} as cwd, count(*) as sessions, sum(turns)::bigint as turns, {sql.SUMS}, sum(round(cost_usd * 1e10)::bigint)::double / 1e10 as cost_usd,
     coalesce(avg(context_growth) filter (context_growth <> 0), 0) as avg_context_growth, sum(tool_use_count)::bigint as tool_use_count,
     sum(tool_error_count)::bigint as tool_error_count, max(peak_window_cost) as peak_window_cost, arg_max({{'v': ctx_used}}, (last_ts, session_id)).v as ctx_used, {counts}
@@ -149,13 +149,14 @@ def _project_sql(key: str) -> str:
 ), rated as (select *, {sql.over("cache_read_tokens", "(cache_read_tokens + cache_creation_tokens)")} as cache_reuse_ratio, {sql.hit_rate()} as cache_hit_rate,
     cache_creation_tokens / greatest(cache_read_tokens, 1) as cache_creation_dominance, coalesce({sql.over("tool_error_count", "tool_use_count")}, 0) as tool_error_rate,
     {sql.over("cache_read_tokens", "output_tokens")} as ctx_ratio, {sql.over("cache_read_tokens", "cache_creation_tokens")} as cache_reuse, {sql.cost_per_kw()} as cost_per_kw
-  from proj)
-select * replace (round(avg_context_growth, 4) as avg_context_growth), coalesce(cache_hit_rate < 0.25::double, false) or cache_creation_dominance > 1 or avg_context_growth > 2000
-  or tool_error_rate > 0.1::double or n_ok < sessions as flagged from rated
+  from proj
+), flags as (select * replace (round(avg_context_growth, 4) as avg_context_growth), coalesce(cache_hit_rate < 0.25::double, false) or cache_creation_dominance > 1 or avg_context_growth > 2000
+  or tool_error_rate > 0.1::double or n_ok < sessions as flagged from rated)
+{final}
 """
 
 
-@query("project_rollup", SESSION_SQL + _project_sql("coalesce(cwd, '(unknown)')"), prelude=RECURSIVE)
+@query("project_rollup", SESSION_SQL + project_sql("coalesce(cwd, '(unknown)')"), prelude=RECURSIVE)
 def project_rollup(t):
     return rounded(rollups.project_rollups(session_rows(t)), 4, "avg_context_growth")
 
@@ -365,7 +366,8 @@ def display_models(t):
     return t.lazy_turns.select("model").distinct().select("model", pricing.display_model(F.col("model")).alias("display"))
 
 
-@query("archived_sessions", "select s.session_id, not exists (select 1 from raw r where r.session_id = s.session_id and r.ts >= timestamp '2024-01-20 00:00:00') as archived from sessions s")
+@query("archived_sessions", "select s.session_id, s.session_id not in (select distinct session_id from raw where ts >= timestamp '2024-01-20 00:00:00') as archived from sessions s")
 def archived_sessions(t):
-    live = t.raw.filter(F.col("ts") >= F.lit("2024-01-20").cast("timestamp"))
-    return entity.archived(t.sessions, live).select("session_id", "archived")
+    """The later sessions' files are still there, in a folder per user; only their names are looked at."""
+    live = t.raw.filter(F.col("ts") >= F.lit("2024-01-20").cast("timestamp")).select("session_id", F.concat(F.lit("/logs/projects/u/"), "session_id", F.lit(".jsonl")).alias("file"))
+    return entity.archived(t.sessions, live.select("file").distinct()).select("session_id", "archived")

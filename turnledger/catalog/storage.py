@@ -265,60 +265,95 @@ def schema_evolution(t):
 # -- streams -------------------------------------------------------------------
 
 
-def _event_stream(t):
-    """Logged responses as a stream over the events file, shaped and priced like the batch."""
-    schema = t.table("events").schema
-    stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
-    live = shapes.Tables(t.spark, t.sf_dir)
-    live.table = lambda _name: stream
-    return turn_plan.price_turns(turn_plan.responses(live.raw))
+#: Which of three batches brings an event; some keys recur inside a batch, some in a later one.
+_BATCH = "(case when event_id % 40 = 39 then event_id // 40 + 1 else event_id // 40 end) % 3"
+_LIVE = f""", live as (select * from (select lines.*, {_BATCH.replace('event_id', 'line')} as batch from lines)
+  qualify dedup_key is null or row_number() over (partition by dedup_key order by batch, file desc, line desc) = 1)
+"""
 
 
-def _updates(t, rows, keys: list[str], mode: str = "update"):
-    path = _folder(t, "updates")
-    ingest.run_available(rows, f"{path}/checkpoint", ingest.append_updates(f"{path}/rows"), mode)
-    return ingest.latest(ingest.read_updates(t.spark, f"{path}/rows"), keys)
+def _streamed(t, parts=None) -> str:
+    """Logged responses landed in three batches; a folder with the turns, the late rows and the parts of each batch."""
+    landing, path = _folder(t, "landing"), _folder(t, "streamed")
+    events = t.table("events").withColumn("_batch", F.expr(_BATCH.replace("//", "div")))
+    each = None if parts is None else (lambda turns, n: ingest.append_updates(f"{path}/parts")(parts(turns), n))
+    for n in range(3):
+        events.filter(F.col("_batch") == n).drop("_batch").write.mode("append").parquet(landing)
+        live = shapes.Tables(t.spark, t.sf_dir)
+        live.table = lambda _name: t.spark.readStream.schema(t.table("events").schema).parquet(landing)
+        ingest.run_available(turn_plan.price_turns(turn_plan.responses(live.raw)), f"{path}/checkpoint", aggregates.once(path, each))
+    return path
 
 
-@query("stream_hourly", f"select cast(date_trunc('hour', ts) as varchar) as hour, {sql.MEASURES} from lines group by 1")
+def _parts(t, parts):
+    return ingest.read_updates(t.spark, f"{_streamed(t, parts)}/parts")
+
+
+@query("stream_hourly", _LIVE + f"select cast(date_trunc('hour', ts) as varchar) as hour, {sql.MEASURES} from live group by 1")
 def stream_hourly(t):
-    return _updates(t, aggregates.hourly(_event_stream(t)), ["hour"])
+    return aggregates.hours(_parts(t, aggregates.hour_parts))
 
 
-@query("stream_sliding", f"""
+@query("stream_sliding", _LIVE + f"""
 select cast(s as varchar) as window_start, coalesce(cwd, '(unknown)') as project, count(*) as turns, sum(output_tokens)::bigint as output_tokens, {sql.usd()} as cost_usd
-from lines, range(0, 4) r(k), lateral (select time_bucket(interval 15 minute, ts) - k * interval 15 minute as s) group by all""")
+from live, range(0, 4) r(k), lateral (select time_bucket(interval 15 minute, ts) - k * interval 15 minute as s) group by all""")
 def stream_sliding(t):
-    return _updates(t, aggregates.sliding_hour(_event_stream(t), slide="15 minutes"), ["window_start", "project"])
+    return aggregates.sliding_hours(_parts(t, lambda turns: aggregates.sliding_parts(turns, slide="15 minutes")))
 
 
-@query("stream_sessions", f"select session_id, cast(min(ts) as varchar) as first_ts, cast(max(ts) as varchar) as last_ts, count(*) as turns, {sql.usd()} as cost_usd from lines group by 1")
+@query("stream_sessions", _LIVE + f"select session_id, cast(min(ts) as varchar) as first_ts, cast(max(ts) as varchar) as last_ts, count(*) as turns, {sql.usd()} as cost_usd from live group by 1")
 def stream_sessions(t):
-    return _updates(t, aggregates.session_state(_event_stream(t)), ["session_id"])
+    return aggregates.sessions(_parts(t, aggregates.session_parts))
 
 
-@query("stream_unique_turns", "select count(distinct coalesce(dedup_key, file || '#' || line)) as turns from lines")
+@query("stream_unique_turns", _LIVE + "select file, line, dedup_key, cast(ts as varchar) as ts, input_tokens, cost_units from live")
 def stream_unique_turns(t):
-    path = _folder(t, "unique")
-    rows = aggregates.unique_turns(_event_stream(t).select("ts", "dedup_key", "uuid", "file", "line"))
-    ingest.run_available(rows, f"{path}/checkpoint", ingest.append_updates(f"{path}/rows"))
-    return ingest.read_updates(t.spark, f"{path}/rows").agg(F.count(F.lit(1)).alias("turns"))
+    return aggregates.turns_of(t.spark, _streamed(t)).select("file", "line", "dedup_key", "ts", "input_tokens", "cost_units")
 
 
-@query("stream_windows", sql.windows("session_id").replace("from turns where", "from user_lines where").replace(
-    ", hours as (", ", user_lines as (select * replace (regexp_extract(file, 'u(\\d+)\\.jsonl$', 1) as session_id), input_tokens + cache_read_tokens + cache_creation_tokens as ctx from lines), hours as (", 1)
-    + "select session_id, cast(start as varchar) as window_start, units::double / 1e10 as cost_usd, tokens as total_tokens from wins", prelude=sql.recursive(ORACLE_TURNS))
-def stream_windows(t):
-    """Each micro-batch adds hourly parts; windows follow from the parts of all batches."""
-    path = _folder(t, "windows")
+@query("stream_late", _LIVE + """
+select l.batch::bigint as batch, l.file, l.line from live l
+where l.ts < (select max(e.ts) - interval 1 day from live e where e.batch < l.batch)""")
+def stream_late(t):
+    """Rows more than a day behind the batches before theirs; they count in their own hours all the same."""
+    return aggregates.late_rows(t.spark, _streamed(t)).select(F.col("batch").cast("bigint").alias("batch"), "file", "line")
 
-    def each(batch, batch_id):
-        keyed = batch.withColumn("session_id", F.regexp_extract("file", r"u(\d+)\.jsonl$", 1))
-        ingest.append_updates(f"{path}/rows")(aggregates.hourly_parts(keyed, ["session_id"]), batch_id)
 
-    ingest.run_available(_event_stream(t), f"{path}/checkpoint", each)
-    windows = aggregates.open_windows(ingest.read_updates(t.spark, f"{path}/rows"), ["session_id"])
-    return windows.select("session_id", "window_start", "cost_usd", "total_tokens")
+_WINDOWS = sql.windows("session_id").replace("from turns where", "from user_turns where").replace(", hours as (", """, user_turns as (
+  select * replace (regexp_extract(file, 'u(\\d+)\\.jsonl$', 1) as session_id), input_tokens + cache_read_tokens + cache_creation_tokens as ctx from live), hours as (""", 1)
+
+
+@query("stream_windows", _LIVE + _WINDOWS + """, placed as (
+  select w.session_id, w.start, w.units, w.tokens, (select min((ts, file, line)) from user_turns t where not is_interrupted and t.session_id = w.session_id and t.ts >= w.start) as first from wins w)
+select p.session_id, cast(start as varchar) as window_start, units::double / 1e10 as cost_usd, tokens as total_tokens,
+  (select count(*) from user_turns t where t.session_id = p.session_id and t.ts >= p.start and t.ts < p.start + interval 5 hour and (not is_interrupted or (ts, file, line) > p.first)) as turns
+from placed p""", prelude=sql.recursive(ORACLE_TURNS))
+def stream_windows(t):
+    """Each batch adds hourly parts; windows follow from the parts of all batches."""
+    def parts(turns):
+        return aggregates.window_parts(turns.withColumn("session_id", F.regexp_extract("file", r"u(\d+)\.jsonl$", 1)), ["session_id"])
+
+    windows = aggregates.open_windows(_parts(t, parts), ["session_id"])
+    return windows.select("session_id", "window_start", "cost_usd", "total_tokens", "turns")
+
+
+@query("stream_forget", """
+select line, session_id from turns where (ts >= timestamp '2024-01-05 00:00:00' and session_id not in (select session_id from sessions where cwd = '/home/u/p1') and session_id <> (select min(session_id) from turns))
+  or line = (select max(line) from turns where session_id = (select min(session_id) from turns))""")
+def stream_forget(t):
+    """Requests for a session, a directory and an age run once; a turn of the deleted session that comes back afterwards stays."""
+    store, requests = history.History(t.spark, _folder(t, "history")), _folder(t, "requests")
+    store.append(t.turns, t.sessions)
+    one = t.turns.agg(F.min("session_id").alias("session_id"))
+    asked = one.selectExpr("session_id", "cast(null as string) as cwd", "cast(null as timestamp) as older_than")
+    rest = t.spark.sql("select cast(null as string) as session_id, cwd, cast(older_than as timestamp) as older_than from values ('/home/u/p1', null), (null, '2024-01-05') as v(cwd, older_than)")
+    asked.unionByName(rest).write.json(requests)
+    ingest.apply_requests(store, requests)
+    again = t.turns.join(one, "session_id", "left_semi")
+    last = again.groupBy("session_id").agg(F.max("line").alias("line"))
+    store.append(again.join(last, ["session_id", "line"], "left_semi").select(*t.turns.columns), flush=1)
+    ingest.apply_requests(store, requests)
+    return store.turns().select("line", "session_id")
 
 
 @query("stream_history", """

@@ -8,15 +8,16 @@ UNKNOWN_TOOL = "__unknown__"
 SKILL_TOOL = "Skill"
 OTHER = "other"
 UNKNOWN = "(unknown)"
+NO_PROJECT = "—"
 SYNTHETIC_MODEL = "<synthetic>"
 EMPTY_LABEL = "–"
 
 # Assumption tags.
-TAG_FALLBACK = "unknown_model_fallback"
-TAG_PASSTHROUGH = "dedup_passthrough"
-TAG_INTERRUPTED = "interrupted_turn_skipped"
-TAG_UNPRICED = "gemini_unpriced"
-TAG_WINDOW = "window_boundary_heuristic"
+TAG_FALLBACK = "UNKNOWN_MODEL_FALLBACK"
+TAG_PASSTHROUGH = "DEDUP_PASSTHROUGH"
+TAG_INTERRUPTED = "INTERRUPTED_TURN_SKIPPED"
+TAG_UNPRICED = "GEMINI_UNPRICED"
+TAG_WINDOW = "WINDOW_BOUNDARY_HEURISTIC"
 TAGS = (TAG_WINDOW, TAG_FALLBACK, TAG_PASSTHROUGH, TAG_INTERRUPTED, TAG_UNPRICED)
 
 # Session verdicts.

@@ -2,41 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnledger import constants as K
 
 PLACE = ["file", "line"]
 
 
-def keep_last(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Last row per non-NULL key; rows without a key all stay.
+def _one(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """First row of each key in the given order; rows without a key count as keys of their own.
 
-    max_by combines on the map side, so a key that holds a third of the rows
-    reaches its reducer as one row per map task.
+    One pass over the input and one exchange. Spark limits each task's rows to
+    the first of a key before the exchange, so a key that holds a third of the
+    rows reaches its reducer as one row per task; unused columns stay unread.
     """
-    rows = df.columns
-    keyed = (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.max_by(F.struct(*[c for c in rows if c != key]), F.struct(*order)).alias("row"))
-        .select(key, "row.*")
-        .select(*rows)
-    )
-    return df.filter(F.col(key).isNull()).unionByName(keyed)
+    alone = F.when(F.col(key).isNull(), F.concat_ws("#", *PLACE))
+    first = Window.partitionBy(key, alone).orderBy(*order)
+    return df.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") == 1).drop("_nth")
+
+
+def keep_last(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Last row per non-NULL key; rows without a key all stay."""
+    return _one(df, key, [F.desc(c) for c in order])
 
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """First row per non-NULL key (the rule of incremental appends)."""
-    rows = df.columns
-    keyed = (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.min_by(F.struct(*[c for c in rows if c != key]), F.struct(*order)).alias("row"))
-        .select(key, "row.*")
-        .select(*rows)
-    )
-    return df.filter(F.col(key).isNull()).unionByName(keyed)
+    return _one(df, key, [F.asc(c) for c in order])
 
 
 def passthrough_key(key: Column, uuid: Column, file: Column, line: Column) -> Column:

@@ -69,9 +69,10 @@ def active_entities(turns: DataFrame, projects: DataFrame) -> DataFrame:
     return named.unionByName(models)
 
 
-def archived(sessions: DataFrame, live_sessions: DataFrame) -> DataFrame:
-    """Flag sessions that no live file contains any more."""
-    live = live_sessions.select("session_id").distinct().withColumn("live", F.lit(True))
+def archived(sessions: DataFrame, live_files: DataFrame) -> DataFrame:
+    """Flag sessions whose id is not the stem of a live file; needs a listing (file), no content."""
+    stem = F.regexp_replace(F.regexp_extract("file", "([^/]+)/*$", 1), "(?<=.)[.][^.]*$", "")
+    live = live_files.select(stem.alias("session_id")).distinct().withColumn("live", F.lit(True))
     return sessions.join(live, "session_id", "left").withColumn("archived", F.col("live").isNull()).drop("live")
 
 

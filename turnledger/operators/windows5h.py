@@ -16,14 +16,14 @@ from turnledger.operators import topk
 _PLACE = ("ts", "file", "line")
 
 
-def _hour() -> Column:
+def hour_number() -> Column:
     return F.floor(F.unix_timestamp("ts") / 3600)
 
 
 def hours_of(turns: DataFrame, keys: list[str]) -> DataFrame:
     """Per (key, hour): billed sums, first billed turn, interrupted turns in all and after that first one."""
     by = [*keys, "hour"]
-    placed = turns.withColumn("hour", _hour())
+    placed = turns.withColumn("hour", hour_number())
     billed = ~F.col("is_interrupted")
     sums = placed.groupBy(*by).agg(
         F.count_if(billed).alias("billed"),
@@ -89,7 +89,7 @@ def peak_window_cost(turns: DataFrame, keys: list[str]) -> DataFrame:
     by = [*keys, "hour"]
     hours = (
         turns.filter(~F.col("is_interrupted"))
-        .withColumn("hour", _hour())
+        .withColumn("hour", hour_number())
         .groupBy(*by)
         .agg(F.count(F.lit(1)).alias("billed"), F.sum("cost_units").alias("units"))
         .withColumns({"tokens": F.lit(0).cast("bigint"), "interrupted": F.lit(0).cast("bigint"), "late": F.lit(0).cast("bigint")})
@@ -118,7 +118,7 @@ def burn_projection(turns: DataFrame, as_of: str, lookback_minutes: int, scope_h
     open_hours = latest.select("first_billed", F.explode(F.sequence(start_hour, start_hour + WINDOW_HOURS - 1)).alias("hour"))
     late = (
         recent.filter(F.col("ts") >= cutoff)
-        .withColumn("hour", _hour())
+        .withColumn("hour", hour_number())
         .join(F.broadcast(open_hours), "hour")
         .filter(attached)
         .agg(F.sum("cost_units").alias("units"), F.count(F.lit(1)).alias("recent_turns"))

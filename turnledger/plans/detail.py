@@ -37,6 +37,14 @@ def project_sessions(session_rows: DataFrame, projects: DataFrame, project: str,
     return rows if since is None else rows.filter(F.to_date("last_ts") >= F.lit(since).cast("date"))
 
 
+def project_scorecard(session_rows: DataFrame, project: str) -> DataFrame:
+    """Cost, sessions and the flag of one project from the rollups of its sessions in range."""
+    one = rollups.project_rollups(session_rows.withColumn("scope", F.lit(project)), "scope")
+    found = one.agg(F.coalesce(F.max("cost_usd"), F.lit(0.0)).alias("cost_usd"), F.coalesce(F.max("sessions"), F.lit(0)).alias("sessions"),
+                    F.coalesce(F.bool_or("flagged"), F.lit(False)).alias("flagged"))
+    return found.select(F.lit(project).alias("cwd"), "cost_usd", "sessions", "flagged")
+
+
 def cache_trend(turns: DataFrame, range_name: str, today: str) -> DataFrame:
     """Hit rate and cost per day, or per hour of today when the range is one day."""
     if range_name == "1d":
@@ -104,6 +112,20 @@ def day_sessions(session_rows: DataFrame, turns: DataFrame, date: str) -> DataFr
     return session_rows.join(active, "session_id", "left_semi")
 
 
+def day_verdicts(session_rows: DataFrame, turns: DataFrame, date: str) -> DataFrame:
+    return rollups.verdict_counts(day_sessions(session_rows, turns, date))
+
+
+def day_projects(session_rows: DataFrame, turns: DataFrame, date: str, top: int = 10) -> DataFrame:
+    """The costliest projects among the sessions with a turn on the day."""
+    return topk.top_rows(projects_since(day_sessions(session_rows, turns, date), date), "cost_usd", top, ["cwd"])
+
+
+def projects_since(session_rows: DataFrame, since: str) -> DataFrame:
+    """Projects of the sessions that were active on the day or later."""
+    return rollups.project_rollups(session_rows.filter(F.to_date("last_ts") >= F.lit(since).cast("date")))
+
+
 # -- model, tool, skill ------------------------------------------------------
 
 
@@ -111,6 +133,22 @@ def model_turns(turns: DataFrame, name: str) -> DataFrame:
     return turns.filter((F.col("model") == name) | (pricing.short_model(F.col("model")) == name))
 
 
+def model_scorecard(rows: DataFrame) -> DataFrame:
+    """Cost, turns and the four cost components of the turns of one model; no row without turns."""
+    sums = rows.agg(usd_sum(F.col("cost_units")).alias("cost_usd"), F.count(F.lit(1)).alias("turns"), *rollups.component_sums())
+    return sums.filter("turns > 0")
+
+
+def costed_tools(turns: DataFrame, per_tool: DataFrame) -> DataFrame:
+    """Tools of a drill-down by cost, calls and last activity; the unattributed rest is not a tool."""
+    return breakdown.tool_costs(turns, per_tool).filter(F.col("name") != K.UNATTRIBUTED_TOOL)
+
+
+def costed_skills(turns: DataFrame) -> DataFrame:
+    """Skills with a cost of their own; a skill that was only called is not listed."""
+    return breakdown.skill_costs(turns).filter(F.col("cost_usd").isNotNull())
+
+
 def projects_of(turns: DataFrame, projects: DataFrame) -> DataFrame:
     """Cost, turns and last activity per project."""
     per_session = turns.groupBy("session_id").agg(
@@ -122,7 +160,12 @@ def projects_of(turns: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def tool_turns(turns: DataFrame, per_tool: DataFrame, tool: str) -> DataFrame:
-    """Billed turns that hold a slice of the tool or called it, with that slice and the number of calls."""
+    """Billed turns that hold a slice of the tool or called it, with that slice and the number of calls.
+
+    The names kept for skills, unknown results and the rest are not tools: no row.
+    """
+    if tool in (K.SKILL_TOOL, K.UNKNOWN_TOOL, K.UNATTRIBUTED_TOOL):
+        turns = turns.limit(0)
     own = per_tool.filter(F.col("tool") == tool).select(*breakdown.PLACE, "tool_usd", "tool_output_tokens")
     calls = F.coalesce(F.element_at("tool_names", F.lit(tool)), F.lit(0))
     return (
@@ -163,7 +206,7 @@ def tool_projects(rows: DataFrame, projects: DataFrame) -> DataFrame:
         entity.with_project(per_session, projects)
         .groupBy(F.col("project").alias("cwd"))
         .agg(F.sum("usd").alias("cost_usd"), F.sum("calls").alias("invocations"), F.max("last_active").alias("last_active"))
-        .withColumn("label", F.when(known, paths.basename(F.col("cwd"))).otherwise(K.UNKNOWN))
+        .withColumn("label", F.when(known, paths.basename(F.col("cwd"))).otherwise(K.NO_PROJECT))
         .withColumn("cwd_b64", F.when(known, paths.encode_cwd(F.col("cwd"))))
     )
 
@@ -197,7 +240,7 @@ def skill_scorecard(turns: DataFrame, skill: str, projects: DataFrame, today: st
         F.count_if(own).alias("n"),
     )
     lead = projects_of(skill_turns(turns, skill), projects).orderBy(F.desc("cost_usd"), "cwd").limit(1).select(
-        F.when(F.col("cwd") == K.UNKNOWN, "—").otherwise(paths.basename(F.col("cwd"))).alias("top_project")
+        F.when(F.col("cwd") == K.UNKNOWN, K.NO_PROJECT).otherwise(paths.basename(F.col("cwd"))).alias("top_project")
     )
     return topk.beside(sums, lead).filter("n > 0 or invocations > 0").select(
         "cost_usd", "output_tokens", "invocations", "invocations_7d", "inline_usd", "subagent_usd",

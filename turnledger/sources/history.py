@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnledger.operators import dedup
@@ -30,17 +31,27 @@ class History:
         self.spark = spark
         self.turns_path = f"{root.rstrip('/')}/turns"
         self.attributes_path = f"{root.rstrip('/')}/session_attributes"
+        self.done_path = f"{root.rstrip('/')}/requests_done"
 
     # -- reading ---------------------------------------------------------------
 
-    def _exists(self, path: str) -> bool:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
-
     def _read(self, path: str, schema: str) -> DataFrame:
-        if not self._exists(path):
+        try:
+            return self.spark.read.schema(schema).parquet(path)
+        except AnalysisException:  # no such folder yet
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+
+    def read_json(self, path: str, schema: str) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(schema).json(path)
+        except AnalysisException:
+            return None
+
+    def done_requests(self) -> DataFrame:
+        return self._read(self.done_path, "request string")
+
+    def mark_done(self, requests: DataFrame) -> None:
+        requests.select("request").write.mode("append").parquet(self.done_path)
 
     def turns(self) -> DataFrame:
         """All turns; columns that old files lack get their default."""
@@ -50,13 +61,17 @@ class History:
     def attributes(self) -> DataFrame:
         return self._read(self.attributes_path, ATTRIBUTE_SCHEMA)
 
-    def sessions(self) -> DataFrame:
-        """Session rows: a newer flush replaces the flag, and file and directory where it knows them."""
-        named = self.attributes().groupBy("session_id").agg(
+    def named(self) -> DataFrame:
+        """Session attributes: a newer flush replaces the flag, and file and directory where it knows them."""
+        return self.attributes().groupBy("session_id").agg(
             F.max_by("source_file", F.when(F.col("source_file").isNotNull(), F.col("flush"))).alias("source_file"),
             F.max_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("flush"))).alias("cwd"),
             F.max_by("is_sidechain", "flush").alias("is_sidechain"),
         )
+
+    def sessions(self) -> DataFrame:
+        """Session rows with what the turns say about them."""
+        named = self.named()
         spans = self.turns().groupBy("session_id").agg(
             F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("turns")
         )
@@ -74,7 +89,7 @@ class History:
         if model is not None:
             rows = rows.filter(F.col("model") == model)
         if project is not None:
-            members = self.sessions().filter(F.col("cwd") == project).select("session_id")
+            members = self.named().filter(F.col("cwd") == project).select("session_id")  # attributes only, no turns
             rows = rows.join(members, "session_id", "left_semi")
         return rows
 
@@ -127,10 +142,24 @@ class History:
         if everything:
             doomed = turns
         elif older_than is not None:
-            doomed = turns.filter(F.col("ts") < F.lit(older_than).cast("timestamp"))
+            limit = F.lit(older_than).cast("timestamp")
+            doomed = turns.filter((F.col("ts") < limit) & (F.col("date") <= F.to_date(limit)))
         else:
             gone = sessions.filter(F.col("session_id").isin(session_ids) if session_ids is not None else F.col("cwd") == cwd)
             doomed = turns.join(gone.select("session_id"), "session_id", "left_semi")
+        return self._drop(turns, sessions, doomed)
+
+    def forget_requested(self, requests: DataFrame) -> tuple[int, int]:
+        """Delete in one pass what any of the requests (session_id, cwd or older_than, the first that is set) asks for."""
+        turns, sessions = self.turns(), self.sessions()
+        ids = requests.filter("session_id is not null").select("session_id")
+        places = requests.filter("session_id is null and cwd is not null").select("cwd")
+        limit = requests.filter("session_id is null and cwd is null").agg(F.max("older_than").alias("limit"))
+        gone = ids.union(self.named().join(places, "cwd", "left_semi").select("session_id")).distinct().withColumn("gone", F.lit(True))
+        marked = turns.join(gone, "session_id", "left").crossJoin(F.broadcast(limit))  # one row of limit
+        return self._drop(turns, sessions, marked.filter("gone or ts < limit"))
+
+    def _drop(self, turns: DataFrame, sessions: DataFrame, doomed: DataFrame) -> tuple[int, int]:
         doomed = stored(doomed.select("turn_key", "session_id", "date"), "doomed")
         dropped_turns = doomed.count()
         if dropped_turns == 0:

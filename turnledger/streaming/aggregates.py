@@ -1,66 +1,108 @@
-"""Continuous rollups. State is one row per group, combined on the map side before the shuffle."""
+"""Continuous rollups over turns, each counted once.
+
+A micro-batch first becomes turns: the last row of a key inside the batch, minus
+the keys of earlier batches. Those turns are stored, and what they add to hours,
+windows or sessions is stored as one part per group and batch. Reading sums the
+parts. No state is held between batches and nothing falls out of a watermark:
+late rows count in their own hour and are listed apart. Writing a batch again
+overwrites what it wrote before.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from turnledger.functions.money import usd_sum
 from turnledger.operators import dedup, windows5h
-from turnledger.operators.series import measures
+from turnledger.operators.series import SUMS
+from turnledger.streaming import ingest
 
 LATENESS = "1 day"
 
 
-def unique_turns(responses: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """First arrival per turn key within the watermark; rows without a key are unique by place."""
-    key = dedup.passthrough_key(F.col("dedup_key"), F.col("uuid"), F.col("file"), F.col("line"))
-    return responses.withColumn("turn_key", key).withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["turn_key"])
+def once(path: str, each: Callable[[DataFrame, int], None] | None = None, lateness: str = LATENESS) -> Callable[[DataFrame, int], None]:
+    """Batch function: store the new turns of a batch of priced responses, list its late rows, hand the turns on."""
 
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        key = dedup.passthrough_key(F.col("dedup_key"), F.col("uuid"), F.col("file"), F.col("line"))
+        latest = dedup.keep_last(batch.withColumn("turn_key", key), "turn_key", dedup.PLACE)
+        earlier = ingest.read_updates(spark, f"{path}/turns", before=batch_id)
+        if earlier is not None:
+            latest = latest.join(earlier.select("turn_key"), "turn_key", "left_anti")
+        ingest.append_updates(f"{path}/turns")(latest, batch_id)
+        turns = spark.read.parquet(f"{path}/turns/batch={batch_id}")
+        if earlier is not None:
+            horizon = earlier.agg((F.max("ts") - F.expr(f"interval {lateness}")).alias("horizon"))
+            late = ingest.split_late(turns.crossJoin(F.broadcast(horizon)), F.col("horizon"))[1]  # one row of horizon
+            ingest.append_updates(f"{path}/late")(late.drop("horizon"), batch_id)
+        if each is not None:
+            each(turns, batch_id)
 
-def hourly(turns: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Tumbling hours; update mode emits the hours a batch changed."""
-    return (
-        turns.withWatermark("ts", lateness)
-        .groupBy(F.window("ts", "1 hour").alias("w"))
-        .agg(*measures())
-        .select(F.col("w.start").alias("hour"), "turns", "interrupted_turns", "input_tokens", "output_tokens",
-                "cache_read_tokens", "cache_creation_tokens", "cost_usd")
-    )
+    return run
 
 
-def sliding_hour(turns: DataFrame, key: str = "cwd", lateness: str = LATENESS, slide: str = "5 minutes") -> DataFrame:
-    """The last 60 minutes per project, every five minutes."""
-    return (
-        turns.withWatermark("ts", lateness)
-        .groupBy(F.window("ts", "60 minutes", slide).alias("w"), F.coalesce(F.col(key), F.lit("(unknown)")).alias("project"))
-        .agg(F.count(F.lit(1)).alias("turns"), F.sum("output_tokens").alias("output_tokens"), usd_sum(F.col("cost_units")).alias("cost_usd"))
-        .select(F.col("w.start").alias("window_start"), "project", "turns", "output_tokens", "cost_usd")
-    )
+def turns_of(spark, path: str) -> DataFrame:
+    return ingest.read_updates(spark, f"{path}/turns")
+
+
+def late_rows(spark, path: str) -> DataFrame:
+    return ingest.read_updates(spark, f"{path}/late")
+
+
+def _sums() -> list[Column]:
+    return [F.count(F.lit(1)).alias("turns"), F.count_if("is_interrupted").alias("interrupted_turns"), *[F.sum(c).alias(c) for c in SUMS], F.sum("cost_units").alias("units")]
+
+
+def hour_parts(turns: DataFrame) -> DataFrame:
+    return turns.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(*_sums())
 
 
-def session_state(turns: DataFrame) -> DataFrame:
+def hours(parts: DataFrame) -> DataFrame:
+    """Tumbling hours from the parts of all batches."""
+    counted = [F.sum(c).alias(c) for c in ("turns", "interrupted_turns", *SUMS)]
+    return parts.groupBy("hour").agg(*counted, usd_sum(F.col("units")).alias("cost_usd"))
+
+
+def sliding_parts(turns: DataFrame, key: str = "cwd", slide: str = "5 minutes") -> DataFrame:
+    """The hours that begin every ``slide`` per project, as one batch adds to them."""
+    project = F.coalesce(F.col(key), F.lit("(unknown)")).alias("project")
+    return turns.groupBy(F.window("ts", "60 minutes", slide).alias("w"), project).agg(*_sums()).select(F.col("w.start").alias("window_start"), "project", "turns", "output_tokens", "units")
+
+
+def sliding_hours(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("window_start", "project").agg(F.sum("turns").alias("turns"), F.sum("output_tokens").alias("output_tokens"), usd_sum(F.col("units")).alias("cost_usd"))
+
+
+def session_parts(turns: DataFrame) -> DataFrame:
+    return turns.groupBy("session_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("turns"), F.sum("cost_units").alias("units"))
+
+
+def sessions(parts: DataFrame) -> DataFrame:
     """Live state per session: first and last turn, count, cost."""
-    return turns.groupBy("session_id").agg(
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("turns"),
-        usd_sum(F.col("cost_units")).alias("cost_usd"),
-    )
+    return parts.groupBy("session_id").agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("turns").alias("turns"), usd_sum(F.col("units")).alias("cost_usd"))
 
 
-def hourly_parts(batch: DataFrame, keys: list[str]) -> DataFrame:
-    """What one micro-batch adds to the hours of each key, for anchored windows."""
-    hours = windows5h.hours_of(batch, keys)
-    return hours.drop("late").withColumn("late", F.lit(0).cast("bigint"))
+def window_parts(turns: DataFrame, keys: list[str]) -> DataFrame:
+    """What one batch adds to the hours of each key, and one row for each interrupted turn."""
+    by_hour = windows5h.hours_of(turns, keys).drop("late").withColumn("stopped", F.lit(None).cast("struct<ts:timestamp,file:string,line:bigint>"))
+    hour = windows5h.hour_number()
+    stopped = turns.filter("is_interrupted").select(*keys, hour.alias("hour"), F.struct("ts", "file", "line").alias("stopped"))
+    return by_hour.unionByName(stopped, allowMissingColumns=True)
 
 
 def open_windows(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Anchored windows from the hourly parts of all batches so far.
+    """Anchored windows from the parts of all batches.
 
-    Parts are summed per (key, hour), so a batch never revisits turns and a key
-    costs as many rows as it has active hours. Interrupted turns cost nothing
-    and are counted from the second hour of a window on.
+    Parts are summed per (key, hour): a key costs as many rows as it has active
+    hours. Interrupted turns of the hour that opens a window count from its first
+    billed turn on, whichever batch brought it.
     """
-    hours = parts.groupBy(*keys, "hour").agg(
-        F.sum("billed").alias("billed"), F.sum("units").alias("units"), F.sum("tokens").alias("tokens"),
-        F.sum("interrupted").alias("interrupted"), F.sum("late").alias("late"), F.min("first").alias("first"),
+    by = [*keys, "hour"]
+    hourly = parts.filter("stopped is null").groupBy(*by).agg(
+        F.sum("billed").alias("billed"), F.sum("units").alias("units"), F.sum("tokens").alias("tokens"), F.sum("interrupted").alias("interrupted"), F.min("first").alias("first"),
     )
-    return windows5h.windows_of(hours, keys)
+    late = parts.filter("stopped is not null").select(*by, "stopped").join(hourly.select(*by, "first"), by).filter("stopped > first").groupBy(*by).agg(F.count(F.lit(1)).alias("late"))
+    return windows5h.windows_of(hourly.join(late, by, "left").withColumn("late", F.coalesce("late", F.lit(0))), keys)

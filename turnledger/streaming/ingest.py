@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from turnledger.operators import attribution, dedup
 from turnledger.plans import turns as turn_plan
 from turnledger.sources import logs
+from turnledger.session import stored
 from turnledger.sources.history import History
 
 DELETE_SCHEMA = "session_id string, cwd string, older_than timestamp"
@@ -53,24 +55,25 @@ def into_history(history: History, requests: str | None = None) -> Callable[[Dat
     return each
 
 
-def apply_requests(history: History, path: str) -> list[tuple[int, int]]:
-    """Run the deletions asked for in a small table, oldest form first; repeating them is harmless."""
-    if not history._exists(path):
-        return []
-    dropped = []
-    for row in history.spark.read.schema(DELETE_SCHEMA).json(path).toLocalIterator():
-        if row.session_id is not None:
-            dropped.append(history.forget(session_ids=[row.session_id]))
-        elif row.cwd is not None:
-            dropped.append(history.forget(cwd=row.cwd))
-        elif row.older_than is not None:
-            dropped.append(history.forget(older_than=str(row.older_than)))
+def apply_requests(history: History, path: str) -> tuple[int, int]:
+    """Run the deletions that wait in a folder of JSON files, all in one pass, and record them as done.
+
+    A turn of a deleted session that arrives later stays: its request is no longer open.
+    """
+    asked = history.read_json(path, DELETE_SCHEMA)
+    if asked is None:
+        return 0, 0
+    asked = asked.select("*", F.col("_metadata.file_path").alias("request"))
+    done = history.done_requests()
+    waiting = stored(asked.join(done, "request", "left_anti"), "requests")
+    dropped = history.forget_requested(waiting)
+    history.mark_done(waiting.select("request").distinct())
     return dropped
 
 
-def split_late(batch: DataFrame, horizon: str) -> tuple[DataFrame, DataFrame]:
-    """(rows on time, rows older than the horizon). Late rows go to a side table and are backfilled by day."""
-    late = F.col("ts") < F.lit(horizon).cast("timestamp")
+def split_late(batch: DataFrame, horizon: Column | str) -> tuple[DataFrame, DataFrame]:
+    """(rows on time, rows older than the horizon)."""
+    late = F.col("ts") < (F.lit(horizon).cast("timestamp") if isinstance(horizon, str) else horizon)
     return batch.filter(~late), batch.filter(late)
 
 
@@ -102,5 +105,10 @@ def append_updates(path: str) -> Callable[[DataFrame, int], None]:
     return each
 
 
-def read_updates(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path)
+def read_updates(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The rows of all batches with their number, or of those before one; None where there is none yet."""
+    try:
+        rows = spark.read.option("basePath", path).parquet(path)
+    except AnalysisException:
+        return None
+    return rows if before is None else rows.filter(F.col("batch") < before)
