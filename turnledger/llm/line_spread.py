@@ -21,7 +21,7 @@ from math import ceil, sqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.llm.shared import maybe_in
+from turnledger.llm.shared import maybe_in, packed
 from turnledger.session import stored
 
 MIN_SITES, MIN_CHARS, MAX_LOSS = 8, 10, 0.5
@@ -32,8 +32,9 @@ BLANK = " \t\r\u000b\f"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("_k1", F.xxhash64("doc_id", text)).withColumn("_k2", F.xxhash64(F.lit(1), "doc_id", text)).withColumn("_lines", F.split(text, "\n"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    keys = [F.xxhash64("row.doc_id", text).alias("_k1"), F.xxhash64(F.lit(1), "row.doc_id", text).alias("_k2")]
+    return packed(docs).select("row", *keys, F.split(text, "\n").alias("_lines"))
 
 
 def _lines(docs: DataFrame, min_chars: int, *columns) -> DataFrame:
@@ -61,10 +62,10 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = M
 
 
 def marked(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, max_loss: float = MAX_LOSS) -> tuple[DataFrame, DataFrame]:
-    """(``docs`` with key and lines, the positions to drop of the documents that lose a line by key)."""
+    """(rows of ``docs`` with key and lines, the positions to drop of the documents that lose a line by key)."""
     keyed = _keyed(docs)
     boilerplate = stored(spread_lines(docs, min_sites, min_chars), "boilerplate")
-    lines = _lines(keyed.withColumn("_all", F.length(F.col("text").cast("string"))), min_chars, "_k1", "_k2", "_all", "_lines")
+    lines = _lines(keyed.withColumn("_all", F.length(F.col("row.text").cast("string"))), min_chars, "_k1", "_k2", "_all", "_lines")
     found = maybe_in(lines, "h1", boilerplate).where("_maybe").join(boilerplate, ["h1", "h2"], "left_semi")
     # rows that repeat a document give the same positions: count each once
     once = found.groupBy("_k1", "_k2", "_pos").agg(F.max("chars").alias("chars"), F.max("_all").alias("_all"))
@@ -72,15 +73,16 @@ def marked(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHA
     return keyed, stored(drops.where(F.col("lost") <= max_loss * F.col("_all")).select("_k1", "_k2", "_drop"), "drops")
 
 
-def _cleaned(keyed: DataFrame, drops: DataFrame, columns: list) -> DataFrame:
-    """Rows with ``text`` rid of the marked lines and ``_drop``; rows that certainly lose nothing do not move."""
-    split = maybe_in(keyed, "_k1", drops)
-    same = split.where(~F.col("_maybe")).withColumn("_drop", F.lit(None).cast("array<int>"))
-    some = split.where("_maybe").drop("_lines").join(drops, ["_k1", "_k2"], "left").withColumn("_lines", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"))
+def _cleaned(keyed: DataFrame, drops: DataFrame) -> DataFrame:
+    """(row, _text, _drop): texts rid of the marked lines; rows that certainly lose nothing do not move."""
+    split = maybe_in(keyed.drop("_lines"), "_k1", drops)
+    raw = F.col("row.text").cast("string")
+    same = split.where(~F.col("_maybe")).select("row", raw.alias("_text"), F.lit(None).cast("array<int>").alias("_drop"))
+    some = split.where("_maybe").join(drops, ["_k1", "_k2"], "left").withColumn("_lines", F.split(F.coalesce(raw, F.lit("")), "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
     lines = F.col("_lines")
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    return same.select(*columns).unionByName(some.withColumn("text", text).select(*columns))
+    text = F.when(F.col("_drop").isNull(), raw).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    return same.unionByName(some.select("row", text.alias("_text"), "_drop"))
 
 
 def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, max_loss: float = MAX_LOSS) -> DataFrame:
@@ -91,15 +93,16 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars:
     empty texts stay as they are. Equal rows are cleaned alike.
     """
     keyed, drops = marked(docs, min_sites, min_chars, max_loss)
-    return _cleaned(keyed, drops, docs.columns)
+    cleaned = _cleaned(keyed, drops)
+    return cleaned.select(*[F.col("_text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, max_loss: float = MAX_LOSS) -> DataFrame:
     """Per row of ``docs``: (doc_id, n_lines, n_removed, text_md5) of the text after removal; null text: 0 lines, null hash."""
     keyed, drops = marked(docs.select("doc_id", "source", F.col("text").cast("string").alias("text")), min_sites, min_chars, max_loss)
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("bigint")
-    out = _cleaned(keyed.withColumn("n_lines", n_lines), drops, ["doc_id", "n_lines", "text", "_drop"])
-    return out.select("doc_id", "n_lines", F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("bigint").alias("n_removed"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    raw = F.col("row.text")
+    n_lines = F.when(raw.isNull(), 0).otherwise(F.size(F.split(raw, "\n"))).cast("bigint")
+    return _cleaned(keyed, drops).select("row.doc_id", n_lines.alias("n_lines"), F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("bigint").alias("n_removed"), F.md5(F.col("_text").cast("binary")).alias("text_md5"))
 
 
 def report_sql(min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, max_loss: float = MAX_LOSS) -> str:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.llm.secrets import let
+from turnledger.llm.shared import packed
 
 MAX_LOSS = 0.5
 WINDOW = 8
@@ -75,10 +76,11 @@ def judge(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
     """``docs`` with base counts, ``base_failed``, ``n_removed``, ``clean_text`` and ``kept``.
 
     A null text counts as empty: no words, so it fails the base rules. Equal rows
-    get equal verdicts; other columns are passed on untouched.
+    get equal verdicts; other columns are passed on untouched, those with the
+    names of the new columns are replaced.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    counted = docs.withColumn("_words", _words(text)).withColumn("_lines", F.split(text, "\n"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    counted = packed(docs).select("row", _words(text).alias("_words"), F.split(text, "\n").alias("_lines"))
     real = F.filter("_lines", lambda x: _length_without(x, " " + BLANKS) > 0)
     counted = counted.select(
         "*", F.size("_words").cast("bigint").alias("n_words"), _length_without(text, " " + BLANKS).cast("bigint").alias("word_chars"),
@@ -92,7 +94,9 @@ def judge(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
     judged = counted.withColumn("base_failed", failed).withColumn("n_removed", (F.size("_lines") - F.size("_good")).cast("bigint")).withColumn("clean_text", clean)
     left = _length_without(F.col("clean_text"), " " + BLANKS)
     kept = ~F.col("base_failed") & (left >= (1 - max_loss) * F.col("word_chars"))
-    return judged.withColumn("kept", kept).drop("_words", "_lines", "_good")
+    judged = judged.withColumn("kept", kept).drop("_words", "_lines", "_good")
+    new = [c for c in judged.columns if c != "row"]
+    return judged.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in new], *new)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnledger.llm.shared import packed
+
 REACH = 200
 
 
@@ -114,17 +116,18 @@ def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with ``found``: the reported spans (start, kind, stop) of ``text``, sorted by start, then kind as in KINDS.
 
     Positions are code points, stop exclusive. A null text counts as empty; equal
-    rows give equal spans; other columns are passed on untouched.
+    rows give equal spans; other columns are passed on untouched, one named
+    ``found`` is replaced.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    named = docs.select("*", *[_spans(text, k).alias(f"_{k}") for k in NAMES if k != "key"])
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    named = packed(docs).select("row", *[_spans(text, k).alias(f"_{k}") for k in NAMES if k != "key"])
     # a key alone is never reported: only texts with an owner are searched for keys
     owned = F.size("_access") + F.size("_ident") + F.size("_endpoint") > 0
     keys = F.when(owned, _spans(text, "key")).otherwise(F.array().cast(_SPAN))
     parts = F.array_sort(F.concat(*[F.col(f"_{k}") if k != "key" else keys for k in NAMES]))
     weak = F.size("_ident") + F.size("_endpoint") > 0
     found = F.when(weak | owned, let(parts, _linked)).otherwise(parts)
-    return named.withColumn("found", found).drop(*[f"_{k}" for k in NAMES])
+    return named.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "found"], found.alias("found"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -35,11 +35,17 @@ def maybe_in(df: DataFrame, column: str, keys: DataFrame, bits: int = FILTER_BIT
     return joined.withColumn("_maybe", F.coalesce(bit == 1, F.lit(False))).drop("_slot", "_word", "_bits")
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` as one column ``row``, so that helper columns cannot clash with its own."""
+    return df.select(F.struct("*").alias("row"))
+
+
 def without(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """Rows whose value is not among the keys; only rows that may be among them are shuffled."""
-    marked = maybe_in(df, column, keys)
-    sure = marked.where(~F.col("_maybe")).drop("_maybe")
-    return sure.unionByName(marked.where("_maybe").drop("_maybe").join(keys.select(column), column, "left_anti").select(*df.columns))
+    keys = keys.select(F.col(column).alias("key"))
+    marked = maybe_in(packed(df).withColumn("key", F.col("row")[column]), "key", keys)
+    sure = marked.where(~F.col("_maybe")).select("row")
+    return sure.union(marked.where("_maybe").join(keys, "key", "left_anti").select("row")).select("row.*")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
