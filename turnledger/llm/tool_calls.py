@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,8 +26,8 @@ from turnledger.session import stored
 
 CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,after:array<string>>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
-#: Links that point forward in time in one chain; longer chains, and cycles, count as unordered and come last.
-MAX_FORWARD = 64
+#: Links that point forward in time in one chain, and calls in one cycle; what still moves after so many rounds counts as unordered and comes last.
+MAX_FORWARD = 32
 #: Turns in a stretch of a conversation.
 STRETCH = 256
 
@@ -58,8 +59,8 @@ def ordered(calls: DataFrame) -> DataFrame:
     hop = F.struct("turn", F.lit(0).alias("hops"), "place")
     keys = stored(calls.select("conv_id", "id", "turn", "place", hop.alias("key"), F.lit(False).alias("moved"), "after"), "keys")
     links = stored(keys.select("conv_id", "id", F.explode("after").alias("dep")).where("dep <> id").distinct(), "links")
-    late = keys.limit(0).select("conv_id", "id")
-    for turn in range(MAX_FORWARD + 1):
+    late = []  # calls that move after every chain has settled: a cycle passes its moves on, so as many rounds again see all of it
+    for turn in range(2 * MAX_FORWARD):
         waits = links.join(keys.select("conv_id", F.col("id").alias("dep"), "key"), ["conv_id", "dep"])
         most = waits.groupBy("conv_id", "id").agg(F.max("key").alias("wait"))
         after = F.struct(F.col("wait.turn").alias("turn"), (F.col("wait.hops") + 1).alias("hops"), F.col("wait.place").alias("place"))
@@ -69,10 +70,13 @@ def ordered(calls: DataFrame) -> DataFrame:
         keys = stored(step, "keys")
         changed = keys.where("moved").select("conv_id", "id")
         if not changed.take(1):
+            late = []
             break
-        late = changed
-    else:
-        keys = keys.join(late.withColumn("late", F.lit(True)), ["conv_id", "id"], "left").withColumn("moved", F.coalesce("late", F.lit(False))).drop("late")
+        if turn >= MAX_FORWARD:
+            late.append(changed)
+    if late:
+        unsettled = reduce(DataFrame.union, late).distinct().withColumn("late", F.lit(True))
+        keys = keys.join(unsettled, ["conv_id", "id"], "left").withColumn("moved", F.coalesce("late", F.lit(False))).drop("late")
     keys = keys.withColumn("at", F.when(F.col("moved"), F.col("turn")).otherwise(F.col("key.turn"))).withColumn("stretch", F.floor(F.col("at") / STRETCH))
     group = ["conv_id", "moved", "stretch"]
     counts = keys.groupBy(*group).agg(F.count("*").alias("n"))
