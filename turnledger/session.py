@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_UNSET: dict[str, str] = {}  # application id -> folder, only where the session names none
+_UNSET: dict[str, tempfile.TemporaryDirectory] = {}  # application id -> folder, only where the session names none
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -24,11 +25,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     if context.applicationId not in _UNSET:
-        _UNSET[context.applicationId] = tempfile.mkdtemp(prefix="turnledger-")
-    return _UNSET[context.applicationId]
+        _UNSET[context.applicationId] = tempfile.TemporaryDirectory(prefix="turnledger-", ignore_cleanup_errors=True)  # gone with the process
+    return _UNSET[context.applicationId].name
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
