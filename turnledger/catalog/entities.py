@@ -304,6 +304,15 @@ _timeline("timeline_hourly_models", "cost_usd", "cost", "hour", "2024-01-10", "2
 _timeline("timeline_hourly_project", "output_tokens::double", "output", "hour", "2024-01-10", "2024-01-11", project="/home/u/p1")
 
 
+@query("timeline_all", f""", sums as (select ts::date as b, count(*) as turns, {sql.SUMS}, {sql.usd()} as cost_usd from turns where ts >= timestamp '2024-01-09 00:00:00' group by 1)
+select 'all' as label, cast(d::date as varchar) as bucket, coalesce(cost_usd, 0) as value, coalesce(turns, 0) as turns
+from generate_series((select min(b) from sums)::timestamp, timestamp '{AS_OF_DAY} 00:00:00', interval 1 day) g(d) left join sums on b = d::date""")
+def timeline_all(t):
+    """Turns begin on the ninth; the range without a start does too."""
+    later = t.turns.filter(F.col("ts") >= F.lit("2024-01-09").cast("timestamp"))
+    return panels.timeline(later, entity.canonical_cwd(t.sessions), "cost", "day", None, AS_OF_DAY)
+
+
 @query("timeline_overlay", f""", sums as (select ts::date as b, count(*) as turns, {sql.SUMS}, {sql.usd()} as cost_usd from turns group by 1)
 select 'all' as label, cast(b as varchar) as bucket, {sql.hit_pct()} as value, turns, case when b >= date '2024-01-15' then cost_usd end as secondary from sums""")
 def timeline_overlay(t):

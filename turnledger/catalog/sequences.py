@@ -11,6 +11,7 @@ from turnledger.functions import text
 from turnledger.functions.money import usd
 from turnledger.operators import patterns
 from turnledger.plans import detail
+from turnledger.sources import logs
 
 # One session per user; thresholds low enough to find something on these tables.
 LOW = {
@@ -183,6 +184,32 @@ def prior_user_prompt(t):
     return detail.prior_prompts(t.log.withColumn("session_id", F.lit("s")))
 
 
+@query("turn_snippets", """
+select cast(a.conv_id as varchar) || '-' || a.turn as turn_key, a.turn + 1 as source_line,
+  coalesce((select case when length(p) > 500 then left(p, 500) || '…' else p end from (select arg_max(b.text, b.turn) as p from conversations b where b.conv_id = a.conv_id and b.role = 'user' and b.turn < a.turn)), '') as user_prompt,
+  case when length(a.text) > 500 then left(a.text, 500) || '…' else a.text end as assistant_preview,
+  case when (a.conv_id + a.turn) % 4 < 3 then 'Read' end as call,
+  case when (a.conv_id + a.turn) % 4 < 3 then not exists (select 1 from conversations b where b.conv_id = a.conv_id and b.role = 'user' and b.turn = a.turn + 1 and b.conv_id % 3 = 0) end as ok
+from conversations a where a.role = 'assistant'""", prelude="")
+def turn_snippets(t):
+    """The conversations as log lines with calls and results; every assistant turn with its prompt, preview, call and line."""
+    rows = t.table("conversations")
+    kind, name = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4)), lambda n: F.concat(F.lit("t"), n.cast("string"))
+    text = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))
+    call = F.struct(F.lit("tool_use").alias("type"), name(F.col("turn")).alias("id"), F.lit("Read").alias("name"))
+    result = F.struct(F.lit("tool_result").alias("type"), name(F.col("turn") - 1).alias("tool_use_id"), (F.pmod("conv_id", F.lit(3)) == 0).alias("is_error"))
+    more = F.when((F.col("role") == "assistant") & (kind < 3), F.to_json(call)).when((F.col("role") == "user") & (F.col("turn") > 0), F.to_json(result))
+    content = F.concat(F.lit("["), F.concat_ws(",", F.to_json(text), more), F.lit("]"))
+    key = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    event = F.struct(F.col("role").alias("type"), F.lit("s").alias("sessionId"), F.struct(key.alias("id"), F.lit("<content>").alias("content")).alias("message"))
+    value = F.replace(F.to_json(event), F.lit('"<content>"'), content)
+    lines = rows.select(F.concat(F.lit("/logs/"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("file"), (F.col("turn") + 1).alias("line"), value.alias("value"))
+    events = logs.events(lines)
+    turns = events.filter("type = 'assistant'").select("session_id", F.col("file").alias("source_file"), F.col("message_id").alias("turn_key"), "message_id", F.lit(None).cast("timestamp").alias("ts"))
+    found = detail.turn_context(events, turns)
+    return found.select("turn_key", "source_line", "user_prompt", "assistant_preview", F.get("calls", 0)["name"].alias("call"), F.get("calls", 0)["ok"].alias("ok"))
+
+
 @query("call_outcomes", """
 select a.file, 's' as session_id, a.line, 0::bigint as pos, a.name, not exists (select 1 from log b where b.file = a.file and b.kind = 'tool_result' and b.is_error and b.tool_use_id = a.block_id) as ok
 from log a where a.kind = 'tool_use'""", prelude=ORACLE_LOG)

@@ -14,6 +14,7 @@ from turnledger.functions.money import usd, usd_sum
 from turnledger.operators import entity, ordered, series, topk
 from turnledger.plans import breakdown, rollups
 from turnledger.plans.breakdown import billed
+from turnledger.sources import logs
 
 ROW_CAP = 50
 
@@ -337,11 +338,13 @@ def source_lines(turns: DataFrame, events: DataFrame) -> DataFrame:
     """First assistant line of each turn in its session's file: by message id or by equal timestamp.
 
     ``turns``: session_id, source_file, turn_key, message_id, ts; ``events``: file,
-    session_id, line, message_id, ts. Events are reduced to their first line per
+    session_id, line, message_id, ts and, where other than assistant lines are in
+    it, type. Events are reduced to their first line per
     id and per timestamp, so two equi-joins with at most one match each replace
     the or-condition.
     """
-    side = events.withColumnRenamed("file", "source_file")
+    side = events.filter(F.col("type") == "assistant") if "type" in events.columns else events
+    side = side.withColumnRenamed("file", "source_file")
     at = ["source_file", "session_id"]
     by_id = side.filter(F.col("message_id").isNotNull()).groupBy(*at, "message_id").agg(F.min("line").alias("id_line"))
     by_ts = side.groupBy(*at, "ts").agg(F.min("line").alias("ts_line"))
@@ -352,6 +355,24 @@ def source_lines(turns: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def turn_context(events: DataFrame, turns: DataFrame) -> DataFrame:
+    """What the logs say about turns: prior prompt, preview, source line and calls with their outcome.
+
+    ``events`` are parsed log lines with line numbers, ``turns`` (session_id,
+    source_file, turn_key, message_id, ts) the turns to explain. One row per turn,
+    its calls as an array in the order of the message, which bounds it.
+    """
+    lines = source_lines(turns, events).join(turns.select("turn_key", "session_id", F.col("source_file").alias("file")), ["turn_key", "session_id"])
+    own = events.join(turns.select(F.col("source_file").alias("file"), "session_id").distinct(), ["file", "session_id"], "left_semi")
+    said = own.filter(F.col("type").isin("user", "assistant")).select("file", "session_id", "line", F.col("type").alias("role"), logs.message_text(F.col("content")).alias("text"))
+    at = ["file", "session_id", "line"]
+    blocks = logs.content_blocks(own).join(own.select(*at), ["file", "line"])
+    outcomes = call_outcomes(blocks.filter("kind = 'tool_use'"), blocks.filter("kind = 'tool_result'"))
+    calls = outcomes.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("pos", "name", "ok"))).alias("calls"))
+    found = lines.withColumnRenamed("source_line", "line").join(prior_prompts(said), at, "left").join(calls, at, "left")
+    return found.select("turn_key", "session_id", F.col("line").alias("source_line"), "user_prompt", "assistant_preview", "calls")
+
+
 def turn_detail(numbered: DataFrame, session_id: str, turn_idx: int) -> DataFrame:
     """Cost components and token counts of one turn."""
     return numbered.filter((F.col("session_id") == session_id) & (F.col("turn_idx") == turn_idx)).select(

@@ -158,7 +158,7 @@ def timeline(
     projects: DataFrame,
     metric: str,
     bucket: str,
-    since: str,
+    since: str | None,
     until: str,
     project: str = "all",
     model: str = "all",
@@ -166,8 +166,11 @@ def timeline(
     """Zero-filled series of one metric per bucket (``day`` or ``hour``), one line per compared entity.
 
     ``project`` and ``model`` are each ``all``, ``compare`` (the costliest
-    eight), one value or a comma-separated list; only one may compare.
+    eight), one value or a comma-separated list; only one may compare. Without
+    ``since`` the series begins on the first active day.
     """
+    if since is None:
+        since = str(turns.agg(F.coalesce(F.min(series.day()), F.lit(until).cast("date"))).first()[0])
     p, m = _wanted(project), _wanted(model)
     p_many = p == "compare" or (isinstance(p, list) and len(p) > 1)
     m_many = m == "compare" or (isinstance(m, list) and len(m) > 1)
