@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from turnledger.catalog import sql
@@ -10,6 +12,8 @@ from turnledger.catalog.entities import LIMITS, RECURSIVE, SESSION_SQL, VERDICT,
 from turnledger.catalog.shapes import AS_OF_DAY, ORACLE_EVENT_BLOCKS, oracle_split
 from turnledger.operators import attribution, entity, series, topk
 from turnledger.plans import breakdown, detail, rollups
+from turnledger.session import checkpoint_dir
+from turnledger.sources import history
 
 SPLIT = (
     RECURSIVE
@@ -90,6 +94,28 @@ def tool_breakdown_prorata(t):
     return rounded(breakdown.tool_breakdown(t.turns, *t.split, top=2), 8, "cost_usd")
 
 
+def _stored_split(t):
+    """The turns with their slices in a history, appended twice."""
+    store = history.History(t.spark, f"{checkpoint_dir(t.spark)}/history-{uuid.uuid4().hex}")
+    rows = history.with_slices(t.turns, *t.split)
+    store.append(rows)
+    store.append(rows, flush=1)
+    return store
+
+
+@query("history_tool_costs", """
+select file, line, tool, round(in_tok, 4) as tool_input_tokens, round(out_tok, 4) as tool_output_tokens, round(usd, 9) as tool_usd, round(usd_x, 9) as tool_usd_uncached from tt""", prelude=SPLIT)
+def history_tool_costs(t):
+    return rounded(rounded(_stored_split(t).split()[0], 9, "tool_usd", "tool_usd_uncached"), 4, "tool_input_tokens", "tool_output_tokens")
+
+
+@query("history_tool_breakdown", _breakdown_sql("usd", "(select sum(usd) from rest) + (select coalesce(sum(usd), 0) from tt where tool = '__unknown__')"), prelude=SPLIT)
+def history_tool_breakdown(t):
+    """The tool report from the history alone."""
+    store = _stored_split(t)
+    return rounded(breakdown.tool_breakdown(store.turns(), *store.split(), top=2), 8, "cost_usd")
+
+
 @query("tool_breakdown_excl_cache_read", _breakdown_sql("usd_x", """(select sum(greatest(total - coalesce(spent, 0), 0)) from (
   select cost_units::double / 1e10 as total, s.spent from turns t left join (select file, line, sum(usd_x) as spent from tt where tool <> '__unknown__' group by all) s using (file, line) where not is_interrupted))"""), prelude=SPLIT)
 def tool_breakdown_excl(t):

@@ -15,14 +15,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from turnledger.operators import dedup
 from turnledger.session import stored
 
+SLICES = "array<struct<tool: string, tool_input_tokens: double, tool_output_tokens: double, tool_usd: double, tool_usd_uncached: double>>"
+REST = "struct<rest_input_tokens: double, rest_output_tokens: double, rest_usd: double>"
+
 # Columns added after the first layout, with the value old rows get.
-LATER_COLUMNS = {"cache_creation_1h_tokens": "0L", "attribution_skill": "cast(null as string)", "skill_names": "cast(null as map<string,bigint>)"}
+LATER_COLUMNS = {
+    "cache_creation_1h_tokens": "0L", "attribution_skill": "cast(null as string)", "skill_names": "cast(null as map<string,bigint>)",
+    "tool_slices": f"cast(null as {SLICES})", "rest": f"cast(null as {REST})",
+}
 
-TURN_SCHEMA = """turn_key string, file string, line bigint, ts timestamp, session_id string, model string, input_tokens bigint,
+TURN_SCHEMA = f"""turn_key string, file string, line bigint, ts timestamp, session_id string, model string, input_tokens bigint,
   output_tokens bigint, cache_read_tokens bigint, cache_creation_tokens bigint, cache_creation_1h_tokens bigint, input_units bigint,
   output_units bigint, cache_read_units bigint, cache_creation_units bigint, cache_saved_units bigint, cost_units bigint,
   is_sidechain boolean, is_interrupted boolean, stop_reason string, tool_use_count bigint, tool_error_count bigint,
-  tool_names map<string,bigint>, tags array<string>, attribution_skill string, skill_names map<string,bigint>, date date"""
+  tool_names map<string,bigint>, tags array<string>, attribution_skill string, skill_names map<string,bigint>,
+  tool_slices {SLICES}, rest {REST}, date date"""
 ATTRIBUTE_SCHEMA = "session_id string, source_file string, cwd string, is_sidechain boolean, flush bigint"
 
 
@@ -58,6 +65,12 @@ class History:
         rows = self._read(self.turns_path, TURN_SCHEMA)
         return rows.withColumns({c: F.coalesce(F.col(c), F.expr(value)) for c, value in LATER_COLUMNS.items()})
 
+    def split(self) -> tuple[DataFrame, DataFrame]:
+        """(slices per turn and tool, rest per turn) as stored with the turns; reports need not split again."""
+        turns = self.turns()
+        per_tool = turns.select("file", "line", F.inline("tool_slices"))
+        return per_tool, turns.filter(F.col("rest").isNotNull()).select("file", "line", "rest.*")
+
     def attributes(self) -> DataFrame:
         return self._read(self.attributes_path, ATTRIBUTE_SCHEMA)
 
@@ -112,6 +125,7 @@ class History:
         """Add turns whose key history does not hold; running it again adds nothing."""
         key = dedup.passthrough_key(F.col("dedup_key"), F.col("uuid"), F.col("file"), F.col("line"))
         keyed = dedup.keep_first(turns.withColumn("turn_key", key), "turn_key", dedup.PLACE)
+        keyed = keyed.withColumns({c: F.expr(value) for c, value in LATER_COLUMNS.items() if c not in keyed.columns})
         known = self.turns().select("turn_key")
         columns = [f.name for f in self._read(self.turns_path, TURN_SCHEMA).schema]
         fresh = keyed.withColumn("date", F.to_date("ts")).join(known, "turn_key", "left_anti").select(*columns)
@@ -188,6 +202,14 @@ class History:
             folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def with_slices(turns: DataFrame, per_tool: DataFrame, rest: DataFrame) -> DataFrame:
+    """Turns with their tool slices and the rest, ready for ``append``; an array holds the tools of one turn."""
+    place = ["file", "line"]
+    slices = per_tool.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct(*[c for c in per_tool.columns if c not in place]))).alias("tool_slices"))
+    left = rest.select(*place, F.struct(*[c for c in rest.columns if c not in place]).alias("rest"))
+    return turns.join(slices, place, "left").join(left, place, "left")
+
+
 def merge_tiers(hot: DataFrame, warm: DataFrame, key: str = "turn_key") -> DataFrame:
     """Recent rows plus the older rows they do not already hold."""
     columns = hot.columns
