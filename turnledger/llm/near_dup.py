@@ -132,12 +132,12 @@ def shingled(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return rows.where("_maybe").select("doc_id", "text").mapInArrow(run, "doc bigint, shingles binary")
 
 
-def _bridges(members: DataFrame, percent: int) -> DataFrame:
+def _bridges(members: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join different components inside the buckets that hold several.
 
-    ``members`` has (key, band, doc, root, main, n_shingles, sketch, shingles),
-    main the component of most members of the bucket; every pair to compare has a
-    side outside it. A bucket is a grid of blocks of bounded size: rows outside
+    ``members`` has (key, band, doc, root, main, n_shingles), main the component
+    of most members of the bucket, ``contents`` (doc, sketch, shingles), shuffled
+    once to the blocks; every pair to compare has a side outside main. A bucket is a grid of blocks of bounded size: rows outside
     main in columns, all rows in rows. In a block, pairs whose sketches come near
     the similarity are verified on the full sets, most alike first, and as soon
     as two components are joined their other pairs need no look; only the
@@ -152,7 +152,7 @@ def _bridges(members: DataFrame, percent: int) -> DataFrame:
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     down = grid.withColumn("r", own("rows")).withColumn("c", each("cols")).withColumn("side", F.lit(0))
     across = grid.where(outside).withColumn("c", own("cols")).withColumn("r", each("rows")).withColumn("side", F.lit(1))
-    cells = down.unionByName(across).select("key", "r", "c", "band", "side", "doc", "root", "sketch", "shingles")
+    cells = down.unionByName(across).select("key", "r", "c", "band", "side", "doc", "root").join(contents, "doc")
 
     def join(band: int, side: np.ndarray, doc: np.ndarray, root: np.ndarray, marks: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         component = root.copy()
@@ -237,10 +237,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     per_root = rooted.join(open_, "key").groupBy("key", "root").agg(F.count("*").alias("n"))
     main = per_root.groupBy("key").agg(F.max(F.struct("n", (-F.col("root")).alias("neg"))).alias("main")).select("key", (-F.col("main.neg")).alias("main"))
-    contested = stored(rooted.join(main, "key"), "contested")
+    contested = stored(rooted.join(main, "key").join(reps.select("doc", "n_shingles"), "doc"), "contested")
     ids = contested.select(F.col("doc").alias("doc_id")).distinct()
-    sets = shingled(docs, ids, words)
-    second = _bridges(contested.join(reps.select("doc", "n_shingles", "sketch"), "doc").join(sets, "doc"), percent)
+    contents = shingled(docs, ids, words).join(reps.select("doc", "sketch"), "doc")
+    second = _bridges(contested, contents, percent)
     root_of = near.select(F.col("node"), F.col("root"))
     bridges = second.join(root_of, F.col("a") == F.col("node"), "left").select(F.coalesce("root", "a").alias("a"), "b")
     bridges = bridges.join(root_of, F.col("b") == F.col("node"), "left").select("a", F.coalesce("root", "b").alias("b"))
