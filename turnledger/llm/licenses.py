@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,13 +140,14 @@ def templates_in(ids: np.ndarray, index: Index) -> dict[str, float]:
 
 def frequencies(docs: DataFrame, index: Index) -> tuple[int, dict[int, int]]:
     """Number of documents, and in how many of them each word of the index stands: one number per word leaves a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, df = 0, np.zeros(len(shared.value.hashes), np.int64)
+        index = cloudpickle.loads(shared.value)
+        total, df = 0, np.zeros(len(index.hashes), np.int64)
         for batch in batches:
             for block in blocks(batch, "text"):
-                ids, ends = shared.value.numbered(block.column("text"))
+                ids, ends = index.numbered(block.column("text"))
                 owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
                 known = ids >= 0
                 pairs = np.unique(owner[known] * len(df) + ids[known])
@@ -169,11 +171,11 @@ def scan(docs: DataFrame, templates: dict = TEMPLATES, phrases: dict = PHRASES)
     """
     index = Index(templates, phrases)
     index.rate(*frequencies(docs, index))
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
     fields = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = cloudpickle.loads(shared.value)
         for batch in batches:
             for block in blocks(batch, "text"):
                 ids, ends = index.numbered(block.column("text"))
