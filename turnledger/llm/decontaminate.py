@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from turnledger.llm.arrays import blocks, offsets_of
 Q = 8
 PIECE, STRIDE, RATE = 120, 60, 0.08
 BLOCK_CHARS = 4_000_000
+#: Bytes of text that a task indexes at a time; its arrays take some hundred times as much.
+TEXT_BYTES = 500_000
 _BITS = 22
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -194,14 +197,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     spark = docs.sparkSession
     for block in _blocks_of(benchmark):
-        index = spark.sparkContext.broadcast(Pieces(block))
+        index = spark.sparkContext.broadcast(cloudpickle.dumps(Pieces(block)))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            pieces = cloudpickle.loads(index.value)
             for batch in batches:
-                for part in blocks(batch, "text"):
+                for part in blocks(batch, "text", TEXT_BYTES):
                     texts, rows = part.column("text"), []
                     found = defaultdict(list)
-                    for row, item, a, z, edits in index.value.find(texts):
+                    for row, item, a, z, edits in pieces.find(texts):
                         found[row, item].append((a, z, edits))
                     start = offsets_of(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
                     for (row, item), spans in found.items():
@@ -221,13 +225,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without a leak; decided next to the text, nothing is shuffled."""
     for block in _blocks_of(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(Pieces(block))
+        index = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(Pieces(block)))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            pieces = cloudpickle.loads(index.value)
             for batch in batches:
-                for part in blocks(batch, "text"):
+                for part in blocks(batch, "text", TEXT_BYTES):
                     clean = np.ones(part.num_rows, bool)
-                    clean[[x[0] for x in index.value.find(part.column("text"))]] = False
+                    clean[[x[0] for x in pieces.find(part.column("text"))]] = False
                     yield part.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
