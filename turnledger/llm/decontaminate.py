@@ -32,6 +32,7 @@ BLOCK_CHARS = 4_000_000
 #: Bytes of text that a task indexes at a time; its arrays take some hundred times as much.
 TEXT_BYTES = 500_000
 _BITS = 22
+_ROOM = 1 << 7  # more than the q-grams of a piece
 
 _FOLD = np.full(256, 32, np.uint8)
 for _b in [*range(48, 58), *range(97, 123), *range(128, 256)]:
@@ -126,13 +127,19 @@ class Pieces:
         hit, at = hit[real], at[real]
         if not len(hit):
             return []
-        # positions in some window with enough hits
+        # only hits in some window that holds enough of them
         flags = np.zeros(len(data) + 1, np.int32)
         flags[hit] = 1
         upto = np.concatenate([[0], np.cumsum(flags)])
-        low, high = np.maximum(hit - self.window, 0), np.minimum(hit + self.window, len(data))
-        dense = upto[high] - upto[low] >= self.needs
+        end = np.minimum(hit + self.window, len(data))
+        opens = upto[end] - upto[hit] >= self.needs
+        cover = np.zeros(len(data) + 1, np.int32)
+        np.add.at(cover, hit[opens], 1)
+        np.add.at(cover, end[opens], -1)
+        dense = np.cumsum(cover)[hit] > 0
         hit, at = hit[dense], at[dense]
+        if not len(hit):
+            return []
         n = self.first[at + 1] - self.first[at]
         where = np.repeat(hit, n)
         post = self.posts[np.repeat(self.first[at], n) + (np.arange(n.sum()) - np.repeat(offsets_of(n)[:-1], n))]
@@ -142,37 +149,37 @@ class Pieces:
         piece, j, doc, where = piece[whole], j[whole], doc[whole], where[whole]
         budget = np.array([x[2] for x in self.pieces])
         needs = np.array([x[3] for x in self.pieces])
-        length = np.array([len(x[1]) for x in self.pieces])
         diagonal = where - j + PIECE  # never negative
         step = budget[piece] + 1
+        if not len(diagonal):
+            return []
+        bands = int(diagonal.max()) // 2 + 2
         out, done = [], set()
         for shift in (0, 1):  # bands 2 * step wide, half a band apart
             band = (diagonal + shift * step) // (2 * step)
-            order = np.lexsort((j, band, piece, doc))
-            d, p, b, jj = doc[order], piece[order], band[order], j[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (d[1:] != d[:-1]) | (p[1:] != p[:-1]) | (b[1:] != b[:-1])
-            fresh = new.copy()
-            fresh[1:] |= jj[1:] != jj[:-1]  # a q-gram of the piece counts once
-            group = np.cumsum(new) - 1
-            shared = np.bincount(group, fresh)
-            begin = np.flatnonzero(new)
-            for i in begin[shared >= needs[p[begin]]]:
-                key, step_i = (int(d[i]), int(p[i])), int(step[order[i]])
-                low_d = int(b[i]) * 2 * step_i - shift * step_i - PIECE
-                a = max(int(ends[d[i]]), low_d - int(budget[p[i]]))
-                z = min(int(ends[d[i] + 1]), low_d + 2 * step_i + int(length[p[i]]) + int(budget[p[i]]))
-                if (key, a) in done:
+            # one sorted number per (text, piece, band, q-gram of the piece): a q-gram counts once
+            each = np.sort(((doc * len(self.pieces) + piece) * bands + band) * _ROOM + j)
+            cells = each[np.concatenate([[True], each[1:] != each[:-1]])] // _ROOM
+            begin = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+            cell, shared = cells[begin], np.diff(np.append(begin, len(cells)))
+            owner = cell // bands
+            for i in np.flatnonzero(shared >= needs[owner % len(self.pieces)]):
+                d, p, b = int(owner[i]) // len(self.pieces), int(owner[i]) % len(self.pieces), int(cell[i]) % bands
+                width, k = int(budget[p]) + 1, int(budget[p])
+                low = b * 2 * width - shift * width - PIECE
+                a = max(int(ends[d]), low - k)
+                z = min(int(ends[d + 1]), low + 2 * width + len(self.pieces[p][1]) + k)
+                if (d, p, a) in done:
                     continue
-                done.add((key, a))
-                item, part, limit, _ = self.pieces[p[i]]
+                done.add((d, p, a))
+                item, part, limit, _ = self.pieces[p]
                 region = data[a:z].tobytes()
                 edits = edits_within(part, region, limit)
                 if edits is not None:
                     exact = region.find(part)
                     if exact >= 0:
                         a, z = a + exact, a + exact + len(part)
-                    out.append((int(d[i]), item, int(origin[a]), int(origin[z - 1]) + 1, edits))
+                    out.append((d, item, int(origin[a]), int(origin[z - 1]) + 1, edits))
         return out
 
 
