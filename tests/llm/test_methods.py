@@ -81,6 +81,27 @@ def test_near_duplicates_equal_all_pairs(spark, words):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(sets[i]), want[i]) for i in range(len(texts))}
 
 
+def test_contested_pair_meets_where_its_bytes_agree_by_chance(spark):
+    rng, pairs = np.random.default_rng(11), 3000
+    sets = rng.integers(0, 2**63, (pairs, 2, 60)).astype(np.uint64)
+    sets[:, 1, :54] = sets[:, 0, :54]  # similarity 54 / 66
+    full = near_dup.sketch(sets.reshape(-1), offsets_of([60] * 2 * pairs), near_dup.BANDS * near_dup.ROWS)
+    low = (near_dup.mix(full) & np.uint64(255)).astype(np.uint8).reshape(pairs, 2, -1)
+    band = lambda x: (x[:, 0] == x[:, 1]).reshape(pairs, near_dup.BANDS, near_dup.ROWS).all(axis=2)
+    real, bytes_ = band(full.reshape(pairs, 2, -1)), band(low)
+    chance = np.flatnonzero(real.any(axis=1) & (real.argmax(axis=1) != bytes_.argmax(axis=1)))
+    assert len(chance)
+    keys = lambda i, side: [int(1000 * b + (0 if real[i, b] else side + 1)) for b in range(near_dup.BANDS)]
+    i = int(chance[0])
+    members = [(keys(i, side)[b], int(b), side + 1, side + 1, 1, 60) for b in np.flatnonzero(real[i]) for side in (0, 1)]
+    contents = [(side + 1, bytearray(low[i, side].tobytes()), keys(i, side), bytearray(np.sort(sets[i, side]).tobytes())) for side in (0, 1)]
+    got = near_dup._bridges(
+        spark.createDataFrame(members, "key bigint, band int, doc bigint, root bigint, main bigint, n_shingles bigint"),
+        spark.createDataFrame(contents, "doc bigint, sketch binary, bands array<bigint>, shingles binary"), 80,
+    )
+    assert [tuple(r) for r in got.collect()] == [(1, 2)]
+
+
 def test_shingle_sets_are_exact():
     sets, ends = shingle_sets(pa.array(["a b a b a", "A\tB", "a", None, "é É"]), 2)
     assert np.diff(ends).tolist() == [2, 1, 1, 0, 1]

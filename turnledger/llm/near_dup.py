@@ -136,12 +136,12 @@ def _bridges(members: DataFrame, contents: DataFrame, percent: int) -> DataFrame
     """Links (a, b) that join different components inside the buckets that hold several.
 
     ``members`` has (key, band, doc, root, main, n_shingles), main the component
-    of most members of the bucket, ``contents`` (doc, sketch, shingles), shuffled
+    of most members of the bucket, ``contents`` (doc, sketch, bands, shingles), shuffled
     once to the blocks; every pair to compare has a side outside main. A bucket is a grid of blocks of bounded size: rows outside
     main in columns, all rows in rows. In a block, pairs whose sketches come near
     the similarity are verified on the full sets, most alike first, and as soon
     as two components are joined their other pairs need no look; only the
-    joining links leave the task. A pair is compared in the first band it shares.
+    joining links leave the task. A pair is compared in the first band it shares, read from its full band keys.
     """
     least = int(np.floor((percent / 100 - SLACK) * BANDS * ROWS))
     outside = F.col("root") != F.col("main")
@@ -154,13 +154,13 @@ def _bridges(members: DataFrame, contents: DataFrame, percent: int) -> DataFrame
     across = grid.where(outside).withColumn("c", own("cols")).withColumn("r", each("rows")).withColumn("side", F.lit(1))
     cells = down.unionByName(across).select("key", "r", "c", "band", "side", "doc", "root").join(contents, "doc")
 
-    def join(band: int, side: np.ndarray, doc: np.ndarray, root: np.ndarray, marks: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    def join(band: int, side: np.ndarray, doc: np.ndarray, root: np.ndarray, marks: np.ndarray, keys: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         component = root.copy()
         xs = np.flatnonzero(side == 0)
         for y in np.flatnonzero(side == 1):
-            agree = marks[xs] == marks[y]
-            alike = agree.sum(axis=1)
-            ok = (alike >= least) & (component[xs] != component[y]) & (agree.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band)
+            alike = (marks[xs] == marks[y]).sum(axis=1)
+            ok = (alike >= least) & (component[xs] != component[y])
+            ok[ok] = (keys[xs[ok]] == keys[y]).argmax(axis=1) == band  # bytes of coordinates may agree where the keys differ
             left = xs[ok][np.argsort(-alike[ok], kind="stable")]
             while len(left):
                 part, left = left[:64], left[64:]
@@ -182,8 +182,9 @@ def _bridges(members: DataFrame, contents: DataFrame, percent: int) -> DataFrame
             if end - begin > 1:
                 one = part.slice(begin, end - begin)
                 marks = np.frombuffer(b"".join(one.column("sketch").to_pylist()), np.uint8).reshape(end - begin, -1)
+                keys = one.column("bands").combine_chunks().flatten().to_numpy().reshape(end - begin, BANDS)
                 sets = [np.frombuffer(x, np.uint64) for x in one.column("shingles").to_pylist()]
-                pairs += join(band[begin], side[begin:end], doc[begin:end], root[begin:end], marks, sets)
+                pairs += join(band[begin], side[begin:end], doc[begin:end], root[begin:end], marks, keys, sets)
         return pa.RecordBatch.from_arrays([pa.array([int(p[0]) for p in pairs], pa.int64()), pa.array([int(p[1]) for p in pairs], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +240,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     main = per_root.groupBy("key").agg(F.max(F.struct("n", (-F.col("root")).alias("neg"))).alias("main")).select("key", (-F.col("main.neg")).alias("main"))
     contested = stored(rooted.join(main, "key").join(reps.select("doc", "n_shingles"), "doc"), "contested")
     ids = contested.select(F.col("doc").alias("doc_id")).distinct()
-    contents = shingled(docs, ids, words).join(reps.select("doc", "sketch"), "doc")
+    contents = shingled(docs, ids, words).join(reps.select("doc", "sketch", "bands"), "doc")
     second = _bridges(contested, contents, percent)
     root_of = near.select(F.col("node"), F.col("root"))
     bridges = second.join(root_of, F.col("a") == F.col("node"), "left").select(F.coalesce("root", "a").alias("a"), "b")
