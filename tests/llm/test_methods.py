@@ -234,6 +234,32 @@ def test_licences_equal_plain_search(spark):
         assert all(label in got[r.doc_id].labels for phrase, label in references.items() if phrase in r.text)
 
 
+def test_licence_labels_do_not_depend_on_other_documents(spark):
+    templates = [text for text, _ in licenses.TEMPLATES.values()]
+    shifted = [t.replace(" software ", " software and any part of it ", 1) + " " + " ".join(f"w{k}" for k in range(30)) for t in templates]
+    texts = [*templates, *shifted, "the of and this software is free", "plain words only"]
+    run = lambda copies: licenses.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts) for _ in range(copies(i))], "doc_id bigint, text string")).collect()
+    few = {r.doc_id: (r.labels, r.score) for r in run(lambda i: 1)}
+    assert all(label in few[i][0].split(",") and few[i][1] == 1 for i, label in enumerate(licenses.TEMPLATES))
+    assert few[len(texts) - 2] == few[len(texts) - 1] == ("", 0)
+    for common in (1, 7):  # a group of copies that makes every word of a notice common
+        assert {r.doc_id: (r.labels, r.score) for r in run(lambda i: 40 if i == common else 1)} == few
+    assert [r.labels for r in licenses.scan(spark.createDataFrame([(1, templates[1])], "doc_id bigint, text string")).collect()] == ["mit-text"]
+    # every place of every template, without votes
+    index = licenses.Index()
+    index.rate(0, {})
+    ids, ends = index.numbered(pa.array(shifted))
+    for d in range(len(shifted)):
+        own, want = ids[ends[d] : ends[d + 1]], {}
+        for label, body, keys in zip(index.labels, index.bodies, index.keys):
+            for start in range(-len(body), len(own)):
+                region = own[max(0, start - licenses.PLAY) : max(0, start + len(body) + licenses.PLAY)]
+                share = sum(w in own[max(0, start + j - licenses.PLAY) : max(0, start + j + licenses.PLAY + 1)] for j, w in enumerate(body)) / len(body)
+                if share >= licenses.COVER and all(len(licenses.places(region, k)) for k in keys):
+                    want[label] = max(share, want.get(label, 0))
+        assert licenses.templates_in(own, index, np.arange(len(index.labels))) == want
+
+
 def test_spread_lines_equal_exact_counts(spark):
     rows = [(i, f"s{i % (k + 1)}", f"  line number {k} of all \nown text {i} {k}") for k in range(20) for i in range(60)]
     rows.append((999, None, "line number 6 of all"))

@@ -2,10 +2,12 @@
 
 Templates (notices and references of licences) are indexed by word: which
 template, which position. The rarity of the index's words is counted over all
-documents. In a text the rarest words of each template that it contains are
-looked up; every place votes for the template at a relative position, and where
-the votes intersect the template is laid over the text: most of its words must
-stand in place and its mandatory phrases must stand there word by word.
+documents and only ranks them: of each template the rarest words are looked up,
+however common they are; every place votes for the template at a relative
+position, and where the votes intersect the template is laid over the text: most
+of its words must stand in place and its mandatory phrases must stand there word
+by word. So many words are looked up that votes cannot miss a place where enough
+words stand, so a text's labels depend on that text alone.
 
 Two passes over the texts in Arrow batches; only the document frequencies of the
 index's words, bounded by the templates, leave the first. Nothing is shuffled.
@@ -52,10 +54,8 @@ TEMPLATES = {
     "cc-by-4.0": ("licensed under CC BY 4.0", ["cc by 4 0"]),
     "unlicense": ("This is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
 }
-#: Rarest words looked up per template and text, votes that must agree, words' play in place, share of words in place.
+#: Rarest words looked up per template at least, votes that must agree, words' play in place, share of words in place.
 RARE, VOTES, PLAY, COVER = 5, 3, 2, 0.8
-#: Words in more than this share of the documents only confirm; they are not looked up.
-COMMON = 0.2
 
 
 def words_of(texts: list[str]) -> list[list[str]]:
@@ -79,7 +79,13 @@ class Index:
         self.bodies = [np.array([number[w] for w in b]) for b in bodies]
         self.keys = [[np.array([number[w] for w in k]) for k in ks] for ks in keys]
         self.base = [(np.array([number[w] for w in b]), label) for b, label in zip(base, phrases.values())]
-        self.rank = None
+        # how often each word stands in each template, the words of its phrases, and how many of its places may be out of place
+        self.times = np.zeros((len(vocabulary), len(self.labels)), np.int64)
+        self.demands = np.zeros((len(vocabulary), len(self.labels)), np.int64)
+        for t, (body, ks) in enumerate(zip(self.bodies, self.keys)):
+            np.add.at(self.times[:, t], body, 1)
+            self.demands[np.concatenate(ks), t] = 1
+        self.spare = [max(m for m in range(len(b)) if (len(b) - m) / len(b) >= COVER) for b in self.bodies]
 
     def numbered(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The word numbers of the texts, -1 for words outside the index, and their offsets."""
@@ -90,10 +96,21 @@ class Index:
         return np.where(sorted_[at] == hashes, self.order[at], -1), ends
 
     def rate(self, documents: int, frequency: dict[int, int]) -> None:
-        """Rarity from document frequencies; words in too many documents are not looked up."""
+        """Rarity from document frequencies; the words to look up of each template, and how many of them must vote.
+
+        Of a template's places at most ``spare`` may be out of place, so of the
+        looked-up words at most so many do not vote for the place it stands at.
+        """
         df = np.array([frequency.get(i, 0) for i in range(len(self.hashes))])
         self.idf = np.log((documents + 1) / (df + 1))
-        self.lookup = df <= COMMON * max(1, documents)
+        ranked = [sorted(set(body.tolist()), key=lambda w: (-self.idf[w], w)) for body in self.bodies]
+        self.rare = [words[: max(RARE, m + VOTES)] for words, m in zip(ranked, self.spare)]
+        self.needed = [max(1, min(VOTES, len(words) - m)) for words, m in zip(self.rare, self.spare)]
+
+    def possible(self, present: np.ndarray) -> np.ndarray:
+        """(texts x templates) where the text has every word of the phrases and enough words of the template; ``present`` is texts x words."""
+        enough = present @ self.times >= self.times.sum(axis=0) - np.array(self.spare)
+        return enough & (present @ self.demands == self.demands.sum(axis=0))
 
 
 def places(ids: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -107,34 +124,27 @@ def places(ids: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
-def templates_in(ids: np.ndarray, index: Index) -> dict[str, float]:
-    """label -> share of the template's words in place, of every template verified in one text."""
+def templates_in(ids: np.ndarray, index: Index, chosen: np.ndarray) -> dict[str, float]:
+    """label -> share of the template's words in place, of every one of the templates numbered ``chosen`` verified in one text."""
     found = {}
-    present = np.unique(ids[ids >= 0])
-    where = {int(w): np.flatnonzero(ids == w) for w in present if index.lookup[w]}
-    for label, body, keys in zip(index.labels, index.bodies, index.keys):
-        rare = sorted((w for w in set(body.tolist()) if w in where), key=lambda w: (-index.idf[w], w))[:RARE]
-        needed = min(VOTES, len(set(body[index.lookup[body]].tolist())))
-        if not rare or len(rare) < needed:
-            continue
-        votes = defaultdict(set)
-        for w in rare:
-            for j in np.flatnonzero(body == w):
-                for start in (where[w] - j).tolist():
-                    votes[start].add(w)
-        best = 0.0
-        for start in votes:
-            near = set().union(*(votes.get(start + d, ()) for d in range(-PLAY, PLAY + 1)))
-            if len(near) < needed:
-                continue
-            low, high = max(0, start - PLAY), start + len(body) + PLAY
-            region = ids[low:high]
-            if not all(len(places(region, k)) for k in keys):
-                continue
-            inside = sum(w in ids[max(0, start + j - PLAY) : start + j + PLAY + 1] for j, w in enumerate(body))
-            best = max(best, inside / len(body))
-        if best >= COVER:
-            found[label] = best
+    for t in chosen:
+        body, edge = index.bodies[t], len(index.bodies[t]) + PLAY
+        near = {}  # where a word stands at most PLAY away; a start is counted from -edge
+        for w in set(body.tolist()):
+            near[w] = np.zeros(len(ids) + 2 * edge, bool)
+            for d in range(-PLAY, PLAY + 1):
+                near[w][np.flatnonzero(ids == w) + edge + d] = True
+        n = len(ids) + 2 * edge - len(body) + 1
+        votes = np.zeros(n, np.int64)
+        for w in index.rare[t]:
+            votes += np.logical_or.reduce([near[w][j : j + n] for j in np.flatnonzero(body == w)])
+        starts = np.flatnonzero(votes >= index.needed[t])
+        inside = np.sum([near[w][starts + j] for j, w in enumerate(body.tolist())], axis=0) / len(body)
+        for share, start in sorted(zip(inside[inside >= COVER].tolist(), (starts[inside >= COVER] - edge).tolist()), reverse=True):
+            region = ids[max(0, start - PLAY) : max(0, start + len(body) + PLAY)]
+            if all(len(places(region, k)) for k in index.keys[t]):
+                found[index.labels[t]] = share
+                break
     return found
 
 
@@ -194,11 +204,11 @@ def scan(docs: DataFrame, templates: dict = TEMPLATES, phrases: dict = PHRASES)
                         base[d].add(label)
                         score[d] = 1.0
                 known = ids >= 0
-                useful = known.copy()
-                useful[known] = index.lookup[ids[known]]
-                pairs = np.unique(owner[useful] * len(index.hashes) + ids[useful])
-                for d in np.flatnonzero(np.bincount(pairs // len(index.hashes), minlength=n) >= 2):
-                    for label, share in templates_in(ids[ends[d] : ends[d + 1]], index).items():
+                present = np.zeros((n, len(index.hashes)), np.int64)
+                present[owner[known], ids[known]] = 1
+                possible = index.possible(present)
+                for d in np.flatnonzero(possible.any(axis=1)):
+                    for label, share in templates_in(ids[ends[d] : ends[d + 1]], index, np.flatnonzero(possible[d])).items():
                         more[d].add(label)
                         score[d] = max(score[d], share)
                 yield pa.RecordBatch.from_arrays(
