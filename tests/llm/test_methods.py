@@ -288,6 +288,24 @@ def test_tool_calls_order_and_schema(spark):
     assert [got[2, i].status for i in "xyz"] == ["unordered", "unordered", "unanswered"] and got[2, "z"].position == 1 and got[2, "z"].problem == "unexpected more"
 
 
+def test_tool_calls_long_chains_and_cycles(spark):
+    def message(i, after):
+        return '{"tool_calls": [{"id": "%s", "name": "count", "arguments": "{}", "after": [%s]}]}' % (i, ",".join(f'"{a}"' for a in after))
+
+    n = 150
+    calls = [(1, k, f"c{k}", [f"c{k - 1}"] if k else ["late"]) for k in range(n)] + [(1, n, "late", [])]  # each after the one before, the first after a later one
+    calls += [(2, k, f"f{k}", [f"f{k + 1}"] if k < 99 else []) for k in range(100)]  # forward links only
+    calls += [(3, 0, "x", ["y"]), (3, 1, "y", ["x"]), (3, 2, "free", []), (3, 9, "behind", ["y"]), (3, 10, "next", ["free"])]
+    calls += [(4, 0, "a", ["b"]), (4, 1, "b", [])]
+    rows = [(c, t, "assistant", message(i, after)) for c, t, i, after in calls]
+    got = {(r.conv_id, r.id): r for r in tool_calls.link(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert {k for k, r in got.items() if r.status == "unordered"} == {(3, "x"), (3, "y"), (3, "behind")}
+    assert all(got[c, a].position < got[c, i].position for c, _, i, after in calls for a in after if got[c, i].status != "unordered")
+    for c, size in ((1, n + 1), (2, 100), (3, 5), (4, 2)):
+        assert sorted(r.position for (k, _), r in got.items() if k == c) == list(range(1, size + 1))
+    assert [got[3, i].position for i in ("free", "next")] == [1, 2]
+
+
 def test_url_templates(spark):
     urls = [f"https://shop.example.fr/item/{i}" for i in range(30)] + [f"https://shop.example.fr/tag{chr(97 + i % 26)}{chr(97 + i // 26)}/x" for i in range(40)]
     urls += [f"https://mix.example.fr/{lang}/{i}" for lang in ("aa", "bb", "cc") for i in range(10)]

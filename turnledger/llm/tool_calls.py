@@ -6,18 +6,21 @@ repeated identifier of a conversation is one call (the first) with ``copies``.
 
 Order: a call's key is its own time or, if later, the key of a call it comes
 after plus one hop. Calls logged in order need no round; each round of joins
-moves keys along one more link that points forward in time, until none changes.
-Positions are counted per stretch of time of a conversation, and the stretches'
+moves keys along one more link. A conversation in which a round changes nothing
+is settled and has no cycle. The conversations that still change after ``ROUNDS``
+rounds, because of a long chain or a cycle, are settled in a task each, in one
+pass over their calls and links (no texts): calls without open dependencies are
+peeled, and what never peels is in or behind a cycle. Positions are counted per stretch of time of a conversation, and the stretches'
 counts are added up, so no conversation is sorted as a whole. One row per call
-leaves the operator; no conversation is gathered.
+leaves the operator.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +29,8 @@ from turnledger.session import stored
 
 CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,after:array<string>>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
-#: Links that point forward in time in one chain, and calls in one cycle; what still moves after so many rounds counts as unordered and comes last.
-MAX_FORWARD = 32
+#: Rounds of joins before what still changes is settled conversation by conversation; the result does not depend on it.
+ROUNDS = 4
 #: Turns in a stretch of a conversation.
 STRETCH = 256
 
@@ -54,35 +57,72 @@ def results_of(messages: DataFrame) -> DataFrame:
     return parsed.groupBy("conv_id", F.col("m.tool_call_id").alias("id")).agg(first.alias("f"), F.count("*").alias("answers")).select("conv_id", "id", "f.content", "answers")
 
 
+def peeled(ids: list[str], own: list[tuple], after: list[list[str]]) -> list[tuple | None]:
+    """The key (turn, hops, place) of each call of a conversation, None in or behind a cycle; ``own`` are their own keys."""
+    number = {x: i for i, x in enumerate(ids)}
+    waits = [{number[d] for d in deps if d in number and d != x} for x, deps in zip(ids, after)]
+    open_, behind, most = [len(w) for w in waits], [[] for _ in ids], [None] * len(ids)
+    for i, w in enumerate(waits):
+        for d in w:
+            behind[d].append(i)
+    keys: list[tuple | None] = [None] * len(ids)
+    ready = [i for i, n in enumerate(open_) if not n]
+    while ready:
+        i = ready.pop()
+        wait = most[i]
+        key = keys[i] = own[i] if wait is None or wait < own[i] else (wait[0], wait[1] + 1, wait[2])
+        for j in behind[i]:
+            most[j] = key if most[j] is None else max(most[j], key)
+            open_[j] -= 1
+            if not open_[j]:
+                ready.append(j)
+    return keys
+
+
 def ordered(calls: DataFrame) -> DataFrame:
     """``calls`` with ``position`` (from 1 in each conversation) and ``ordered`` (false for calls in or behind a cycle)."""
-    hop = F.struct("turn", F.lit(0).alias("hops"), "place")
-    keys = stored(calls.select("conv_id", "id", "turn", "place", hop.alias("key"), F.lit(False).alias("moved"), "after"), "keys")
+    own = F.struct("turn", F.lit(0).alias("hops"), "place")
+    keys = stored(calls.select("conv_id", "id", "turn", "place", own.alias("key"), F.lit(False).alias("moved"), "after"), "keys")
     links = stored(keys.select("conv_id", "id", F.explode("after").alias("dep")).where("dep <> id").distinct(), "links")
-    late = []  # calls that move after every chain has settled: a cycle passes its moves on, so as many rounds again see all of it
-    for turn in range(2 * MAX_FORWARD):
-        waits = links.join(keys.select("conv_id", F.col("id").alias("dep"), "key"), ["conv_id", "dep"])
+    settled, open_ = [], keys
+    for _ in range(ROUNDS):
+        waits = links.join(open_.select("conv_id", F.col("id").alias("dep"), "key"), ["conv_id", "dep"])
         most = waits.groupBy("conv_id", "id").agg(F.max("key").alias("wait"))
-        after = F.struct(F.col("wait.turn").alias("turn"), (F.col("wait.hops") + 1).alias("hops"), F.col("wait.place").alias("place"))
         # hops break ties inside the turn of the call that is waited for
-        moved = F.coalesce(F.col("wait") >= F.col("key"), F.lit(False))
-        step = keys.drop("moved").join(most, ["conv_id", "id"], "left").withColumn("moved", moved).withColumn("key", F.when(moved, after).otherwise(F.col("key"))).drop("wait")
-        keys = stored(step, "keys")
-        changed = keys.where("moved").select("conv_id", "id")
-        if not changed.take(1):
-            late = []
+        after = F.struct(F.col("wait.turn").alias("turn"), (F.col("wait.hops") + 1).alias("hops"), F.col("wait.place").alias("place"))
+        key = F.when(F.col("wait") >= own, after).otherwise(own)
+        step = open_.withColumnRenamed("key", "old").join(most, ["conv_id", "id"], "left").withColumn("key", key).withColumn("changed", F.col("key") != F.col("old"))
+        step = stored(step.select(*keys.columns, "changed"), "keys")
+        changing = stored(step.where("changed").select("conv_id").distinct(), "changing")
+        step = step.drop("changed")
+        settled.append(step.join(changing, "conv_id", "left_anti"))
+        if not changing.take(1):
+            open_ = None
             break
-        if turn >= MAX_FORWARD:
-            late.append(changed)
-    if late:
-        unsettled = reduce(DataFrame.union, late).distinct().withColumn("late", F.lit(True))
-        keys = keys.join(unsettled, ["conv_id", "id"], "left").withColumn("moved", F.coalesce("late", F.lit(False))).drop("late")
-    keys = keys.withColumn("at", F.when(F.col("moved"), F.col("turn")).otherwise(F.col("key.turn"))).withColumn("stretch", F.floor(F.col("at") / STRETCH))
+        open_ = stored(step.join(changing, "conv_id", "left_semi"), "open")
+    if open_ is not None:
+
+        def settle(part: pd.DataFrame) -> pd.DataFrame:
+            mine = list(zip(part["turn"].tolist(), [0] * len(part), part["place"].tolist()))
+            found = peeled(part["id"].tolist(), mine, [list(x) for x in part["after"]])
+            kept = [k or m for k, m in zip(found, mine)]
+            return part[["conv_id", "id", "turn", "place"]].assign(key_turn=[k[0] for k in kept], hops=[k[1] for k in kept], key_place=[k[2] for k in kept], moved=[k is None for k in found])
+
+        kind = calls.schema["conv_id"].dataType.simpleString()
+        rows = open_.select("conv_id", "id", "turn", "place", F.filter("after", lambda d: d.isNotNull()).alias("after"))
+        rest = rows.groupBy("conv_id").applyInPandas(settle, f"conv_id {kind}, id string, turn bigint, place int, key_turn bigint, hops int, key_place int, moved boolean")
+        key = F.struct(F.col("key_turn").alias("turn"), "hops", F.col("key_place").alias("place"))
+        settled.append(rest.select("conv_id", "id", F.col("turn").cast(keys.schema["turn"].dataType).alias("turn"), "place", key.alias("key"), "moved"))
+    columns = ["conv_id", "id", "turn", "place", "moved", F.col("key.turn").cast("bigint").alias("at"), F.col("key.hops").alias("hops"), F.col("key.place").alias("key_place")]
+    keys = settled[0].select(*columns)
+    for part in settled[1:]:
+        keys = keys.unionByName(part.select(*columns))
+    keys = stored(keys.withColumn("stretch", F.floor(F.col("at") / STRETCH)), "keys")
     group = ["conv_id", "moved", "stretch"]
     counts = keys.groupBy(*group).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("moved", "stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.withColumn("start", before).drop("n")
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy("at", F.col("key.hops"), "turn", "place", "id"))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("at", "hops", "key_place", "turn", "place", "id"))
     placed = keys.withColumn("rank", rank).join(starts, group).select("conv_id", "id", (F.col("start") + F.col("rank")).alias("position"), (~F.col("moved")).alias("ordered"))
     return calls.join(placed, ["conv_id", "id"])
 
