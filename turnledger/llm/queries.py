@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.llm import decontaminate, licenses, line_spread, mixing, near_dup, quality_model, quality_rules, secrets, tool_calls, url_templates
+from turnledger.llm import decontaminate, licenses, line_spread, mixing, near_dup, quality_model, quality_rules, secrets, suffix_dedup, tool_calls, url_templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +120,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_quality_classifier")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op11_suffix_dedup")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, folder, "documents")).drop("spans")
