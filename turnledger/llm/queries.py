@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.llm import decontaminate, licenses, line_spread, mixing, near_dup, quality_model, quality_rules, secrets, suffix_dedup, token_alignment, tool_calls, url_templates
+from turnledger.llm import decontaminate, lexical_search, licenses, line_spread, mixing, near_dup, quality_model, quality_rules, secrets, suffix_dedup, token_alignment, tool_calls, url_templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,6 +127,11 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, folder, "documents")).drop("spans")
 
 
+@query("op12_lexical_search", lexical_search.search_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op13_token_alignment")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return token_alignment.report(table(spark, folder, "documents"))
