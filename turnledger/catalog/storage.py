@@ -14,7 +14,7 @@ from turnledger.operators import dedup, series, topk
 from turnledger.plans import turns as turn_plan
 from turnledger.session import checkpoint_dir
 from turnledger.sources import history, logs
-from turnledger.streaming import aggregates, ingest
+from turnledger.streaming import aggregates, ingest, projection
 
 
 def _folder(t, name: str) -> str:
@@ -188,10 +188,13 @@ def history_query(t):
     return _history(t).query_turns("2024-01-05", "2024-01-20", "/home/u/p1", "claude-opus-4-7").select("line", "session_id")
 
 
-@query("history_hot", f"select count(*) as turns, count(distinct session_id) as sessions from turns where ts >= timestamp '{AS_OF}' - interval 7 day")
+@query("history_hot", f"""
+with_sessions as (select session_id, count(*) as session_turns from turns group by 1)
+select line, session_id, session_turns from turns join with_sessions using (session_id) where ts >= timestamp '{AS_OF}' - interval 7 day""".replace("\nwith_sessions", ", with_sessions", 1))
 def history_hot(t):
+    """Every turn of the last week with the turns its session has in all."""
     turns, sessions = _history(t).hot(7, AS_OF)
-    return topk.beside(turns.agg(F.count(F.lit(1)).alias("turns")), sessions.agg(F.count(F.lit(1)).alias("sessions")))
+    return turns.select("line", "session_id").join(sessions.select("session_id", F.col("turns").alias("session_turns")), "session_id")
 
 
 @query("history_high_water", "select session_id, cast(max(ts) as varchar) as last_ts from turns group by 1")
@@ -216,16 +219,16 @@ _DROP = {
 
 def _forget(name: str, where: str, how: dict | None):
     @query(f"history_forget_{name}", f"""
-select (select count(*) from turns where {where}) as dropped_turns, (select count(distinct session_id) from turns) - (select count(distinct session_id) from turns where not ({where})) as dropped_sessions,
-  (select count(*) from turns where not ({where})) as left_turns, (select count(distinct session_id) from turns where not ({where})) as left_sessions""")
+select line, session_id, (select count(*) from turns where {where}) as dropped_turns, (select count(distinct session_id) from turns) - (select count(distinct session_id) from turns where not ({where})) as dropped_sessions
+from turns where not ({where})""")
     def forget(t):
+        """The turns that are left, and how much went."""
         store = _history(t)
         criterion = how or {"session_ids": [store.turns().agg(F.min("session_id")).first()[0]]}
         sessions, turns = store.forget(**criterion)
-        return store.sessions().agg(
-            F.lit(turns).cast("bigint").alias("dropped_turns"), F.lit(sessions).cast("bigint").alias("dropped_sessions"),
-            F.coalesce(F.sum("turns"), F.lit(0)).alias("left_turns"), F.count(F.lit(1)).alias("left_sessions"),
-        )
+        if name == "age":
+            store.compact()
+        return store.turns().select("line", "session_id", F.lit(turns).cast("bigint").alias("dropped_turns"), F.lit(sessions).cast("bigint").alias("dropped_sessions"))
 
     return forget
 
@@ -250,16 +253,14 @@ def changed_rows(t):
     return history.changed_rows(after.select(*columns), before.select(*columns))
 
 
-@query("schema_evolution", "select count(*) as turns, 0::bigint as one_hour, 0::bigint as skills from turns")
+@query("schema_evolution", "select line, session_id, cost_units, 0::bigint as one_hour, null::varchar as skill from turns")
 def schema_evolution(t):
     """Files written before three columns existed read back with their defaults."""
     store = history.History(t.spark, _folder(t, "history"))
     store.append(t.turns)
     old = history.History(t.spark, _folder(t, "old-history"))
     store.turns().drop(*history.LATER_COLUMNS).write.partitionBy("date").parquet(old.turns_path)
-    return old.turns().agg(
-        F.count(F.lit(1)).alias("turns"), F.sum("cache_creation_1h_tokens").alias("one_hour"), F.count("attribution_skill").alias("skills")
-    )
+    return old.turns().select("line", "session_id", "cost_units", F.col("cache_creation_1h_tokens").alias("one_hour"), F.col("attribution_skill").alias("skill"))
 
 
 # -- streams -------------------------------------------------------------------
@@ -272,38 +273,42 @@ _LIVE = f""", live as (select * from (select lines.*, {_BATCH.replace('event_id'
 """
 
 
-def _streamed(t, parts=None) -> str:
-    """Logged responses landed in three batches; a folder with the turns, the late rows and the parts of each batch."""
+def _streamed(t, each=None, batch: str = _BATCH, after=None) -> str:
+    """Logged responses landed in three batches; a folder with the turns, the late rows and what ``each`` keeps of a batch."""
     landing, path = _folder(t, "landing"), _folder(t, "streamed")
-    events = t.table("events").withColumn("_batch", F.expr(_BATCH.replace("//", "div")))
-    each = None if parts is None else (lambda turns, n: ingest.append_updates(f"{path}/parts")(parts(turns), n))
+    events = t.table("events").withColumn("_batch", F.expr(batch.replace("//", "div")))
+    each = None if each is None else each(path)
     for n in range(3):
         events.filter(F.col("_batch") == n).drop("_batch").write.mode("append").parquet(landing)
         live = shapes.Tables(t.spark, t.sf_dir)
         live.table = lambda _name: t.spark.readStream.schema(t.table("events").schema).parquet(landing)
         ingest.run_available(turn_plan.price_turns(turn_plan.responses(live.raw)), f"{path}/checkpoint", aggregates.once(path, each))
+        if after is not None:
+            after(path)
     return path
 
 
-def _parts(t, parts):
-    return ingest.read_updates(t.spark, f"{_streamed(t, parts)}/parts")
+def _parts(t, group, merge):
+    """The merged parts of a rollup over the three batches."""
+    path = _streamed(t, lambda path: aggregates.keep(f"{path}/parts", group, merge))
+    return aggregates.parts_of(t.spark, f"{path}/parts", merge)
 
 
 @query("stream_hourly", _LIVE + f"select cast(date_trunc('hour', ts) as varchar) as hour, {sql.MEASURES} from live group by 1")
 def stream_hourly(t):
-    return aggregates.hours(_parts(t, aggregates.hour_parts))
+    return aggregates.hours(_parts(t, aggregates.hour_parts, aggregates.by_hour))
 
 
 @query("stream_sliding", _LIVE + f"""
 select cast(s as varchar) as window_start, coalesce(cwd, '(unknown)') as project, count(*) as turns, sum(output_tokens)::bigint as output_tokens, {sql.usd()} as cost_usd
 from live, range(0, 4) r(k), lateral (select time_bucket(interval 15 minute, ts) - k * interval 15 minute as s) group by all""")
 def stream_sliding(t):
-    return aggregates.sliding_hours(_parts(t, lambda turns: aggregates.sliding_parts(turns, slide="15 minutes")))
+    return aggregates.sliding_hours(_parts(t, lambda turns: aggregates.sliding_parts(turns, slide="15 minutes"), aggregates.by_window))
 
 
 @query("stream_sessions", _LIVE + f"select session_id, cast(min(ts) as varchar) as first_ts, cast(max(ts) as varchar) as last_ts, count(*) as turns, {sql.usd()} as cost_usd from live group by 1")
 def stream_sessions(t):
-    return aggregates.sessions(_parts(t, aggregates.session_parts))
+    return aggregates.sessions(_parts(t, aggregates.session_parts, aggregates.by_session))
 
 
 @query("stream_unique_turns", _LIVE + "select file, line, dedup_key, cast(ts as varchar) as ts, input_tokens, cost_units from live")
@@ -333,10 +338,47 @@ def stream_windows(t):
     def parts(turns):
         return aggregates.window_parts(turns.withColumn("session_id", F.regexp_extract("file", r"u(\d+)\.jsonl$", 1)), ["session_id"])
 
-    windows = aggregates.open_windows(_parts(t, parts), ["session_id"])
+    windows = aggregates.open_windows(_parts(t, parts, aggregates.by_key_and_hour("session_id")), ["session_id"])
     return windows.select("session_id", "window_start", "cost_usd", "total_tokens", "turns")
 
 
+#: Batches in the order of time; a quarter of the last three hours before a cut comes with the next one.
+_CUTS = "(case when ts < timestamp '2024-01-11' - interval {late} hour then 0 when ts < timestamp '2024-01-21' - interval {late} hour then 1 else 2 end)"
+_IN_TIME = f"case when event_id % 4 = 1 then {_CUTS.format(late=3)} else {_CUTS.format(late=0)} end"
+_PROJECTED = f"""with_batch as (select event_id, {_IN_TIME} as batch from events
+), live as (select * from (select lines.*, b.batch from lines join with_batch b on b.event_id = lines.line)
+  qualify dedup_key is null or row_number() over (partition by dedup_key order by batch, file desc, line desc) = 1
+), live_turns as (select *, coalesce(cwd, '(unknown)') as key from live
+), moments as (select a.key, a.batch, (select date_trunc('minute', max(ts)) + interval 1 minute from live_turns t where t.key = a.key and t.batch <= a.batch) as as_of
+  from (select distinct key, batch from live_turns) a
+), recent as (
+  select t.* exclude (batch, key), m.as_of, m.key, m.batch, m.key || '|' || m.batch as scope, t.input_tokens + t.cache_read_tokens + t.cache_creation_tokens as ctx
+  from live_turns t join moments m on m.key = t.key and t.batch <= m.batch and t.ts >= m.as_of - interval 10 hour)"""
+
+
+@query("stream_projection", ", " + _PROJECTED + sql.windows("scope").replace("from turns where", "from recent where") + """, active as (
+  select scope, max(start) as start, arg_max(units, start)::double / 1e10 as cost_usd from wins group by scope
+), opened_at as (select r.scope, min((ts, file, line)) as f from recent r join active a on a.scope = r.scope and not is_interrupted and ts >= start group by r.scope
+), burnt as (
+  select r.scope, count(*) as recent_turns, sum(cost_units)::double / 1e10 as recent_cost from recent r join active a using (scope) join opened_at o on o.scope = r.scope
+  where ts >= as_of - interval 120 minute and ts >= start and ts < start + interval 5 hour and (not is_interrupted or (ts, file, line) > f) group by r.scope
+), told as (select m.key, m.batch, m.as_of, a.*, coalesce(recent_turns, 0) as recent_turns, coalesce(recent_cost, 0) as recent_cost,
+    (epoch_us(start + interval 5 hour) - epoch_us(as_of)) / 3.6e9::double as remaining_hours
+  from moments m join active a on a.scope = m.key || '|' || m.batch left join burnt b on b.scope = a.scope where start + interval 5 hour >= as_of)
+select key, batch::bigint as batch, cast(as_of as varchar) as as_of, cast(start as varchar) as window_start, cast(start + interval 5 hour as varchar) as window_end, cost_usd, recent_turns, recent_cost,
+  recent_cost / 2.0::double as burn_rate_usd_per_hour, (epoch_us(as_of) - epoch_us(start)) / 3.6e9::double as elapsed_hours, remaining_hours,
+  cost_usd + recent_cost / 2.0::double * remaining_hours as projected_cost, cost_usd + recent_cost / 2.0::double * remaining_hours > 50 as over_reference
+from told""", prelude=sql.recursive(ORACLE_TURNS))
+def stream_projection(t):
+    """Three batches in the order of time, the stream stopped and started again between them: the window open in each project after each batch."""
+    path = _folder(t, "projected")
+    def minutes(streamed):
+        return lambda turns, n: ingest.append_updates(f"{streamed}/minutes")(projection.minute_parts(turns, "cwd"), n)
+
+    _streamed(t, minutes, _IN_TIME, lambda streamed: projection.run(t.spark, f"{streamed}/minutes", path, 120))
+    return projection.projections(t.spark, path)
+
+
 @query("stream_forget", """
 select line, session_id from turns where (ts >= timestamp '2024-01-05 00:00:00' and session_id not in (select session_id from sessions where cwd = '/home/u/p1') and session_id <> (select min(session_id) from turns))
   or line = (select max(line) from turns where session_id = (select min(session_id) from turns))""")

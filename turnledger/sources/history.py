@@ -1,19 +1,25 @@
 """Durable history: turns partitioned by day, and one attribute row per session and flush.
 
-Both tables only grow by appends; sessions are derived on read (first, last and
-count from the turns, attributes from the newest flush that names them), so a
-crash between two writes leaves nothing to repair.
+All tables only grow. Sessions are derived on read: first, last and count from the
+turns, attributes from the newest flush that names them. Deleted turns are rows of
+a table of deletions, taken off on read until ``compact`` writes what is left to a new
+folder. Every append has a number; a deletion reaches the appends before it, so a
+deleted turn may come again.
+
+Which keys history holds is read from an index in hash buckets (``Parts``), of
+which an append opens the buckets of its own keys. Its keys are written before its
+turns and counted after them: an append that was cut off is completed or taken back
+by the next one, from the days it names.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnledger.operators import dedup
 from turnledger.session import stored
+from turnledger.streaming.parts import Parts
 
 SLICES = "array<struct<tool: string, tool_input_tokens: double, tool_output_tokens: double, tool_usd: double, tool_usd_uncached: double>>"
 REST = "struct<rest_input_tokens: double, rest_output_tokens: double, rest_usd: double>"
@@ -21,7 +27,7 @@ REST = "struct<rest_input_tokens: double, rest_output_tokens: double, rest_usd:
 # Columns added after the first layout, with the value old rows get.
 LATER_COLUMNS = {
     "cache_creation_1h_tokens": "0L", "attribution_skill": "cast(null as string)", "skill_names": "cast(null as map<string,bigint>)",
-    "tool_slices": f"cast(null as {SLICES})", "rest": f"cast(null as {REST})",
+    "tool_slices": f"cast(null as {SLICES})", "rest": f"cast(null as {REST})", "added": "-1L",
 }
 
 TURN_SCHEMA = f"""turn_key string, file string, line bigint, ts timestamp, session_id string, model string, input_tokens bigint,
@@ -29,16 +35,28 @@ TURN_SCHEMA = f"""turn_key string, file string, line bigint, ts timestamp, sessi
   output_units bigint, cache_read_units bigint, cache_creation_units bigint, cache_saved_units bigint, cost_units bigint,
   is_sidechain boolean, is_interrupted boolean, stop_reason string, tool_use_count bigint, tool_error_count bigint,
   tool_names map<string,bigint>, tags array<string>, attribution_skill string, skill_names map<string,bigint>,
-  tool_slices {SLICES}, rest {REST}, date date"""
-ATTRIBUTE_SCHEMA = "session_id string, source_file string, cwd string, is_sidechain boolean, flush bigint"
+  tool_slices {SLICES}, rest {REST}, added bigint, date date"""
+ATTRIBUTE_SCHEMA = "session_id string, source_file string, cwd string, is_sidechain boolean, flush bigint, added bigint"
+KEY_SCHEMA = "turn_key string, session_id string, date date, added bigint"
+#: before: the number of the first append that the deletion does not reach; last: the session lost its last turn.
+DELETION_SCHEMA = "turn_key string, session_id string, date date, before bigint, last boolean"
 
 
 class History:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.turns_path = f"{root.rstrip('/')}/turns"
-        self.attributes_path = f"{root.rstrip('/')}/session_attributes"
-        self.done_path = f"{root.rstrip('/')}/requests_done"
+        self.root = root.rstrip("/")
+        self.attributes_path = f"{self.root}/session_attributes"
+        self.done_path = f"{self.root}/requests_done"
+        self.keys = Parts(spark, f"{self.root}/keys", KEY_SCHEMA, by="turn_key")
+        self.deletions = Parts(spark, f"{self.root}/deletions", DELETION_SCHEMA, by="turn_key")
+        self.versions = Parts(spark, f"{self.root}/versions", "n bigint")
+        self.lookup = Parts(spark, f"{self.root}/session_days", "session_id string, date date", by="session_id", fold=DataFrame.distinct)
+
+    @property
+    def turns_path(self) -> str:
+        """The folder with the turns; every compaction begins a new one."""
+        return f"{self.root}/turns-{self.versions.count()}"
 
     # -- reading ---------------------------------------------------------------
 
@@ -60,11 +78,18 @@ class History:
     def mark_done(self, requests: DataFrame) -> None:
         requests.select("request").write.mode("append").parquet(self.done_path)
 
-    def turns(self) -> DataFrame:
-        """All turns; columns that old files lack get their default."""
+    def _written(self) -> DataFrame:
         rows = self._read(self.turns_path, TURN_SCHEMA)
         return rows.withColumns({c: F.coalesce(F.col(c), F.expr(value)) for c, value in LATER_COLUMNS.items()})
 
+    def turns(self) -> DataFrame:
+        """All turns but the deleted ones; columns that old files lack get their default."""
+        rows = self._written()
+        if not self.deletions.count():
+            return rows
+        gone = self.deletions.read().groupBy("date", "turn_key").agg(F.max("before").alias("before"))
+        return rows.join(gone.withColumnRenamed("turn_key", "gone_key"), (rows.date == gone.date) & (F.col("turn_key") == F.col("gone_key")) & (F.col("added") < F.col("before")), "left_anti")
+
     def split(self) -> tuple[DataFrame, DataFrame]:
         """(slices per turn and tool, rest per turn) as stored with the turns; reports need not split again."""
         turns = self.turns()
@@ -76,7 +101,11 @@ class History:
 
     def named(self) -> DataFrame:
         """Session attributes: a newer flush replaces the flag, and file and directory where it knows them."""
-        return self.attributes().groupBy("session_id").agg(
+        rows = self.attributes()
+        if self.deletions.count():  # a session that lost all its turns begins anew
+            lost = self.deletions.read().filter("last").groupBy("session_id").agg(F.max("before").alias("before"))
+            rows = rows.join(lost, "session_id", "left").filter("before is null or coalesce(added, -1) >= before")
+        return rows.groupBy("session_id").agg(
             F.max_by("source_file", F.when(F.col("source_file").isNotNull(), F.col("flush"))).alias("source_file"),
             F.max_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("flush"))).alias("cwd"),
             F.max_by("is_sidechain", "flush").alias("is_sidechain"),
@@ -107,8 +136,10 @@ class History:
         return rows
 
     def session(self, session_id: str) -> DataFrame:
-        """Turns of one session in time order."""
-        return self.turns().filter(F.col("session_id") == session_id).orderBy("ts", "file", "line")
+        """Turns of one session in time order, read from the days it was active on; row groups of other sessions are skipped."""
+        wanted = self.spark.createDataFrame([(session_id,)], "session_id string")
+        days = [r.date for r in self.lookup.read(near=wanted).filter(F.col("session_id") == session_id).select("date").distinct().toLocalIterator()]
+        return self.turns().filter(F.col("date").isin(days) & (F.col("session_id") == session_id)).orderBy("ts", "file", "line")
 
     def hot(self, days: int, as_of: str) -> tuple[DataFrame, DataFrame]:
         """Turns of the last days and the sessions they belong to."""
@@ -123,18 +154,48 @@ class History:
 
     def append(self, turns: DataFrame, sessions: DataFrame | None = None, flush: int = 0) -> None:
         """Add turns whose key history does not hold; running it again adds nothing."""
+        number = self._settled()
         key = dedup.passthrough_key(F.col("dedup_key"), F.col("uuid"), F.col("file"), F.col("line"))
         keyed = dedup.keep_first(turns.withColumn("turn_key", key), "turn_key", dedup.PLACE)
         keyed = keyed.withColumns({c: F.expr(value) for c, value in LATER_COLUMNS.items() if c not in keyed.columns})
-        known = self.turns().select("turn_key")
-        columns = [f.name for f in self._read(self.turns_path, TURN_SCHEMA).schema]
-        fresh = keyed.withColumn("date", F.to_date("ts")).join(known, "turn_key", "left_anti").select(*columns)
-        # Rebalancing by day groups a day's rows and lets AQE split a day that is too big.
-        fresh.hint("rebalance", "date").write.partitionBy("date").mode("append").parquet(self.turns_path)
+        keyed = stored(keyed.withColumns({"date": F.to_date("ts"), "added": F.lit(number).cast("bigint")}), "candidates")
+        fresh = keyed.join(self.held(keyed.select("turn_key")), "turn_key", "left_anti")
+        fresh = stored(fresh.select(*[f.name for f in self._read(self.turns_path, TURN_SCHEMA).schema]), "fresh")
+        self.keys.prepare(fresh, number)
+        self._write_turns(fresh, self.turns_path)
         if sessions is not None:
-            sessions.select("session_id", "source_file", "cwd", "is_sidechain", F.lit(flush).cast("bigint").alias("flush")).write.mode(
-                "append"
-            ).parquet(self.attributes_path)
+            named = sessions.select("session_id", "source_file", "cwd", "is_sidechain", F.lit(flush).cast("bigint").alias("flush"), F.lit(number).cast("bigint").alias("added"))
+            named.write.mode("append").parquet(self.attributes_path)
+        self._finish(number)
+
+    def held(self, keys: DataFrame) -> DataFrame:
+        """Of some keys (turn_key) those that history holds, from the buckets they fall in."""
+        known = self.keys.read(near=keys).select("turn_key", "added")
+        if self.deletions.count():
+            gone = self.deletions.read(near=keys).groupBy("turn_key").agg(F.max("before").alias("before"))
+            known = known.join(gone, "turn_key", "left").filter("before is null or added >= before")
+        return known.select("turn_key")
+
+    @staticmethod
+    def _write_turns(rows: DataFrame, path: str) -> None:
+        # Rebalancing by day groups a day's rows and lets AQE split a day that is too big; inside a file sessions lie together.
+        rows.hint("rebalance", "date").sortWithinPartitions("date", "session_id", "ts").write.partitionBy("date").mode("append").parquet(path)
+
+    def _finish(self, number: int) -> None:
+        self.lookup.add(self.keys.prepared(number).select("session_id", "date").distinct(), number)
+        self.keys.finish(number)
+
+    def _settled(self) -> int:
+        """The number of the next append. One that was cut off before keeps the turns it had written."""
+        number = self.keys.count()
+        begun = self.keys.prepared(number)
+        if begun is None:
+            return number
+        dates = [r.date for r in begun.select("date").distinct().toLocalIterator()]
+        there = self._written().filter(F.col("date").isin(dates) & (F.col("added") == number)).select("turn_key")
+        self.keys.prepare(stored(begun.join(there, "turn_key", "left_semi"), "cut-off"), number)
+        self._finish(number)
+        return number + 1
 
     def forget(
         self,
@@ -146,60 +207,53 @@ class History:
     ) -> tuple[int, int]:
         """Delete history by exactly one criterion; returns (sessions, turns) dropped.
 
-        Only the days that lose turns are rewritten, from a copy of their
-        survivors in the shared folder. ``older_than`` works per turn: a session
-        goes when none of its turns is left.
+        ``older_than`` works per turn: a session goes when none of its turns is left.
         """
         if sum([session_ids is not None, cwd is not None, older_than is not None, everything]) != 1:
             raise ValueError("forget needs exactly one of session_ids, cwd, older_than, everything")
-        turns, sessions = self.turns(), self.sessions()
+        turns = self.turns()
         if everything:
             doomed = turns
         elif older_than is not None:
             limit = F.lit(older_than).cast("timestamp")
             doomed = turns.filter((F.col("ts") < limit) & (F.col("date") <= F.to_date(limit)))
+        elif session_ids is not None:
+            doomed = turns.filter(F.col("session_id").isin(session_ids))
         else:
-            gone = sessions.filter(F.col("session_id").isin(session_ids) if session_ids is not None else F.col("cwd") == cwd)
-            doomed = turns.join(gone.select("session_id"), "session_id", "left_semi")
-        return self._drop(turns, sessions, doomed)
+            doomed = turns.join(self.named().filter(F.col("cwd") == cwd).select("session_id"), "session_id", "left_semi")
+        return self._drop(doomed)
 
     def forget_requested(self, requests: DataFrame) -> tuple[int, int]:
         """Delete in one pass what any of the requests (session_id, cwd or older_than, the first that is set) asks for."""
-        turns, sessions = self.turns(), self.sessions()
         ids = requests.filter("session_id is not null").select("session_id")
         places = requests.filter("session_id is null and cwd is not null").select("cwd")
         limit = requests.filter("session_id is null and cwd is null").agg(F.max("older_than").alias("limit"))
         gone = ids.union(self.named().join(places, "cwd", "left_semi").select("session_id")).distinct().withColumn("gone", F.lit(True))
-        marked = turns.join(gone, "session_id", "left").crossJoin(F.broadcast(limit))  # one row of limit
-        return self._drop(turns, sessions, marked.filter("gone or ts < limit"))
+        marked = self.turns().join(gone, "session_id", "left").crossJoin(F.broadcast(limit))  # one row of limit
+        return self._drop(marked.filter("gone or ts < limit"))
 
-    def _drop(self, turns: DataFrame, sessions: DataFrame, doomed: DataFrame) -> tuple[int, int]:
+    def _drop(self, doomed: DataFrame) -> tuple[int, int]:
+        """Record the deletion of turns, in one write; nothing that is there is touched."""
+        before = self._settled()
         doomed = stored(doomed.select("turn_key", "session_id", "date"), "doomed")
         dropped_turns = doomed.count()
         if dropped_turns == 0:
             return 0, 0
-        before = sessions.select("session_id")
-        dates = [row.date for row in doomed.select("date").distinct().toLocalIterator()]  # days, bounded by the calendar
-        survivors = stored(
-            turns.filter(F.col("date").isin(dates)).join(doomed.select("turn_key"), "turn_key", "left_anti"), "survivors"
-        )
-        left = turns.filter(~F.col("date").isin(dates)).select("session_id").unionByName(survivors.select("session_id")).distinct()
-        lost = stored(before.join(left, "session_id", "left_anti"), "lost")
-        dropped_sessions = lost.count()
-        kept_attributes = stored(self.attributes().join(lost, "session_id", "left_anti"), "attributes")
-        columns = [f.name for f in turns.schema]
-        survivors.select(*columns).hint("rebalance", "date").write.option("partitionOverwriteMode", "dynamic").partitionBy(
-            "date"
-        ).mode("overwrite").parquet(self.turns_path)
-        full = {row.date for row in survivors.select("date").distinct().toLocalIterator()}
-        self._drop_days([d for d in dates if d not in full])
-        kept_attributes.write.mode("overwrite").parquet(self.attributes_path)
-        return dropped_sessions, dropped_turns
-
-    def _drop_days(self, dates: list[dt.date]) -> None:
-        for date in dates:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.turns_path}/date={date.isoformat()}")
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        sizes = doomed.groupBy("session_id").agg(F.count(F.lit(1)).alias("gone"))
+        left = self.turns().join(sizes.select("session_id"), "session_id", "left_semi").groupBy("session_id").agg(F.count(F.lit(1)).alias("there"))
+        lost = stored(sizes.join(left, "session_id", "left").filter("there is null or there <= gone").select("session_id", F.lit(True).alias("last")), "lost")
+        rows = doomed.join(lost, "session_id", "left").withColumns({"last": F.coalesce("last", F.lit(False)), "before": F.lit(before).cast("bigint")})
+        self.deletions.add(rows, self.deletions.count())
+        return lost.count(), dropped_turns
+
+    def compact(self) -> None:
+        """Write the turns without the deleted ones to a new folder and turn readers to it; the old folder can then be removed."""
+        self._settled()
+        version = self.versions.count()
+        target = f"{self.root}/turns-{version + 1}"
+        left = self.turns().select(*[f.name for f in self._read(self.turns_path, TURN_SCHEMA).schema])
+        left.hint("rebalance", "date").sortWithinPartitions("date", "session_id", "ts").write.partitionBy("date").mode("overwrite").parquet(target)
+        self.versions.add(self.spark.createDataFrame([(version,)], "n bigint"), version)
 
 
 def with_slices(turns: DataFrame, per_tool: DataFrame, rest: DataFrame) -> DataFrame:

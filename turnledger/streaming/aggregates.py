@@ -1,11 +1,11 @@
 """Continuous rollups over turns, each counted once.
 
 A micro-batch first becomes turns: the last row of a key inside the batch, minus
-the keys of earlier batches. Those turns are stored, and what they add to hours,
-windows or sessions is stored as one part per group and batch. Reading sums the
-parts. No state is held between batches and nothing falls out of a watermark:
-late rows count in their own hour and are listed apart. Writing a batch again
-overwrites what it wrote before.
+the keys of earlier batches, which are looked up in hash buckets. Those turns are
+stored, and what they add to hours, windows or sessions is stored as one part per
+group and batch. Parts are merged by age, so a report opens few folders and sums
+them. Nothing falls out of a watermark: late rows count in their own hour and are
+listed apart. Writing a batch again overwrites what it wrote before.
 """
 
 from __future__ import annotations
@@ -17,33 +17,84 @@ from pyspark.sql import Column, DataFrame, functions as F
 from turnledger.functions.money import usd_sum
 from turnledger.operators import dedup, windows5h
 from turnledger.operators.series import SUMS
+from turnledger.session import stored
 from turnledger.streaming import ingest
+from turnledger.streaming.parts import Parts
 
 LATENESS = "1 day"
 
 
 def once(path: str, each: Callable[[DataFrame, int], None] | None = None, lateness: str = LATENESS) -> Callable[[DataFrame, int], None]:
-    """Batch function: store the new turns of a batch of priced responses, list its late rows, hand the turns on."""
+    """Batch function: store the new turns of a batch of priced responses, list its late rows, hand the turns on.
+
+    Of earlier batches it reads the key buckets that its own keys fall in, and one row with the latest time so far.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        keys = Parts(spark, f"{path}/keys", "turn_key string", by="turn_key")
         key = dedup.passthrough_key(F.col("dedup_key"), F.col("uuid"), F.col("file"), F.col("line"))
         latest = dedup.keep_last(batch.withColumn("turn_key", key), "turn_key", dedup.PLACE)
-        earlier = ingest.read_updates(spark, f"{path}/turns", before=batch_id)
-        if earlier is not None:
-            latest = latest.join(earlier.select("turn_key"), "turn_key", "left_anti")
+        if batch_id:
+            latest = stored(latest, "batch")
+            latest = latest.join(keys.read(before=batch_id, near=latest.select("turn_key")), "turn_key", "left_anti")
         ingest.append_updates(f"{path}/turns")(latest, batch_id)
         turns = spark.read.parquet(f"{path}/turns/batch={batch_id}")
-        if earlier is not None:
-            horizon = earlier.agg((F.max("ts") - F.expr(f"interval {lateness}")).alias("horizon"))
+        newest = turns.agg(F.max("ts").alias("ts"))
+        if batch_id:
+            before = spark.read.schema("ts timestamp").parquet(f"{path}/newest/batch={batch_id - 1}")
+            horizon = before.select((F.col("ts") - F.expr(f"interval {lateness}")).alias("horizon"))
             late = ingest.split_late(turns.crossJoin(F.broadcast(horizon)), F.col("horizon"))[1]  # one row of horizon
             ingest.append_updates(f"{path}/late")(late.drop("horizon"), batch_id)
+            newest = newest.union(before).agg(F.max("ts").alias("ts"))
+        ingest.append_updates(f"{path}/newest")(newest, batch_id)
+        keys.add(turns, batch_id)
         if each is not None:
             each(turns, batch_id)
 
     return run
 
 
+def keep(path: str, group: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """Batch function for ``once``: what the turns of a batch add to the groups; ``merge`` adds the parts of one group together."""
+
+    def run(turns: DataFrame, batch_id: int) -> None:
+        Parts(turns.sparkSession, path, fold=merge).add(group(turns), batch_id)
+
+    return run
+
+
+def parts_of(spark, path: str, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One part per group over all batches."""
+    return Parts(spark, path, fold=merge).read()
+
+
+def added(*by: str, lowest: tuple[str, ...] = (), highest: tuple[str, ...] = ()) -> Callable[[DataFrame], DataFrame]:
+    """The merge of parts per group: sums, but for the columns of which the least or the greatest counts."""
+
+    def merge(parts: DataFrame) -> DataFrame:
+        how = {**dict.fromkeys(lowest, F.min), **dict.fromkeys(highest, F.max)}
+        return parts.groupBy(*by).agg(*[how.get(c, F.sum)(c).alias(c) for c in parts.columns if c not in by])
+
+    return merge
+
+
+by_hour = added("hour")
+by_window = added("window_start", "project")
+by_session = added("session_id", lowest=("first_ts",), highest=("last_ts",))
+
+
+def by_key_and_hour(*keys: str) -> Callable[[DataFrame], DataFrame]:
+    """The merge of ``window_parts``: hours are summed, interrupted turns stay rows."""
+    hourly = added(*keys, "hour", lowest=("first",))
+
+    def merge(parts: DataFrame) -> DataFrame:
+        sums = hourly(parts.filter("stopped is null").drop("stopped"))
+        return sums.unionByName(parts.filter("stopped is not null"), allowMissingColumns=True).select(*parts.columns)
+
+    return merge
+
+
 def turns_of(spark, path: str) -> DataFrame:
     return ingest.read_updates(spark, f"{path}/turns")
 

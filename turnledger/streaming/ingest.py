@@ -96,11 +96,11 @@ def latest(updates: DataFrame, keys: list[str], version: str = "batch") -> DataF
     return newest.select(*keys, "row.*")
 
 
-def append_updates(path: str) -> Callable[[DataFrame, int], None]:
+def append_updates(path: str, name: str = "batch") -> Callable[[DataFrame, int], None]:
     """Batch function that keeps the rows a batch changed; writing a batch twice overwrites it."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/{name}={batch_id}")
 
     return each
 
