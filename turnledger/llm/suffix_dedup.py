@@ -405,7 +405,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group:
     wanted = contested.select("at.t1", "at.t2", F.struct("key", "ph", "at.start", "n", "off").alias("one")).groupBy("t1", "t2").agg(F.collect_list("one").alias("wanted"))
     pieces = stored(_one_of_each(texts, wanted, ["wanted"]).mapInArrow(_bytes_of(length), PIECE), "pieces")
     found = repeated_ranges(pieces, length, group, collection)
-    found = found.union(counted.where("copies > 1").select("key", "ph", F.lit(0).alias("a"), F.col("n").alias("b")))
+    found = stored(found.union(counted.where("copies > 1").select("key", "ph", F.lit(0).alias("a"), F.col("n").alias("b"))), "repeated")
     spans = maybe_in(marks, "key", found.select("key")).where("_maybe").join(found, ["key", "ph"]).select("t1", "t2", F.struct((F.col("start") + F.col("a")).alias("low"), (F.col("start") + F.col("b") + (length - 1)).alias("high")).alias("span"))
     spans = stored(spans.groupBy("t1", "t2").agg(F.collect_set("span").alias("spans")), "spans")
     sums = _one_of_each(texts, spans, ["t1", "t2", "spans"]).mapInArrow(_sums(length), "t1 bigint, t2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, low array<bigint>, high array<bigint>")
