@@ -7,14 +7,15 @@ import uuid
 from pyspark.sql import Window, functions as F
 
 from turnledger.catalog import shapes, sql
-from turnledger.catalog.base import query
+from turnledger.catalog.base import query, rounded
+from turnledger.catalog.costs import SPLIT
 from turnledger.catalog.shapes import AS_OF, ORACLE_TURNS
 from turnledger.functions.money import usd_sum
 from turnledger.operators import dedup, series, topk
 from turnledger.plans import turns as turn_plan
 from turnledger.session import checkpoint_dir
 from turnledger.sources import history, logs
-from turnledger.streaming import aggregates, ingest, projection
+from turnledger.streaming import aggregates, ingest, projection, tallies
 
 
 def _folder(t, name: str) -> str:
@@ -379,6 +380,20 @@ def stream_projection(t):
     return projection.projections(t.spark, path)
 
 
+@query("stream_tool_costs", "select file, line, tool, round(in_tok, 4) as tool_input_tokens, round(out_tok, 4) as tool_output_tokens, round(usd, 9) as tool_usd, round(usd_x, 9) as tool_usd_uncached from tt", prelude=SPLIT)
+def stream_tool_costs(t):
+    """Four batches of log lines, each split from its own lines and the saved state of its files; the turns go to a history with their slices."""
+    store = history.History(t.spark, _folder(t, "history"))
+    states = tallies.states(t.spark, f"{store.root}/tallies")
+    cuts = [r.line for r in t.table("events").select(F.col("event_id").alias("line")).agg(F.percentile_approx("line", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("at")).select(F.explode("at").alias("line")).collect()]
+    for n, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
+        new = (F.lit(True) if low is None else F.col("line") > low) & (F.lit(True) if high is None else F.col("line") <= high)
+        per_tool, rest = tallies.split_batch(states, t.lines.filter(new), t.event_blocks.filter(new), n)
+        store.append(history.with_slices(t.turns.filter(new), per_tool, rest), flush=n)
+    rows = store.split()[0]
+    return rounded(rounded(rows, 9, "tool_usd", "tool_usd_uncached"), 4, "tool_input_tokens", "tool_output_tokens")
+
+
 @query("stream_forget", """
 select line, session_id from turns where (ts >= timestamp '2024-01-05 00:00:00' and session_id not in (select session_id from sessions where cwd = '/home/u/p1') and session_id <> (select min(session_id) from turns))
   or line = (select max(line) from turns where session_id = (select min(session_id) from turns))""")

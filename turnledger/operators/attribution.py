@@ -130,15 +130,20 @@ def with_epoch(df: DataFrame, epochs: DataFrame, size: int = ordered.LINES_PER_C
     )
 
 
+def reference() -> tuple[Column, Column]:
+    """(whether a block calls a tool by a usable name and id, the id a block declares or refers to)."""
+    use = (F.col("kind") == "tool_use") & real_tool(F.col("name")) & F.coalesce(F.col("block_id") != "", F.lit(False))
+    return use, F.when(use, F.col("block_id")).when(F.col("kind") == "tool_result", F.nullif(F.col("tool_use_id"), F.lit("")))
+
+
 def match_results(blocks: DataFrame, carry: bool = True) -> DataFrame:
     """Owner of each content block in the context: a tool, unknown, or NULL for plain content.
 
     A result belongs to the tool use that is the previous mention of its id in
     the same file and epoch; a second result for the same id finds nothing.
     """
-    use = (F.col("kind") == "tool_use") & real_tool(F.col("name")) & F.coalesce(F.col("block_id") != "", F.lit(False))
+    use, ref = reference()
     result = F.col("kind") == "tool_result"
-    ref = F.when(use, F.col("block_id")).when(result, F.nullif(F.col("tool_use_id"), F.lit("")))
     # Rows without an id ride along under the empty id, so the rows are shuffled once.
     marked = blocks.withColumn("ref", F.coalesce(ref, F.lit(""))).withColumn("declared", F.when(use, F.col("name")))
     linked = ordered.scan(
@@ -161,7 +166,7 @@ def owned_content(
     epochs, several = compaction_epochs(lines.select("file", "line", "pool"), size, fanout)
     marks = lines.filter(F.col("pool").isNotNull()).select(
         "file", "line", F.lit(-1).cast("bigint").alias("pos"), F.lit("turn").alias("kind"),
-        F.lit(0).cast("bigint").alias("nbytes"),
+        F.lit(0).cast("bigint").alias("nbytes"), "pool",
     )
     placed = with_epoch(blocks.unionByName(marks, allowMissingColumns=True), epochs, size)
     return stored(match_results(placed, carry=several), "owned"), several
@@ -230,7 +235,11 @@ def attribute(
     ``blocks``: file, line, pos, kind, name, block_id, tool_use_id, nbytes.
     Returns (per turn and tool, rest per turn), both keyed by (file, line).
     """
-    owned, several = owned_content(lines, blocks, size, fanout)
+    return split_owned(*owned_content(lines, blocks, size, fanout), lines)
+
+
+def split_owned(owned: DataFrame, several: bool, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The split of the billed ones of ``lines``, from content that may hold more lines."""
     totals, held = context_bytes(owned, several)
 
     # One row per (turn, tool): bytes held before the turn and bytes in its own

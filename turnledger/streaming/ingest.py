@@ -8,11 +8,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from turnledger.operators import attribution, dedup
+from turnledger.operators import dedup
 from turnledger.plans import turns as turn_plan
 from turnledger.sources import logs
 from turnledger.session import stored
-from turnledger.sources.history import History
+from turnledger.sources.history import History, with_slices
+from turnledger.streaming import tallies
 
 DELETE_SCHEMA = "session_id string, cwd string, older_than timestamp"
 
@@ -38,17 +39,21 @@ def into_history(history: History, requests: str | None = None) -> Callable[[Dat
     """Batch function: apply waiting deletions, then append the new turns of a batch of raw lines.
 
     Inside a batch the last row of a key wins, against history the first one
-    does. A batch that runs again after a failure finds its keys present.
+    does. A batch that runs again after a failure finds its keys present. Turns
+    are stored with the costs of their tools, split from the batch's lines and
+    the saved state of their files.
     """
+    states = tallies.states(history.spark, f"{history.root}/tallies")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         if requests is not None:
             apply_requests(history, requests)
         lines = logs.with_place(batch).persist()
         try:
-            numbered = logs.with_line_numbers(logs.events(lines), lines)
+            numbered = stored(logs.with_line_numbers(logs.events(lines), lines), "events")
+            per_tool, rest = tallies.split_batch(states, logs.attribution_lines(numbered), logs.content_blocks(numbered), batch_id)
             turns = turn_plan.build_turns(logs.responses(numbered))
-            history.append(turns, dedup.session_dimension(numbered, turns), flush=batch_id)
+            history.append(with_slices(turns, per_tool, rest), dedup.session_dimension(numbered, turns), flush=batch_id)
         finally:
             lines.unpersist()
 
@@ -77,18 +82,6 @@ def split_late(batch: DataFrame, horizon: Column | str) -> tuple[DataFrame, Data
     return batch.filter(~late), batch.filter(late)
 
 
-def touched_splits(all_lines: DataFrame, all_blocks: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cost split of the files a batch added lines to, over their whole content.
-
-    The split depends on a file's earlier lines and compactions, so a touched
-    file is redone from the stored lines; untouched files are left alone.
-    """
-    files = batch.select("file").distinct()
-    return attribution.attribute(
-        all_lines.join(files, "file", "left_semi"), all_blocks.join(files, "file", "left_semi")
-    )
-
-
 def latest(updates: DataFrame, keys: list[str], version: str = "batch") -> DataFrame:
     """Current rows from a table of updates, one version per micro-batch."""
     rest = [c for c in updates.columns if c not in (*keys, version)]
