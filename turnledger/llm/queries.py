@@ -63,7 +63,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tool_messages(conversations: DataFrame) -> DataFrame:
-    """The conversations as agent logs: three of four assistant turns call a tool, user turns answer the turn before."""
+    """The conversations as agent logs: every assistant turn calls a tool, user turns answer the turn before; first user turns are messages without a call."""
     kind, seven = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4)), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7))
     name = lambda n: F.concat(F.lit("t"), n.cast("string"))
     after = F.when(seven == 0, F.array(name(F.col("turn") + 2))).when(seven == 2, F.array().cast("array<string>")).otherwise(F.array(name(F.col("turn") - 2)))
@@ -72,18 +72,20 @@ def tool_messages(conversations: DataFrame) -> DataFrame:
         F.when(kind == 0, F.col("turn")).alias("limit"),
         F.when(kind == 1, F.concat(F.lit("conv/"), F.col("conv_id").cast("string"))).alias("path"),
         F.when((kind == 1) | ((kind == 2) & (F.pmod("conv_id", F.lit(5)) == 0)), F.octet_length("text").cast("bigint")).alias("lines"),
-        F.when(kind == 2, F.col("text")).alias("text"),
+        F.when(kind >= 2, F.col("text")).alias("text"),
     )
-    call = F.struct(name(F.col("turn")).alias("id"), F.when(kind == 0, "search").when(kind == 1, "read").otherwise("count").alias("name"), arguments.alias("arguments"), after.alias("after"))
-    calls = conversations.where((F.col("role") == "assistant") & (kind < 3)).select("conv_id", "turn", "role", F.to_json(F.struct(F.array(call).alias("tool_calls"))).alias("text"))
+    call = F.struct(name(F.col("turn")).alias("id"), F.when(kind == 0, "search").when(kind == 1, "read").when(kind == 2, "count").otherwise("note").alias("name"), arguments.alias("arguments"), after.alias("after"))
+    calls = conversations.where(F.col("role") == "assistant").select("conv_id", "turn", "role", F.to_json(F.struct(F.array(call).alias("tool_calls"))).alias("text"))
     result = F.to_json(F.struct(name(F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content")))
-    return calls.unionByName(conversations.where("role = 'user' and turn > 0").select("conv_id", "turn", F.lit("tool").alias("role"), result.alias("text")))
+    asked = F.when(F.col("turn") > 0, result).otherwise(F.to_json(F.struct(F.col("text").alias("content"))))
+    others = conversations.where("role is null or role <> 'assistant'")
+    return calls.unionByName(others.select("conv_id", "turn", F.when((F.col("role") == "user") & (F.col("turn") > 0), "tool").otherwise(F.col("role")).alias("role"), asked.alias("text")))
 
 
 OP8_SQL = """
 with calls as (
   select conv_id, turn, (conv_id + turn) % 4 as kind, (conv_id + turn) % 7 as seven, min(text) as text, count(*) as copies
-  from conversations where role = 'assistant' and (conv_id + turn) % 4 < 3 group by all),
+  from conversations where role = 'assistant' group by all),
 results as (
   select conv_id, turn - 1 as turn, min(text) as content, count(*) as answers from conversations where role = 'user' and turn > 0 group by all),
 keyed as (
@@ -93,10 +95,10 @@ placed as (select *, row_number() over (partition by conv_id order by moment, la
 told as (
   select conv_id, turn, position, copies,
     case when kind = 0 and conv_id % 6 = 0 then 'missing query' when kind = 2 and conv_id % 5 = 0 then 'unexpected lines' end as problem,
-    case kind when 0 then 'search' when 1 then 'read' else 'count' end as name,
+    case kind when 0 then 'search' when 1 then 'read' when 2 then 'count' else 'note' end as name,
     case kind when 0 then '{"limit":' || turn || case when conv_id % 6 = 0 then '' else ',"query":' || to_json(text) end
       when 1 then '{"lines":' || strlen(text) || ',"path":"conv/' || conv_id || '"'
-      else case when conv_id % 5 = 0 then '{"lines":' || strlen(text) || ',"text":' else '{"text":' end || to_json(text) end || '}' as arguments
+      else case when kind = 2 and conv_id % 5 = 0 then '{"lines":' || strlen(text) || ',"text":' else '{"text":' end || to_json(text) end || '}' as arguments
   from placed)
 select coalesce(t.conv_id, r.conv_id) as conv_id, 't' || coalesce(t.turn, r.turn) as id, position,
   case when t.turn is null then 'orphan' when r.turn is null then 'unanswered' else 'linked' end as status,

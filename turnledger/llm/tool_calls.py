@@ -18,7 +18,9 @@ leaves the operator.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from math import isfinite
 
 import pandas as pd
 import pyarrow as pa
@@ -39,8 +41,15 @@ SCHEMAS = {
     "search": {"query": (("string",), True), "limit": (("integer",), False)},
     "read": {"path": (("string",), True), "lines": (("integer",), True)},
     "count": {"text": (("string",), True)},
+    "note": {"text": (("string",), True)},
 }
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+class _OutOfRange(ValueError):
+    pass
+
 
 def calls_of(messages: DataFrame) -> DataFrame:
     """(conv_id, id, turn, place, name, arguments, after, copies) of the calls in assistant messages."""
@@ -132,10 +141,31 @@ def _kind(value) -> str:
     return names[type(value)]
 
 
+def _refused(word: str):
+    raise ValueError(word)  # NaN and Infinity are not JSON
+
+
+def _finite(digits: str) -> float:
+    value = float(digits)
+    if not isfinite(value):
+        raise _OutOfRange(digits)
+    return value
+
+
+def _escaped(text: str) -> str:
+    """Half a surrogate pair is no character: it stays the escape that it was written as."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def problem(name: str | None, arguments: str | None, schemas: dict) -> tuple[str | None, object]:
-    """(what is wrong with a call's arguments, or None; the parsed arguments)."""
+    """(what is wrong with a call's arguments, or None; the parsed arguments, or their text where they can't be kept as JSON)."""
     try:
-        value = json.loads(arguments) if arguments is not None else None
+        value = None if arguments is None else json.loads(arguments, parse_constant=_refused, parse_float=_finite)
+        canonical(value)
+    except _OutOfRange:
+        return "number out of range", arguments
+    except RecursionError:
+        return "nested too deeply", arguments
     except ValueError:
         return "not JSON", arguments
     if name not in schemas:
@@ -156,7 +186,7 @@ def problem(name: str | None, arguments: str | None, schemas: dict) -> tuple[str
 
 def canonical(value) -> str:
     """JSON with sorted keys, no blanks and no needless escapes."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def link(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
@@ -166,8 +196,10 @@ def link(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
     problem null), or unordered for a call in or behind a cycle. problem says what
     the schema objects to, null where the arguments are valid. Messages that are
     null, empty or no such JSON, and rows with a null conv_id, hold no calls. Of a
-    repeated id the first call and the first result count. Other columns are not
-    read.
+    repeated id the first call and the first result count. Arguments that are not
+    JSON (NaN included), hold a number beyond doubles or are nested too deeply to
+    parse keep their text and say so in problem; half a surrogate pair stays
+    escaped. An empty table gives an empty one; other columns are not read.
     """
     schemas = SCHEMAS if schemas is None else schemas
     read = messages.select("conv_id", "turn", "role", "text")
@@ -186,7 +218,7 @@ def link(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
                     text.append(canonical({"id": id_, "result": content}))
                     continue
                 bad, value = problem(name, arguments, schemas)
-                wrong.append(bad)
+                wrong.append(bad and _escaped(bad))
                 text.append(canonical({"arguments": value, "id": id_, "name": name, "result": content, "valid": bad is None}))
             columns = [batch.column(c) for c in ("conv_id", "id", "position", "status")]
             yield pa.RecordBatch.from_arrays(
