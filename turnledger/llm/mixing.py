@@ -28,8 +28,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, LIMIT, SEED = 1.5, 2, 17
 #: Documents of one length are taken by hash bucket; only one bucket of a length is ranked.
 BUCKETS = 256
-#: Words the knapsack table covers at most; more than the even shares leave over only where a single text is longer.
-TABLE = 1 << 17
+#: Words the knapsack table covers at least; it covers twice the longest text where that is more.
+TABLE = 4096
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -83,6 +83,8 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         return take
     if budget >= words:
         return counts.astype(np.int64)
+    unit = int(np.gcd.reduce(lengths))  # sums of the lengths are multiples of it
+    lengths, budget, words = lengths // unit, budget // unit, words // unit
     order = np.argsort(-lengths, kind="stable")
     passed, used = 0, 0
     for i in order:
@@ -90,7 +92,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         ideal = budget * passed // words
         take[i] = min(int(counts[i]), max(0, (ideal - used) // int(lengths[i])))
         used += int(take[i] * lengths[i])
-    rest, room = budget - used, min(TABLE, max(2 * int(lengths[order[0]]), 4096))
+    rest, room = budget - used, max(2 * int(lengths[order[0]]), TABLE)
     given = True
     while given and rest < room:  # hand back documents, shortest first, one of each length in turn, so that the knapsack can choose
         given = False
@@ -99,7 +101,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
                 take[i] -= 1
                 rest += int(lengths[i])
                 given = True
-    limit = min(rest, TABLE)
+    limit = rest
     reach, steps, full = 1, [], (1 << (limit + 1)) - 1  # bit w of reach: w words can be taken exactly
     for i in order:
         size = int(lengths[i])
