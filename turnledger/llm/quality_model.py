@@ -117,12 +117,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.nd
         part = part.sort_values(["turn", "label"], kind="stable")
         w = ftrl(list(zip(part["slots"], part["vals"], part["label"])))
         at = np.flatnonzero(w)
-        return pd.DataFrame({"slot": np.append(at, -1), "weight": np.append(w[at], 1.0)})  # slot -1 counts the shards
+        return pd.DataFrame({"slot": np.append(at, -1), "weight": np.append(w[at], 1.0)}).assign(shard=int(part["shard"].iloc[0]))  # slot -1 counts the shards
 
     rows = picked.mapInArrow(vectors, "turn bigint, label double, slots array<int>, vals array<float>")
-    shard = F.pmod(F.xxhash64("turn"), F.lit(SHARDS)).alias("shard")
-    fitted = rows.groupBy(shard).applyInPandas(fit, "slot bigint, weight double")
-    sums = dict(map(tuple, fitted.groupBy("slot").agg(F.sum("weight")).collect()))  # 2^BITS + 2 rows at most
+    shard = F.pmod(F.xxhash64("turn"), F.lit(SHARDS)).cast("int")
+    fitted = rows.withColumn("shard", shard).groupBy("shard").applyInPandas(fit, "slot bigint, weight double, shard int")
+    # summed in the order of the shards, so that every run gives the same weights
+    total = F.aggregate(F.sort_array(F.collect_list(F.struct("shard", "weight"))), F.lit(0.0), lambda acc, x: acc + x["weight"])
+    sums = dict(map(tuple, fitted.groupBy("slot").agg(total).collect()))  # 2^BITS + 2 rows at most
     shards = sums.pop(-1, 1.0)
     model = np.zeros((1 << BITS) + 1, np.float32)
     model[list(sums)] = np.array(list(sums.values())) / shards
@@ -132,8 +134,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.nd
 def probabilities(text: pa.Array, model: np.ndarray) -> np.ndarray:
     """Sparse dot products of the texts with the weights, as probabilities of label 1."""
     slot, value, ends = features(text)
-    summed = np.concatenate([[0.0], np.cumsum(model[slot].astype(np.float64) * value)])[ends]
-    return 1 / (1 + np.exp(-np.clip(np.diff(summed) + model[-1], -30, 30)))
+    dots = np.zeros(len(ends) - 1)
+    some = np.flatnonzero(np.diff(ends))
+    if len(some):  # each text is summed by itself, so its score does not depend on its neighbours
+        dots[some] = np.add.reduceat(model[slot].astype(np.float64) * value, ends[some])
+    return 1 / (1 + np.exp(-np.clip(dots + model[-1], -30, 30)))
 
 
 def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
