@@ -1,11 +1,14 @@
 """Benchmark leaks by q-gram lemma filtering over diagonal bands, verified by banded alignment.
 
-Texts and benchmark items are folded to lower-case words with single blanks. An
-item is cut into overlapping pieces; a piece of length m within k = rate * m
-edits of a region shares at least m - q + 1 - k * q of its q-grams with it
-(q-gram lemma), on diagonals that lie at most k apart. So per piece and text the
-shared q-grams are counted in bands of diagonals 2(k + 1) wide that overlap by
-half; bands that meet the bound are aligned within the band.
+Texts and benchmark items are folded to lower-case words with single blanks. A leak
+is any part of an item of ``PIECE`` characters (the whole item, where it is shorter)
+that stands in a text within k = RATE * length edits. Such a part of length m shares
+at least m - q + 1 - k * q of its q-grams with the text (q-gram lemma), on diagonals
+that lie at most k apart. So per item and text the shared q-grams are gathered in
+bands of diagonals 2(k + 1) wide that overlap by half; wherever a band holds enough
+of them inside one window of m characters of the item, windows there are aligned
+within the band, one every STRIDE characters. Items so short that the bound is
+below one q-gram are looked for by their k + 1 parts, one of which is unchanged.
 
 The benchmark is broadcast in blocks of at most ``BLOCK_CHARS`` characters
 (larger sets take more passes); texts are read where they are, nothing of the
@@ -27,12 +30,13 @@ from pyspark.sql import functions as F
 from turnledger.llm.arrays import blocks, offsets_of
 
 Q = 8
-PIECE, STRIDE, RATE = 120, 60, 0.08
+PIECE, STRIDE, RATE = 72, 4, 0.08
 BLOCK_CHARS = 4_000_000
 #: Bytes of text that a task indexes at a time; its arrays take some hundred times as much.
 TEXT_BYTES = 500_000
 _BITS = 22
-_ROOM = 1 << 7  # more than the q-grams of a piece
+#: Bytes of the parts of very short items.
+PART = 6
 
 _FOLD = np.full(256, 32, np.uint8)
 for _b in [*range(48, 58), *range(97, 123), *range(128, 256)]:
@@ -84,105 +88,161 @@ def edits_within(piece: bytes, region: bytes, limit: int) -> int | None:
     return min(row.values())
 
 
-class Pieces:
-    """The q-gram index of one block of benchmark items: [(item_id, text)]."""
+class Index:
+    """The q-grams of some items: for each one the items and places where it stands."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
-        self.pieces: list[tuple[int, bytes, int, int]] = []  # item, bytes, edit budget, q-grams to share
-        if items:
-            data, ends, _, _ = folded(pa.array([t for _, t in items], pa.string()))
-            for (item, _), a, b in zip(items, ends[:-1], ends[1:]):
-                whole = data[a:b].tobytes().strip()
-                if len(whole) < Q:
-                    continue
-                last = max(0, len(whole) - PIECE)
-                for at in sorted({*range(0, last, STRIDE), last}):
-                    part = whole[at : at + PIECE]
-                    k = int(rate * len(part))
-                    self.pieces.append((item, part, k, len(part) - Q + 1 - k * Q))
-        posts = defaultdict(list)
-        for p, (_, part, _, _) in enumerate(self.pieces):
-            for j, g in enumerate(grams(np.frombuffer(part, np.uint8)).tolist()):
-                posts[g].append((p, j))
-        self.keys = np.array(sorted(posts), np.uint64)
-        self.first = offsets_of([len(posts[g]) for g in sorted(posts)])
-        self.posts = np.array([x for g in sorted(posts) for x in posts[g]], np.int64).reshape(-1, 2)
+    def __init__(self, items: list[tuple[int, bytes]], rate: float):
+        self.items = items
+        sizes = np.array([len(x) for _, x in items], np.int64)
+        self.window = np.minimum(sizes, PIECE)
+        self.budget = (rate * self.window).astype(np.int64)
+        self.needs = self.window - Q + 1 - self.budget * Q
+        data = np.frombuffer(b"".join(x for _, x in items), np.uint8)
+        ends = offsets_of(sizes)
+        item = np.repeat(np.arange(len(items)), np.maximum(sizes - Q + 1, 0))
+        place = np.arange(len(item)) - np.repeat(offsets_of(sizes - Q + 1)[:-1], sizes - Q + 1)
+        g = grams(data)[ends[item] + place]
+        order = np.argsort(g, kind="stable")
+        g, self.item, self.place = g[order], item[order], place[order]
+        begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
+        self.keys, self.first = g[begin], np.append(begin, len(g))
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self.slot(self.keys)] = True
         # the sparsest hits a matching region can have, over the widest window: a first filter that loses none
-        self.needs = min((x[3] for x in self.pieces), default=1)
-        self.window = max((len(x[1]) + x[2] for x in self.pieces), default=1)
+        self.least = int(self.needs.min(initial=1))
+        self.widest = int((self.window + self.budget).max(initial=1))
 
     @staticmethod
     def slot(g: np.ndarray) -> np.ndarray:
         return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
 
-    def find(self, text: pa.Array) -> list[tuple[int, int, int, int, int]]:
-        """(row, item, first raw byte, last raw byte + 1, edits) of every piece found in the texts; bytes count from the block's start."""
-        data, ends, origin, raw = folded(text)
-        g = grams(data)
+    def hits(self, g: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(where a text holds a q-gram of an item, the number of that q-gram), only inside regions dense enough for a match."""
         hit = np.flatnonzero(self.seen[self.slot(g)]) if len(self.keys) else np.empty(0, np.int64)
         at = np.searchsorted(self.keys, g[hit])
         real = self.keys[np.minimum(at, len(self.keys) - 1)] == g[hit] if len(self.keys) else np.empty(0, bool)
         hit, at = hit[real], at[real]
-        if not len(hit):
-            return []
-        # only hits in some window that holds enough of them
-        flags = np.zeros(len(data) + 1, np.int32)
+        if not len(hit) or self.least <= 1:
+            return hit, at
+        flags = np.zeros(size + 1, np.int32)
         flags[hit] = 1
         upto = np.concatenate([[0], np.cumsum(flags)])
-        end = np.minimum(hit + self.window, len(data))
-        opens = upto[end] - upto[hit] >= self.needs
-        cover = np.zeros(len(data) + 1, np.int32)
+        end = np.minimum(hit + self.widest, size)
+        opens = upto[end] - upto[hit] >= self.least
+        cover = np.zeros(size + 1, np.int32)
         np.add.at(cover, hit[opens], 1)
         np.add.at(cover, end[opens], -1)
         dense = np.cumsum(cover)[hit] > 0
-        hit, at = hit[dense], at[dense]
+        return hit[dense], at[dense]
+
+    def find(self, data: np.ndarray, ends: np.ndarray, g: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(row, item, first folded byte, last folded byte + 1, edits) of the regions that hold a window of an item."""
+        hit, at = self.hits(g, len(data))
         if not len(hit):
             return []
         n = self.first[at + 1] - self.first[at]
         where = np.repeat(hit, n)
-        post = self.posts[np.repeat(self.first[at], n) + (np.arange(n.sum()) - np.repeat(offsets_of(n)[:-1], n))]
-        piece, j = post[:, 0], post[:, 1]
+        post = np.repeat(self.first[at], n) + (np.arange(n.sum()) - np.repeat(offsets_of(n)[:-1], n))
+        item, place = self.item[post], self.place[post]
         doc = np.searchsorted(ends, where, side="right") - 1
         whole = where + Q <= ends[doc + 1]
-        piece, j, doc, where = piece[whole], j[whole], doc[whole], where[whole]
-        budget = np.array([x[2] for x in self.pieces])
-        needs = np.array([x[3] for x in self.pieces])
-        diagonal = where - j + PIECE  # never negative
-        step = budget[piece] + 1
-        if not len(diagonal):
+        item, place, doc, where = item[whole], place[whole], doc[whole], where[whole]
+        if not len(where):
             return []
+        longest = int(max(len(x) for _, x in self.items)) + 1
+        diagonal = where - place + longest  # never negative
+        step = self.budget[item] + 1
         bands = int(diagonal.max()) // 2 + 2
-        out, done = [], set()
+        out: list[tuple[int, int, int, int, int]] = []
+        done: set[tuple[int, int, int]] = set()
         for shift in (0, 1):  # bands 2 * step wide, half a band apart
             band = (diagonal + shift * step) // (2 * step)
-            # one sorted number per (text, piece, band, q-gram of the piece): a q-gram counts once
-            each = np.sort(((doc * len(self.pieces) + piece) * bands + band) * _ROOM + j)
-            cells = each[np.concatenate([[True], each[1:] != each[:-1]])] // _ROOM
-            begin = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
-            cell, shared = cells[begin], np.diff(np.append(begin, len(cells)))
-            owner = cell // bands
-            for i in np.flatnonzero(shared >= needs[owner % len(self.pieces)]):
-                d, p, b = int(owner[i]) // len(self.pieces), int(owner[i]) % len(self.pieces), int(cell[i]) % bands
-                width, k = int(budget[p]) + 1, int(budget[p])
-                low = b * 2 * width - shift * width - PIECE
-                a = max(int(ends[d]), low - k)
-                z = min(int(ends[d + 1]), low + 2 * width + len(self.pieces[p][1]) + k)
-                if (d, p, a) in done:
+            cell = np.unique((doc * len(self.items) + item) * bands + band, return_inverse=True)[1]
+            order = np.argsort(cell * longest + place, kind="stable")
+            c, j, t = cell[order], place[order], where[order]
+            new = np.concatenate([[True], (c[1:] != c[:-1]) | (j[1:] != j[:-1])])  # a q-gram of the item counts once
+            c, j, t, row, own = c[new], j[new], t[new], doc[order][new], item[order][new]
+            ahead = np.arange(len(c)) + np.maximum(self.needs[own], 1) - 1
+            there = np.minimum(ahead, len(c) - 1)
+            full = (ahead < len(c)) & (c[there] == c) & (j[there] - j <= self.window[own] - Q)
+            for i in np.flatnonzero(full):
+                d, x, m, k = int(row[i]), int(own[i]), int(self.window[own[i]]), int(self.budget[own[i]])
+                text = self.items[x][1]
+                # windows of the item that hold the q-grams from the i-th to the one that fills the bound
+                low, high = max(0, int(j[there[i]]) - (m - Q)), min(int(j[i]), len(text) - m)
+                if (d, x, int(t[i]) - int(j[i])) in done:
                     continue
-                done.add((d, p, a))
-                item, part, limit, _ = self.pieces[p]
-                region = data[a:z].tobytes()
-                edits = edits_within(part, region, limit)
+                for s in sorted({*range(low, high, STRIDE), high}):
+                    at = int(t[i]) - int(j[i]) + s  # where the window begins on this diagonal
+                    slack = 2 * (k + 1)
+                    a, z = max(int(ends[d]), at - slack), min(int(ends[d + 1]), at + m + slack)
+                    region, part = data[a:z].tobytes(), text[s : s + m]
+                    edits = edits_within(part, region, k)
+                    if edits is not None:
+                        exact = region.find(part)
+                        if exact >= 0:
+                            a, z = a + exact, a + exact + m
+                        out.append((d, self.items[x][0], a, z, edits))
+                        done.add((d, x, int(t[i]) - int(j[i])))
+                        break
+        return out
+
+
+class ShortItems:
+    """Items that may lose all their q-grams to the edits allowed: one of their k + 1 parts is unchanged."""
+
+    def __init__(self, items: list[tuple[int, bytes]], rate: float):
+        self.items = [(item, text, int(rate * len(text))) for item, text in items]
+        parts = []
+        for x, (_, text, k) in enumerate(self.items):
+            size = len(text) // (k + 1)
+            parts += [(int.from_bytes(text[p * size : p * size + PART], "little"), x, p * size) for p in range(k + 1)]
+        self.parts = np.array(sorted(parts), np.int64).reshape(-1, 3)
+        self.keys = self.parts[:, 0].astype(np.uint64)
+
+    def find(self, data: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        g = grams(np.append(data, np.full(Q - 1, 32, np.uint8))) & np.uint64((1 << (8 * PART)) - 1)
+        low, high = np.searchsorted(self.keys, g, side="left"), np.searchsorted(self.keys, g, side="right")
+        out, done = [], set()
+        for t in np.flatnonzero(high > low):
+            d = int(np.searchsorted(ends, t, side="right")) - 1
+            for _, x, at in self.parts[low[t] : high[t]].tolist():
+                item, text, k = self.items[x]
+                if (d, x) in done:
+                    continue
+                a, z = max(int(ends[d]), int(t) - at - k), min(int(ends[d + 1]), int(t) - at + len(text) + k)
+                edits = edits_within(text, data[a:z].tobytes(), k)
                 if edits is not None:
-                    exact = region.find(part)
-                    if exact >= 0:
-                        a, z = a + exact, a + exact + len(part)
-                    out.append((d, item, int(origin[a]), int(origin[z - 1]) + 1, edits))
+                    done.add((d, x))
+                    out.append((d, item, a, z, edits))
         return out
 
 
+class Pieces:
+    """One block of benchmark items [(item_id, text)]: long items, short ones, and those below the lemma, each with its own filter."""
+
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+        kinds: dict[str, list[tuple[int, bytes]]] = {"long": [], "short": [], "tiny": []}
+        if items:
+            data, ends, _, _ = folded(pa.array([t for _, t in items], pa.string()))
+            for (item, _), a, b in zip(items, ends[:-1], ends[1:]):
+                text = data[a:b].tobytes().strip()
+                if len(text) >= Q:
+                    bound = len(text) - Q + 1 - int(rate * len(text)) * Q
+                    kinds["long" if len(text) >= PIECE else "short" if bound > 0 else "tiny"].append((item, text))
+        self.indexes = [Index(kinds[k], rate) for k in ("long", "short") if kinds[k]]
+        self.tiny = ShortItems(kinds["tiny"], rate) if kinds["tiny"] else None
+
+    def find(self, text: pa.Array) -> list[tuple[int, int, int, int, int]]:
+        """(row, item, first raw byte, last raw byte + 1, edits) of every region found in the texts; bytes count from the block's start."""
+        data, ends, origin, _ = folded(text)
+        if not len(data):
+            return []
+        g = grams(data)
+        found = [x for index in self.indexes for x in index.find(data, ends, g)] + (self.tiny.find(data, ends) if self.tiny else [])
+        return [(d, item, int(origin[a]), int(origin[z - 1]) + 1, edits) for d, item, a, z, edits in found]
+
+
 def _blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks that hold about BLOCK_CHARS characters, read one after another."""
     items = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("string").alias("text"))
@@ -194,12 +254,13 @@ def _blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, pieces, first, last, edits) of every item of which a piece stands in a text.
+    """(doc_id, item_id, pieces, first, last, edits) of every item of which a part stands in a text.
 
     first and last bound the found pieces in code points, last exclusive; edits
     are the least of any piece. Null and empty texts and items have no leaks; an
     item of fewer than Q folded characters is never found. Rows that repeat a
-    document repeat its leaks.
+    document repeat its leaks; of equal regions each counts. Empty tables give an
+    empty result; other columns are not read.
     """
     out = None
     spark = docs.sparkSession
@@ -230,7 +291,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, without a leak; decided next to the text, nothing is shuffled."""
+    """The rows of ``docs``, all columns, without a leak; decided next to the text, nothing is shuffled.
+
+    Null and empty texts have no leaks; repeated rows stay or go together.
+    """
     for block in _blocks_of(benchmark):
         index = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(Pieces(block)))
 
