@@ -247,7 +247,6 @@ def test_licence_labels_do_not_depend_on_other_documents(spark):
     assert [r.labels for r in licenses.scan(spark.createDataFrame([(1, templates[1])], "doc_id bigint, text string")).collect()] == ["mit-text"]
     # every place of every template, without votes
     index = licenses.Index()
-    index.rate(0, {})
     ids, ends = index.numbered(pa.array(shifted))
     for d in range(len(shifted)):
         own, want = ids[ends[d] : ends[d + 1]], {}

@@ -1,21 +1,19 @@
 """Licence scan by a positional index over rare words.
 
-Templates (notices and references of licences) are indexed by word: which
-template, which position. The rarity of the index's words is counted over all
-documents and only ranks them: of each template the rarest words are looked up,
-however common they are; every place votes for the template at a relative
-position, and where the votes intersect the template is laid over the text: most
-of its words must stand in place and its mandatory phrases must stand there word
-by word. So many words are looked up that votes cannot miss a place where enough
-words stand, so a text's labels depend on that text alone.
-
-Two passes over the texts in Arrow batches; only the document frequencies of the
-index's words, bounded by the templates, leave the first. Nothing is shuffled.
+Templates (notices, references and SPDX tags of licences) are indexed by their rarest
+words, those in the fewest templates: each has postings (template, position). The
+index's words in a file are looked up, and each
+posting puts the template at a relative position of the file. Where the postings of
+enough words of a template intersect within ``PLAY`` words, the template is laid over
+the text: most of its words must stand in place and its mandatory phrases must stand
+there word by word. So many words are indexed per template that postings cannot miss
+a place where enough words stand, so a text's labels depend on that text alone.
+
+One pass over the texts in Arrow batches; nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.llm.arrays import blocks, hash_strings, split_words
+from turnledger.llm.arrays import blocks, hash_strings, offsets_of, split_words
 
 #: Separators of words, base phrases and their labels.
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -53,8 +51,43 @@ TEMPLATES = {
     "cc-by-sa-4.0": ("licensed under CC BY-SA 4.0", ["cc by sa 4 0"]),
     "cc-by-4.0": ("licensed under CC BY 4.0", ["cc by 4 0"]),
     "unlicense": ("This is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    "mit-warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
+        ["the software is provided as is"]),
+    "mit-notice": (
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        ["this permission notice shall be included"]),
+    "bsd-source": ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", ["redistributions of source code must retain"]),
+    "bsd-binary": ("Redistributions in binary form must reproduce the above copyright notice", ["redistributions in binary form must reproduce"]),
+    "bsd-3-clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        ["endorse or promote products derived from this software"]),
+    "apache-text": (
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        ["except in compliance with the license"]),
+    "apache-short": ("licensed under Apache-2.0", ["licensed under apache 2 0"]),
+    "gpl-2.0": ("either version 2 of the License, or (at your option) any later version", ["either version 2 of the license"]),
+    "gpl-3.0-text": ("either version 3 of the License, or (at your option) any later version", ["either version 3 of the license"]),
+    "gpl-warranty": (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+        ["in the hope that it will be useful"]),
+    "gpl-2.0-short": ("under GPL v2", ["under gpl v2"]),
+    "gpl-3.0-short": ("under GPL v3", ["under gpl v3"]),
+    "agpl-3.0": ("under the terms of the GNU Affero General Public License", ["gnu affero general public license"]),
+    "epl-2.0": ("under the terms of the Eclipse Public License 2.0", ["eclipse public license 2 0"]),
+    "cc0-1.0": ("dedicated to the public domain under CC0 1.0 Universal", ["cc0 1 0"]),
+    "zlib": (
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software",
+        ["altered source versions must be plainly marked"]),
+    "boost": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+        ["any person or organization obtaining a copy"]),
 }
-#: Rarest words looked up per template at least, votes that must agree, words' play in place, share of words in place.
+#: Identifiers of licences in SPDX tags.
+SPDX = """MIT Apache-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only
+  AGPL-3.0-or-later MPL-2.0 BSD-2-Clause BSD-3-Clause ISC Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 Zlib EPL-2.0 BSL-1.0""".split()
+TEMPLATES |= {f"spdx-{x.lower()}": (f"SPDX-License-Identifier: {x}", [f"spdx license identifier {x}"]) for x in SPDX}
+#: Rarest words indexed per template at least, votes that must agree, words' play in place, share of words in place.
 RARE, VOTES, PLAY, COVER = 5, 3, 2, 0.8
 
 
@@ -79,13 +112,17 @@ class Index:
         self.bodies = [np.array([number[w] for w in b]) for b in bodies]
         self.keys = [[np.array([number[w] for w in k]) for k in ks] for ks in keys]
         self.base = [(np.array([number[w] for w in b]), label) for b, label in zip(base, phrases.values())]
-        # how often each word stands in each template, the words of its phrases, and how many of its places may be out of place
-        self.times = np.zeros((len(vocabulary), len(self.labels)), np.int64)
-        self.demands = np.zeros((len(vocabulary), len(self.labels)), np.int64)
-        for t, (body, ks) in enumerate(zip(self.bodies, self.keys)):
-            np.add.at(self.times[:, t], body, 1)
-            self.demands[np.concatenate(ks), t] = 1
-        self.spare = [max(m for m in range(len(b)) if (len(b) - m) / len(b) >= COVER) for b in self.bodies]
+        # a template may miss this many of its places
+        spare = [max(m for m in range(len(b)) if (len(b) - m) / len(b) >= COVER) for b in self.bodies]
+        holding = np.bincount(np.concatenate([np.unique(b) for b in self.bodies]), minlength=len(vocabulary))
+        self.idf = np.log((len(self.bodies) + 1) / (holding + 1))
+        ranked = [sorted(set(body.tolist()), key=lambda w: (-self.idf[w], w)) for body in self.bodies]
+        # at most ``spare`` of the indexed words do not vote for the place where a template stands
+        self.rare = [words[: max(RARE, m + VOTES)] for words, m in zip(ranked, spare)]
+        self.needed = np.array([max(1, min(VOTES, len(words) - m)) for words, m in zip(self.rare, spare)])
+        posts = sorted((w, t, j) for t, (body, words) in enumerate(zip(self.bodies, self.rare)) for w in words for j in np.flatnonzero(body == w).tolist())
+        self.posts = np.array(posts, np.int64).reshape(-1, 3)
+        self.first = np.searchsorted(self.posts[:, 0], np.arange(len(vocabulary) + 1))
 
     def numbered(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The word numbers of the texts, -1 for words outside the index, and their offsets."""
@@ -95,22 +132,22 @@ class Index:
         at = np.minimum(np.searchsorted(sorted_, hashes), len(sorted_) - 1)
         return np.where(sorted_[at] == hashes, self.order[at], -1), ends
 
-    def rate(self, documents: int, frequency: dict[int, int]) -> None:
-        """Rarity from document frequencies; the words to look up of each template, and how many of them must vote.
-
-        Of a template's places at most ``spare`` may be out of place, so of the
-        looked-up words at most so many do not vote for the place it stands at.
-        """
-        df = np.array([frequency.get(i, 0) for i in range(len(self.hashes))])
-        self.idf = np.log((documents + 1) / (df + 1))
-        ranked = [sorted(set(body.tolist()), key=lambda w: (-self.idf[w], w)) for body in self.bodies]
-        self.rare = [words[: max(RARE, m + VOTES)] for words, m in zip(ranked, self.spare)]
-        self.needed = [max(1, min(VOTES, len(words) - m)) for words, m in zip(self.rare, self.spare)]
-
-    def possible(self, present: np.ndarray) -> np.ndarray:
-        """(texts x templates) where the text has every word of the phrases and enough words of the template; ``present`` is texts x words."""
-        enough = present @ self.times >= self.times.sum(axis=0) - np.array(self.spare)
-        return enough & (present @ self.demands == self.demands.sum(axis=0))
+    def intersected(self, ids: np.ndarray, ends: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(text, templates) where postings of enough words put the template at one place, give or take PLAY words."""
+        at = np.flatnonzero(ids >= 0)
+        n = self.first[ids[at] + 1] - self.first[ids[at]]
+        post = np.repeat(self.first[ids[at]], n) + np.arange(int(n.sum())) - np.repeat(offsets_of(n)[:-1], n)
+        doc = np.searchsorted(ends, np.repeat(at, n), side="right") - 1
+        template, start = self.posts[post, 1], np.repeat(at, n) - self.posts[post, 2]
+        cell = doc * len(self.bodies) + template
+        order = np.lexsort((start, cell))
+        cell, start = cell[order], start[order]
+        ahead = np.arange(len(cell)) + self.needed[cell % len(self.bodies)] - 1
+        there = np.minimum(ahead, len(cell) - 1)
+        met = (ahead < len(cell)) & (cell[there] == cell) & (start[there] - start <= 2 * PLAY)
+        cells = np.unique(cell[met])
+        docs, begin = np.unique(cells // len(self.bodies), return_index=True)
+        return [(int(d), part % len(self.bodies)) for d, part in zip(docs, np.split(cells, begin[1:]))]
 
 
 def places(ids: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -148,39 +185,17 @@ def templates_in(ids: np.ndarray, index: Index, chosen: np.ndarray) -> dict[str,
     return found
 
 
-def frequencies(docs: DataFrame, index: Index) -> tuple[int, dict[int, int]]:
-    """Number of documents, and in how many of them each word of the index stands: one number per word leaves a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = cloudpickle.loads(shared.value)
-        total, df = 0, np.zeros(len(index.hashes), np.int64)
-        for batch in batches:
-            for block in blocks(batch, "text"):
-                ids, ends = index.numbered(block.column("text"))
-                owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-                known = ids >= 0
-                pairs = np.unique(owner[known] * len(df) + ids[known])
-                df += np.bincount(pairs % len(df), minlength=len(df))
-                total += block.num_rows
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], total))], names=["word", "n"])
-
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n")).collect()
-    counts = dict(map(tuple, rows))
-    return counts.pop(-1, 0), counts
-
-
 def scan(docs: DataFrame, templates: dict = TEMPLATES, phrases: dict = PHRASES) -> DataFrame:
     """Per row of ``docs``: (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
     n_base counts the places of the base phrases, first_word and last_word are
     their smallest and largest start. labels adds the templates verified; score
     is the highest share of words in place of anything found (1 for a base
-    phrase, 0 without a label). Null and empty texts have no words and no labels.
+    phrase, 0 without a label), the greatest of several. Null and empty texts have no
+    words and no labels; repeated rows repeat their result; an empty table gives an
+    empty one; other columns are not read.
     """
     index = Index(templates, phrases)
-    index.rate(*frequencies(docs, index))
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
     fields = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
@@ -203,12 +218,8 @@ def scan(docs: DataFrame, templates: dict = TEMPLATES, phrases: dict = PHRASES)
                     for d in np.unique(doc):
                         base[d].add(label)
                         score[d] = 1.0
-                known = ids >= 0
-                present = np.zeros((n, len(index.hashes)), np.int64)
-                present[owner[known], ids[known]] = 1
-                possible = index.possible(present)
-                for d in np.flatnonzero(possible.any(axis=1)):
-                    for label, share in templates_in(ids[ends[d] : ends[d + 1]], index, np.flatnonzero(possible[d])).items():
+                for d, chosen in index.intersected(ids, ends):
+                    for label, share in templates_in(ids[ends[d] : ends[d + 1]], index, chosen).items():
                         more[d].add(label)
                         score[d] = max(score[d], share)
                 yield pa.RecordBatch.from_arrays(
