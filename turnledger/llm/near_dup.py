@@ -38,6 +38,8 @@ BANDS, ROWS = 40, 5
 SLACK = 0.14
 #: Shingles on one side of a block of comparisons (a longer text is a block of its own).
 CHUNK = 400_000
+#: Rows on one side of a block: short texts fill few shingles, but each is compared with all of the other side.
+CELL_ROWS = 1024
 
 SKETCHES = "doc_id bigint, n_shingles bigint, set_hi bigint, set_lo bigint, bands array<bigint>, sketch binary"
 
@@ -145,8 +147,11 @@ def _bridges(members: DataFrame, contents: DataFrame, percent: int) -> DataFrame
     """
     least = int(np.floor((percent / 100 - SLACK) * BANDS * ROWS))
     outside = F.col("root") != F.col("main")
-    sizes = members.groupBy("key").agg(F.sum("n_shingles").alias("n"), F.sum(F.when(outside, F.col("n_shingles")).otherwise(0)).alias("m"))
-    sizes = sizes.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("rows"), F.ceil(F.col("m") / CHUNK).cast("int").alias("cols"))
+    sizes = members.groupBy("key").agg(
+        F.sum("n_shingles").alias("n"), F.count("*").alias("n_rows"), F.sum(F.when(outside, F.col("n_shingles")).otherwise(0)).alias("m"), F.count_if(outside).alias("m_rows"),
+    )
+    side = lambda shingles, rows: F.greatest(F.ceil(F.col(shingles) / CHUNK), F.ceil(F.col(rows) / CELL_ROWS)).cast("int")
+    sizes = sizes.select("key", side("n", "n_rows").alias("rows"), side("m", "m_rows").alias("cols"))
     grid = members.join(sizes, "key")
     own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
