@@ -261,10 +261,14 @@ _RECENT = f""", recent as (select t.*, p.project from turns t join projects p us
 
 @query("recent_activity", sql.PROJECTS + _RECENT + f"""
 select r.project, case when r.project is not null then coalesce({sql.SHORT_MODEL.replace("model", "m.m")}, '(unknown)') end as model_primary, cast(l.l.ts as varchar) as last_turn_at, l.l.sid as latest_session_id,
-  projects, turns, output_tokens, cost_usd, l.l.ctx / (select context_window from price where price_key = l.l.model) as ctx_used, {sql.efficiency("r.")}
+  projects, turns, output_tokens, cost_usd, l.l.ctx / (select context_window from price where price_key = l.l.model) as ctx_used, {sql.efficiency("r.")},
+  case when r.project is null then (select string_agg(model || '=' || printf('%.6f', units / whole + 1e-9::double), ',' order by units desc, model) from (
+    select {sql.SHORT_MODEL} as model, sum(cost_units)::double as units, sum(sum(cost_units)) over ()::double as whole from recent where model is not null group by 1)) end as model_mix
 from rolled r left join last_turn l on l.project = r.project left join primary_model m on m.project = r.project""")
 def recent_activity(t):
-    return panels.recent_activity(t.turns, entity.canonical_cwd(t.sessions), AS_OF, 240)
+    rows = panels.recent_activity(t.turns, entity.canonical_cwd(t.sessions), AS_OF, 240)
+    share = F.array_join(F.transform("model_mix", lambda m: F.concat(m["model"], F.lit("="), F.format_string("%.6f", m["share"] + 1e-9))), ",")
+    return rows.withColumn("model_mix", share)
 
 
 def _timeline(name, metric_sql, metric, bucket, since, until, project="all", model="all", top=None):

@@ -212,12 +212,13 @@ ORACLE_TURNS = (
     + """, turns as (
   select *, input_tokens + cache_read_tokens + cache_creation_tokens as ctx
   from lines qualify dedup_key is null or row_number() over (partition by dedup_key order by file desc, line desc) = 1
+), firsts as (select dedup_key, min((file, line)) as place from raw where dedup_key is not null group by 1
 ), sessions as (
-  select t.session_id, arg_min(t.is_sidechain, (t.dedup_key is not null, t.file, t.line)) as is_sidechain,
+  select t.session_id, arg_min(t.is_sidechain, (t.dedup_key is not null, coalesce(f.place, (t.file, t.line)), t.file, t.line)) as is_sidechain,
     min(t.ts) as first_ts, max(t.ts) as last_ts, count(*) as turns, any_value(c.cwd) as cwd, any_value(c.source_file) as source_file
   from turns t join (select session_id, arg_min(cwd, (file, line)) filter (cwd is not null) as cwd, arg_min(file, (file, line)) as source_file
                      from raw group by session_id) c using (session_id)
-  group by t.session_id
+  left join firsts f on f.dedup_key = t.dedup_key group by t.session_id
 )
 """
 )

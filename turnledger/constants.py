@@ -62,6 +62,9 @@ THRESHOLDS = {
 # Cut-offs that flag a project.
 PROJECT_FLAGS = {"hit_rate": 0.25, "creation_dominance": 1.0, "growth": 2000.0, "error_rate": 0.10}
 
+# Shares of the usual value beyond which a tile is an anomaly.
+ANOMALY = {"cache_reuse": 0.4, "hit_pct": 0.88, "cost_per_kw": 2.5}
+
 # Slope histogram.
 GROWTH_EDGES = (500, 1000, 2000, 5000, 10000)
 GROWTH_LABELS = ("<500", "500-1k", "1k-2k", "2k-5k", "5k-10k", "10k+")

@@ -48,13 +48,19 @@ def new_rows(candidates: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def session_dimension(events: DataFrame, turns: DataFrame) -> DataFrame:
-    """One row per session with turns: first working directory and file seen, flag of the first turn."""
+    """One row per session with turns: first working directory and file seen, flag of the first turn.
+
+    A turn comes where the first copy of its key stands; turns without a key come before all others.
+    """
     place = F.struct(*PLACE)
+    key = F.col("dedup_key") if "dedup_key" in events.columns else F.concat("message_id", F.lit(":"), "request_id")
+    copies = events.filter(~F.col("model").eqNullSafe(K.SYNTHETIC_MODEL)).select(key.alias("dedup_key"), place.alias("place")).filter("dedup_key is not null")
+    turns = turns.join(copies.groupBy("dedup_key").agg(F.min("place").alias("first_place")), "dedup_key", "left")
     seen = events.groupBy("session_id").agg(
         F.min_by("file", place).alias("source_file"),
         F.min_by("cwd", F.when(F.col("cwd").isNotNull(), place)).alias("cwd"),
     )
-    order = F.struct(F.col("dedup_key").isNotNull(), *PLACE)
+    order = F.struct(F.col("dedup_key").isNotNull(), F.coalesce("first_place", place), place)
     flags = turns.groupBy("session_id").agg(
         F.min_by("is_sidechain", order).alias("is_sidechain"),
         F.min("ts").alias("first_ts"),

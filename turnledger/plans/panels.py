@@ -61,17 +61,17 @@ def _fixed(value: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", value)
 
 
-def anomaly(tile_rows: DataFrame) -> DataFrame:
-    """The first tile rule that fires, or no row."""
+def anomaly(tile_rows: DataFrame, cutoffs: dict[str, float] = K.ANOMALY) -> DataFrame:
+    """The first tile rule that fires, or no row; the messages are fixed values."""
     ready = tile_rows.filter("delta_ratio is not null and value is not null and baseline_label <> 'cold'")
     value, delta = F.col("value"), F.col("delta_ratio")
     normal = value / delta
     rules = [
-        ("cache_reuse", delta < 0.4, "red",
+        ("cache_reuse", delta < cutoffs["cache_reuse"], "red",
          F.concat(F.lit("Cache reuse dropped to "), _fixed(value, 0), F.lit(":1 (normal "), _fixed(normal, 0), F.lit(":1) — cache thrashing."))),
-        ("hit_pct", delta < 0.88, "amber",
+        ("hit_pct", delta < cutoffs["hit_pct"], "amber",
          F.concat(F.lit("Cache hit rate "), _fixed(value, 1), F.lit("% (normal "), _fixed(normal, 1), F.lit("%) — below expected."))),
-        ("cost_per_kw", delta > 2.5, "amber",
+        ("cost_per_kw", delta > cutoffs["cost_per_kw"], "amber",
          F.concat(F.lit("Cost efficiency $"), _fixed(value, 2), F.lit("/kW ("), _fixed(delta, 1), F.lit("× baseline) — high relative spend."))),
     ]
     out = None
@@ -115,7 +115,10 @@ def recent_turns(turns: DataFrame, now: str, minutes: int) -> DataFrame:
 
 
 def recent_activity(turns: DataFrame, projects: DataFrame, now: str, minutes: int = 60) -> DataFrame:
-    """Per project: last turn, most used model, ratios over the last minutes; NULL project is the total."""
+    """Per project: last turn, most used model, ratios over the last minutes; NULL project is the total.
+
+    The total carries the share of the costs of each model, dearest first (a list of model names, not of turns).
+    """
     recent = recent_turns(turns, now, minutes)
     place = F.struct("ts", "file", "line")
     last = F.struct(place.alias("at"), "session_id", "model", ratios.context_tokens().alias("ctx"))
@@ -132,14 +135,23 @@ def recent_activity(turns: DataFrame, projects: DataFrame, now: str, minutes: in
     per_model = entity.with_project(
         recent.filter(F.coalesce("model", F.lit("")) != "")
         .groupBy("session_id", "model")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("seen")),
+        .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("seen"), F.sum("cost_units").alias("units")),
         projects,
-    ).groupBy("project", "model").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
+    ).groupBy("project", "model").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"), F.sum("units").alias("units"))
+    # of models with one short name the cheapest gives the share, the dearest the place
+    names = per_model.groupBy("model").agg(F.sum("units").alias("units")).groupBy(pricing.short_model(F.col("model")).alias("model")).agg(
+        F.min("units").alias("units"), F.max("units").alias("most"), F.sum("units").alias("all")
+    )
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("most")).alias("order"), "model", "units")))
+    whole = F.when(F.sum("all") > 0, F.sum("all").cast("double")).otherwise(1e10)
+    mix = names.agg(listed.alias("models"), whole.alias("whole")).select(
+        F.transform("models", lambda m: F.struct(m["model"].alias("model"), (m["units"] / F.col("whole")).alias("share"))).alias("model_mix")
+    )
     primary = per_model.groupBy("project").agg(F.min_by("model", F.struct(-F.col("n"), "seen")).alias("model_primary"))
     window = pricing.context_window(F.col("last.model"))
     single = F.col("project").isNotNull()
-    return totals.join(primary, "project", "left").select(
-        "project",
+    return totals.join(primary, "project", "left").crossJoin(F.broadcast(mix)).select(  # one row of mix
+        "project", F.when(~single, F.col("model_mix")).alias("model_mix"),
         F.when(single, pricing.short_model(F.col("model_primary"))).alias("model_primary"),
         F.when(single, F.col("last.at.ts")).alias("last_turn_at"),
         F.when(single, F.col("last.session_id")).alias("latest_session_id"),

@@ -7,6 +7,7 @@ only parsed fields reach a shuffle.
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -256,11 +257,17 @@ def fingerprint(found: DataFrame) -> DataFrame:
     )
 
 
-def read_changed(spark: SparkSession, folders: list[str], marks: DataFrame | None) -> DataFrame:
-    """Lines of changed files only. The path list is what Spark's own file index holds anyway."""
+def literal(path: str) -> str:
+    """A path as a pattern that names itself only."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def read_changed(spark: SparkSession, folders: list[str], marks: DataFrame | None, group: int = 10_000) -> DataFrame:
+    """Lines of changed files only, read in groups of at most ``group`` paths; paths are taken literally."""
     if marks is None:
         return read_lines(spark, folders)
-    paths_ = [row.file for row in changed_files(listing(spark, folders), marks).select("file").toLocalIterator()]
-    if not paths_:
-        return read_lines(spark, folders).filter(F.lit(False))
-    return located(spark.read.format("text").load(paths_))
+    found, paths_ = None, (literal(row.file) for row in changed_files(listing(spark, folders), marks).select("file").toLocalIterator())
+    while some := list(islice(paths_, group)):
+        part = located(spark.read.format("text").load(some))
+        found = part if found is None else found.unionByName(part)
+    return read_lines(spark, folders).filter(F.lit(False)) if found is None else found
