@@ -80,17 +80,6 @@ def test_both_split_modes_keep_the_total(spark, turns_of):
         assert breakdown.tool_breakdown(rows, per_tool, rest, mode).agg(F.sum("cost_usd")).first()[0] == pytest.approx(total)
 
 
-def test_touched_files_are_redone_alone(spark, turns_of):
-    pool = F.col("input_tokens")
-    lines = turns_of([{"file": f, "line": n, "input_tokens": 10 + n} for f in "ab" for n in range(3)]).withColumn("pool", pool)
-    blocks = lines.select("file", "line", F.lit(0).cast("bigint").alias("pos"), F.lit("tool_use").alias("kind"), F.lit("Read").alias("name"),
-                          F.col("line").cast("string").alias("block_id"), F.lit(None).cast("string").alias("tool_use_id"), F.lit(5).cast("bigint").alias("nbytes"))
-    full, _ = attribution.attribute(lines, blocks)
-    part, _ = ingest.touched_splits(lines, blocks, lines.filter("file = 'b' and line = 2"))
-    key = lambda df: sorted(map(tuple, df.collect()))
-    assert key(part) == key(full.filter("file = 'b'")) and part.count() > 0
-
-
 def test_late_rows_go_aside(turns_of):
     on_time, late = ingest.split_late(turns_of([{"ts": "2024-01-01"}, {"ts": "2024-01-03"}]), "2024-01-02")
     assert (on_time.count(), late.count()) == (1, 1)

@@ -38,21 +38,21 @@ SPLIT = (
 
 @query("compaction_epochs", "select file, line, epoch::bigint as epoch from walk", prelude=SPLIT)
 def compaction_epochs(t):
-    lines = t.lines.select("file", "line", "pool")
-    epochs, _ = attribution.compaction_epochs(lines)
+    lines = attribution.usage(t.lines).select("file", "line", "pool")
+    epochs = attribution.compaction_epochs(lines)
     return attribution.with_epoch(lines, epochs).select("file", "line", "epoch")
 
 
 @query("tool_result_match", "select file, line, owner, nbytes from owned", prelude=SPLIT)
 def tool_result_match(t):
-    owned, _ = attribution.owned_content(t.lines, t.event_blocks)
+    owned = attribution.owned_content(attribution.usage(t.lines), t.event_blocks)
     return owned.filter("kind <> 'turn'").select("file", "line", "owner", "nbytes")
 
 
 @query("context_tally", "select file, line, tool, sum(nbytes)::bigint as tool_nbytes from held where tool is not null group by all", prelude=SPLIT)
 def context_tally(t):
-    owned, several = attribution.owned_content(t.lines, t.event_blocks)
-    _totals, held = attribution.context_bytes(owned, several)
+    owned = attribution.owned_content(attribution.usage(t.lines), t.event_blocks)
+    _totals, held = attribution.context_bytes(owned)
     return held
 
 

@@ -76,36 +76,24 @@ def _peak_compose(f: str, g: str) -> str:
 
 def compaction_epochs(
     lines: DataFrame, size: int = ordered.LINES_PER_CHUNK, fanout: int = ordered.FANOUT
-) -> tuple[DataFrame, bool]:
+) -> DataFrame:
     """Per (file, block of lines): lines that start a new epoch, and epochs before the block.
 
     ``lines`` has file, line, pool for every line; pool is the input-side token
-    count of assistant lines with usage, else NULL. The second result says
-    whether any file has more than one block.
+    count of assistant lines with usage, else NULL.
     """
-    blocks = stored(
-        lines.groupBy("file", ordered.line_chunk(size=size).alias("block")).agg(
-            F.sort_array(F.collect_list(F.when(F.col("pool").isNotNull(), F.struct("line", "pool")))).alias("pools")
-        ),
-        "pools",
+    blocks = lines.groupBy("file", ordered.line_chunk(size=size).alias("block")).agg(
+        F.sort_array(F.collect_list(F.when(F.col("pool").isNotNull(), F.struct("line", "pool")))).alias("pools")
     )
-    span = blocks.groupBy("file").agg(F.max("block").alias("last"), F.count(F.lit(1)).alias("n"))
-    last_block, most = span.agg(F.max("last"), F.max("n")).first()
-    several = (most or 0) > 1
-    if several:
-        start = f"named_struct('ub', {_NO_LIMIT}, 'top', 0L, 'classes', cast(array() as {_CLASSES}))"
-        fold = f"aggregate(pools, {start}, (acc, x) -> {_peak_step('acc', 'x.pool')})"
-        thin = (
-            f"transform(array({fold}), f -> named_struct('ub', f.ub, 'top', f.top, "
-            f"'classes', {_merged('f.classes')}))[0]"
-        )
-        functions = blocks.select("file", "block", F.expr(thin).alias("fn"))
-        entries = ordered.block_entries(
-            functions, ["file"], _peak_apply, _peak_compose, "0L", fanout=fanout, last_block=last_block
-        )
-        entered = blocks.join(entries, ["file", "block"])
-    else:
-        entered = blocks.withColumn("entry", F.lit(0).cast("bigint"))
+    start = f"named_struct('ub', {_NO_LIMIT}, 'top', 0L, 'classes', cast(array() as {_CLASSES}))"
+    fold = f"aggregate(pools, {start}, (acc, x) -> {_peak_step('acc', 'x.pool')})"
+    thin = (
+        f"transform(array({fold}), f -> named_struct('ub', f.ub, 'top', f.top, "
+        f"'classes', {_merged('f.classes')}))[0]"
+    )
+    functions = blocks.select("file", "block", F.expr(thin).alias("fn"))
+    entries = ordered.block_entries(functions, ["file"], _peak_apply, _peak_compose, "0L", fanout=fanout)
+    entered = blocks.join(entries, ["file", "block"])
     resets = F.expr(
         "aggregate(pools, named_struct('peak', entry, 'at', cast(array() as array<bigint>)), (acc, x) -> "
         f"if({K.COMPACTION_FACTOR} * x.pool < acc.peak, "
@@ -114,8 +102,7 @@ def compaction_epochs(
     )
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     found = entered.select("file", "block", resets.alias("resets"))
-    before = F.coalesce(F.sum(F.size("resets")).over(earlier), F.lit(0)) if several else F.lit(0)
-    return found.withColumn("before", before.cast("bigint")), several
+    return found.withColumn("before", F.coalesce(F.sum(F.size("resets")).over(earlier), F.lit(0)).cast("bigint"))
 
 
 def with_epoch(df: DataFrame, epochs: DataFrame, size: int = ordered.LINES_PER_CHUNK) -> DataFrame:
@@ -136,7 +123,7 @@ def reference() -> tuple[Column, Column]:
     return use, F.when(use, F.col("block_id")).when(F.col("kind") == "tool_result", F.nullif(F.col("tool_use_id"), F.lit("")))
 
 
-def match_results(blocks: DataFrame, carry: bool = True) -> DataFrame:
+def match_results(blocks: DataFrame) -> DataFrame:
     """Owner of each content block in the context: a tool, unknown, or NULL for plain content.
 
     A result belongs to the tool use that is the previous mention of its id in
@@ -152,7 +139,6 @@ def match_results(blocks: DataFrame, carry: bool = True) -> DataFrame:
         ["line", "pos"],
         "block",
         {"previous": ("last", F.when(F.col("ref") != "", F.struct("declared")))},
-        carry=carry,
         summary=marked.filter(F.col("ref") != ""),
     )
     owner = F.when(result, F.coalesce("previous.declared", F.lit(K.UNKNOWN_TOOL))).otherwise(F.col("declared"))
@@ -161,18 +147,18 @@ def match_results(blocks: DataFrame, carry: bool = True) -> DataFrame:
 
 def owned_content(
     lines: DataFrame, blocks: DataFrame, size: int = ordered.LINES_PER_CHUNK, fanout: int = ordered.FANOUT
-) -> tuple[DataFrame, bool]:
+) -> DataFrame:
     """Content blocks with epoch and owner, and one marker row (kind ``turn``) per billed line."""
-    epochs, several = compaction_epochs(lines.select("file", "line", "pool"), size, fanout)
+    epochs = compaction_epochs(lines.select("file", "line", "pool"), size, fanout)
     marks = lines.filter(F.col("pool").isNotNull()).select(
         "file", "line", F.lit(-1).cast("bigint").alias("pos"), F.lit("turn").alias("kind"),
         F.lit(0).cast("bigint").alias("nbytes"), "pool",
     )
     placed = with_epoch(blocks.unionByName(marks, allowMissingColumns=True), epochs, size)
-    return stored(match_results(placed, carry=several), "owned"), several
+    return stored(match_results(placed), "owned")
 
 
-def context_bytes(owned: DataFrame, several: bool) -> tuple[DataFrame, DataFrame]:
+def context_bytes(owned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What the context holds before each turn: totals per turn, and bytes per (turn, tool)."""
     is_turn = F.col("kind") == "turn"
     tool_nbytes = F.when(F.col("owner").isNotNull(), F.col("nbytes")).otherwise(0)
@@ -185,7 +171,6 @@ def context_bytes(owned: DataFrame, several: bool) -> tuple[DataFrame, DataFrame
             ["line", "pos"],
             "block",
             {"context_nbytes": ("sum", F.col("nbytes")), "context_tool_nbytes": ("sum", tool_nbytes)},
-            carry=several,
         )
         .filter(is_turn)
         .select("file", "epoch", "block", "line", "context_nbytes", "context_tool_nbytes")
@@ -196,16 +181,12 @@ def context_bytes(owned: DataFrame, several: bool) -> tuple[DataFrame, DataFrame
     )
     tools = deltas.groupBy("file", "epoch", "tool").agg(F.min("line").alias("first_line"))
     turns = owned.filter(is_turn).select("file", "epoch", "block", "line")
-    if several:
-        # Tools go to the blocks of lines first, so the join with the turns is
-        # on (file, epoch, block) and never on a whole file.
-        near = turns.select("file", "epoch", "block").distinct().join(tools, ["file", "epoch"])
-        paired = turns.join(near, ["file", "epoch", "block"])
-        present = near.select("file", "epoch", "block", "tool", F.lit(0).cast("bigint").alias("nbytes"))
-        summary = deltas.select(*present.columns).unionByName(present)
-    else:
-        paired = turns.join(tools, ["file", "epoch"])
-        summary = None
+    # Tools go to the blocks of lines first, so the join with the turns is
+    # on (file, epoch, block) and never on a whole file.
+    near = turns.select("file", "epoch", "block").distinct().join(tools, ["file", "epoch"])
+    paired = turns.join(near, ["file", "epoch", "block"])
+    present = near.select("file", "epoch", "block", "tool", F.lit(0).cast("bigint").alias("nbytes"))
+    summary = deltas.select(*present.columns).unionByName(present)
     probes = paired.filter(F.col("line") > F.col("first_line")).select(
         "file", "epoch", "block", "line", "tool", F.lit(0).cast("bigint").alias("nbytes"), F.lit(0).alias("step")
     )
@@ -216,7 +197,6 @@ def context_bytes(owned: DataFrame, several: bool) -> tuple[DataFrame, DataFrame
             ["line", "step"],
             "block",
             {"held": ("sum", F.col("nbytes"))},
-            carry=several,
             summary=summary,
         )
         .filter("step = 0")
@@ -235,12 +215,19 @@ def attribute(
     ``blocks``: file, line, pos, kind, name, block_id, tool_use_id, nbytes.
     Returns (per turn and tool, rest per turn), both keyed by (file, line).
     """
-    return split_owned(*owned_content(lines, blocks, size, fanout), lines)
+    lines = usage(lines)
+    return split_owned(owned_content(lines, blocks, size, fanout), lines)
+
+
+def usage(lines: DataFrame) -> DataFrame:
+    """What the split reads of the lines, written once: parsing and pricing them is dearer than reading it again."""
+    names = ["pool", "output_tokens", "input_units", "output_units", "cache_read_units", "cache_creation_units"]
+    return stored(lines.select("file", "line", *names), "usage")
 
 
-def split_owned(owned: DataFrame, several: bool, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_owned(owned: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The split of the billed ones of ``lines``, from content that may hold more lines."""
-    totals, held = context_bytes(owned, several)
+    totals, held = context_bytes(owned)
 
     # One row per (turn, tool): bytes held before the turn and bytes in its own
     # content; the row without a tool carries the totals. Hashing on the turn
@@ -275,10 +262,10 @@ def split_owned(owned: DataFrame, several: bool, lines: DataFrame) -> tuple[Data
     in_usd = usd(F.col("input_units") + F.col("cache_read_units") + F.col("cache_creation_units"))
     out_usd = usd(F.col("output_units"))
     uncached_usd = usd(F.col("input_units") + F.col("cache_creation_units"))
-    usage = lines.filter(F.col("pool").isNotNull()).select(
+    billed = lines.filter(F.col("pool").isNotNull()).select(
         *at_turn, "pool", "output_tokens", "input_units", "output_units", "cache_read_units", "cache_creation_units"
     )
-    slices = shares.join(usage, at_turn).select(
+    slices = shares.join(billed, at_turn).select(
         *at_turn,
         "tool",
         (F.col("pool") * F.col("in_share")).alias("in_tokens"),

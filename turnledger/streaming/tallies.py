@@ -64,10 +64,11 @@ def split_batch(kept: Parts, lines: DataFrame, blocks: DataFrame, batch_id: int)
 
     ``lines`` and ``blocks`` as for ``attribute``. A batch that runs again reads the states before it and overwrites its own.
     """
+    lines = attribution.usage(lines)
     files = lines.select("file").distinct()
     saved = kept.read(before=batch_id, near=files).join(files, "file", "left_semi")
     earlier, content = saved_lines(stored(saved, "tally-states"))
     every = lines.select("file", "line", "pool").unionByName(earlier)
-    owned, several = attribution.owned_content(every, blocks.unionByName(content, allowMissingColumns=True))
+    owned = attribution.owned_content(every, blocks.unionByName(content, allowMissingColumns=True))
     kept.add(state_of(owned), batch_id)
-    return attribution.split_owned(owned, several, lines)
+    return attribution.split_owned(owned, lines)
