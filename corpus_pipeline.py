@@ -16,8 +16,17 @@ from turnledger.llm.shared import without
 from turnledger.session import checkpoint_dir
 
 
+#: Texts per Arrow batch: the stages keep few of them in memory at a time, in the JVM as in Python.
+BATCH = "2000"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; trained on the labelled rows of ``docs``."""
+    """Documents that the classifier does not reject; trained on the labelled rows of ``docs``; an empty table gives an empty one."""
+    _small_batches(spark)
     return quality_model.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -34,12 +43,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at a similarity of 0.8 on five-word shingles: the one with the smallest id."""
+    _small_batches(spark)
     dropped = near_dup.near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
     return without(docs, "doc_id", dropped)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no piece of a benchmark item stands."""
+    """Documents in which no part of a benchmark item stands; null and empty texts stay."""
+    _small_batches(spark)
     return decontaminate.drop_leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
