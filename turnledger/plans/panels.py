@@ -145,12 +145,14 @@ def recent_activity(turns: DataFrame, projects: DataFrame, now: str, minutes: in
     listed = F.sort_array(F.collect_list(F.struct((-F.col("most")).alias("order"), "model", "units")))
     whole = F.when(F.sum("all") > 0, F.sum("all").cast("double")).otherwise(1e10)
     mix = names.agg(listed.alias("models"), whole.alias("whole")).select(
-        F.transform("models", lambda m: F.struct(m["model"].alias("model"), (m["units"] / F.col("whole")).alias("share"))).alias("model_mix")
+        F.lit(None).cast("string").alias("project"), F.transform("models", lambda m: F.struct(m["model"].alias("model"), (m["units"] / F.col("whole")).alias("share"))).alias("model_mix")
     )
     primary = per_model.groupBy("project").agg(F.min_by("model", F.struct(-F.col("n"), "seen")).alias("model_primary"))
     window = pricing.context_window(F.col("last.model"))
     single = F.col("project").isNotNull()
-    return totals.join(primary, "project", "left").crossJoin(F.broadcast(mix)).select(  # one row of mix
+    both = totals.unionByName(mix, allowMissingColumns=True)
+    rows = both.groupBy("project").agg(*[F.max(c).alias(c) for c in both.columns if c != "project"])  # the mix is part of the total row
+    return rows.join(primary, "project", "left").select(
         "project", F.when(~single, F.col("model_mix")).alias("model_mix"),
         F.when(single, pricing.short_model(F.col("model_primary"))).alias("model_primary"),
         F.when(single, F.col("last.at.ts")).alias("last_turn_at"),
