@@ -17,7 +17,7 @@ from turnledger.session import checkpoint_dir
 
 
 #: Texts per Arrow batch: the stages keep few of them in memory at a time, in the JVM as in Python.
-BATCH = "2000"
+BATCH = "500"
 
 
 def _small_batches(spark: SparkSession) -> None:
